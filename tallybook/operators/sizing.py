@@ -1,0 +1,23 @@
+"""Is a frame small enough to be sent to every executor?"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(df: DataFrame) -> int:
+    """Catalyst's size estimate, the number its own join selection uses."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def fits_broadcast(df: DataFrame) -> bool:
+    """True if Spark would broadcast ``df`` under the session's threshold.
+
+    No job runs for the answer. Where the estimate is not reachable the answer
+    is False, so that callers take the path that works for any size.
+    """
+    try:
+        limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+        return estimated_bytes(df) <= int(limit)
+    except Exception:
+        return False
