@@ -18,7 +18,7 @@ from tallybook.operators.shares import share_of_total
 from tallybook.operators.sizing import estimated_bytes, fits_broadcast
 from tallybook.operators.slices import head, head_and_tail, nth_rows, tail
 from tallybook.operators.totals import total_row
-from tallybook.operators.twolevel import two_level
+from tallybook.operators.twolevel import group_with_attribute, two_level
 
 __all__ = [
     "SortKey",
@@ -31,6 +31,7 @@ __all__ = [
     "fits_broadcast",
     "flag_ranks",
     "global_rank",
+    "group_with_attribute",
     "head",
     "head_and_tail",
     "incomplete_successors",

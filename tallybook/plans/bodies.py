@@ -15,6 +15,7 @@ from tallybook.operators import (
     exclude,
     flag_ranks,
     global_rank,
+    group_with_attribute,
     incomplete_successors,
     rank_bands,
     rollup_geography,
@@ -32,14 +33,14 @@ def spend_split_by_body(extract: DataFrame) -> DataFrame:
     public = flag_on("NHS") | flag_on("LA")
     private = (F.col("NHS") == 0) & (F.col("LA") == 0)
     vcse = F.col("VCSE_Status")
-    split = extract.groupBy("CCGName").agg(
-        F.min("CCGCode").alias("CCGCode"),
-        F.sum("Spending").alias("TotalSpend"),
-        cond_sum("Spending", public).alias("NHSLASpend"),
-        cond_sum("Spending", private).alias("NonNHSLASpend"),
-        cond_sum("Spending", private & (vcse == 1)).alias("NonNHSLAVCSESpend"),
-        cond_sum("Spending", private & (vcse == 0)).alias("NonNHSLANonVCSESpend"),
-    )
+    sums = {
+        "TotalSpend": F.sum("Spending"),
+        "NHSLASpend": cond_sum("Spending", public),
+        "NonNHSLASpend": cond_sum("Spending", private),
+        "NonNHSLAVCSESpend": cond_sum("Spending", private & (vcse == 1)),
+        "NonNHSLANonVCSESpend": cond_sum("Spending", private & (vcse == 0)),
+    }
+    split = group_with_attribute(extract, "CCGName", "CCGCode", sums)
     shares = {
         "PC_NHSLASpend": ("NHSLASpend", "TotalSpend"),
         "PC_NonNHSLASpend": ("NonNHSLASpend", "TotalSpend"),

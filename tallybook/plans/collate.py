@@ -46,19 +46,18 @@ def friendly_names(raw: DataFrame) -> DataFrame:
 def file_summary(raw: DataFrame, file_column: str = "File") -> DataFrame:
     """Per source file: first entity, suppliers, invoices and net amount.
 
-    Rows are combined per file and supplier first, so a file holding most of
-    the ledger is never gathered in one task.
+    Rows are combined per file, supplier and entity first, so a file holding
+    most of the ledger is never gathered in one task.
     """
     amount = F.col("`AP Amount (£)`")
-    per_supplier = raw.groupBy(file_column, "Supplier").agg(
-        F.min("Entity").alias("CCG"),
+    per_supplier = raw.groupBy(file_column, "Supplier", "Entity").agg(
         F.count(F.lit(1)).alias("Invoices"),
         F.count(amount).alias("_known"),
         F.sum(amount).alias("Amount"),
     )
     per_file = per_supplier.groupBy(file_column).agg(
-        F.min("CCG").alias("CCG"),
-        F.count(F.lit(1)).alias("Suppliers"),
+        F.min("Entity").alias("CCG"),
+        distinct_with_null("Supplier").alias("Suppliers"),
         F.sum("Invoices").alias("Invoices"),
         F.when(F.sum("_known") == F.sum("Invoices"), F.sum("Amount")).alias("Amount"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import cond_sum, count_if, distinct_with_null, flag_on, ratio, strict_sum
-from tallybook.operators import ascending, descending, global_rank
+from tallybook.operators import ascending, descending, global_rank, group_with_attribute
 from tallybook.plans.enrich import valid_supplier
 
 
@@ -112,14 +112,12 @@ def threshold_totals(invoices: DataFrame) -> DataFrame:
 
 def threshold_counts(invoices: DataFrame) -> DataFrame:
     """Payments per body, and those from the threshold on."""
-    return (
-        invoices.filter(flag_on("PositiveFlag"))
-        .groupBy("CCGName")
-        .agg(
-            F.min("CCGCode").alias("CCGCode"),
-            strict_sum("InvoiceOver25k").alias("Over"),
-            F.count(F.lit(1)).alias("Total"),
-        )
+    return group_with_attribute(
+        invoices.filter(flag_on("PositiveFlag")),
+        "CCGName",
+        "CCGCode",
+        {"Over": strict_sum("InvoiceOver25k"), "Total": F.count(F.lit(1))},
+        strict_sum,
     )
 
 

@@ -34,9 +34,16 @@ MILLION = 1e6
 # Cross-tabulations: sector by register status.
 
 
-def _first_attributes(extract: DataFrame) -> Column:
+def _per_raw_name(extract: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    """Rows combined per raw name first, so the pick below sees few of them."""
+    keys = [STANDARD, "Supplier", "CCCH_Status", "SupplierSector"]
+    return extract.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
+
+
+def _first_attributes() -> Column:
     """Status and sector of a standard name: those of its first raw name."""
-    return F.min_by(F.struct("CCCH_Status", "SupplierSector"), F.col("Supplier"))
+    attributes = F.struct("CCCH_Status", "SupplierSector")
+    return F.min_by(attributes, F.struct("Supplier", "CCCH_Status", "SupplierSector"))
 
 
 def _with_category(crosstab: DataFrame) -> DataFrame:
@@ -53,7 +60,8 @@ def _crosstab_report(crosstab: DataFrame) -> DataFrame:
 
 
 def _supplier_counts(extract: DataFrame) -> DataFrame:
-    picked = extract.groupBy(STANDARD).agg(_first_attributes(extract).alias("_first"))
+    names = _per_raw_name(extract, {"Invoices": F.sum("Invoices")})
+    picked = names.groupBy(STANDARD).agg(_first_attributes().alias("_first"))
     return pivot_with_total(
         picked.select("_first.*"), "SupplierSector", "CCCH_Status", STATUSES, F.count(F.lit(1))
     )
@@ -99,8 +107,9 @@ def unregistered_share(extract: DataFrame) -> DataFrame:
         return (status == neither) & ~F.coalesce(sector, F.lit("")).isin(PUBLIC_SECTORS)
 
     row = outside(F.col("CCCH_Status"), F.col("SupplierSector"))
-    per_supplier = extract.groupBy(STANDARD).agg(
-        _first_attributes(extract).alias("_first"),
+    names = _per_raw_name(extract, {"Spending": F.sum("Spending")})
+    per_supplier = names.groupBy(STANDARD).agg(
+        _first_attributes().alias("_first"),
         cond_sum("Spending", row).alias("_outside"),
         F.sum("Spending").alias("_all"),
     )

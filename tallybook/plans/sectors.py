@@ -11,6 +11,7 @@ from tallybook.operators import (
     ascending,
     descending,
     global_rank,
+    group_with_attribute,
     nth_rows,
     pivot_with_total,
     share_of_total,
@@ -75,11 +76,12 @@ def nth_supplier_share(extract: DataFrame, body: str, ranks: list[int]) -> DataF
 def gp_share_by_body(extract: DataFrame) -> DataFrame:
     """GP spending per body; a body without any keeps NULL, not 0."""
     gp = flag_on("GPServices")
-    per_body = extract.groupBy("CCGName").agg(
-        F.min(F.when(gp, F.col("CCGCode"))).alias("CCGCode"),
-        F.sum("Spending").alias("TotalSpend"),
-        F.sum(F.when(gp, F.col("Spending"))).alias("GPSpend"),
-    )
+    gp_code = extract.withColumn("CCGCode", F.when(gp, F.col("CCGCode")))
+    sums = {
+        "TotalSpend": F.sum("Spending"),
+        "GPSpend": F.sum(F.when(gp, F.col("Spending"))),
+    }
+    per_body = group_with_attribute(gp_code, "CCGName", "CCGCode", sums)
     return per_body.withColumn("Percent_GPSpend", ratio("GPSpend", "TotalSpend"))
 
 

@@ -25,6 +25,19 @@ AMOUNT = (
 )
 
 
+# The columns in use, with the types of the files.
+TABLES = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_nationkey INT",
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "part": "p_partkey BIGINT, p_brand STRING, p_type STRING",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT,"
+    " l_extendedprice DOUBLE, l_returnflag STRING",
+}
+
+
 class Testbed:
     __test__ = False
 
@@ -33,7 +46,8 @@ class Testbed:
         self.sf_dir = sf_dir
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        """A test table; the schema is given, so no file is opened to infer it."""
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
     def raw_ledger(self, *parts: str) -> DataFrame:
         """Raw ledger rows with the asked-for parts: body, expense, supplier, file."""
