@@ -1,0 +1,24 @@
+"""Using all cores on an input stored in few pieces."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+from tallybook.operators.sizing import estimated_bytes
+
+# Spark's default size of one scan task (spark.sql.files.maxPartitionBytes).
+_ONE_TASK = 128 * 1024 * 1024
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Redistribute a scan that would leave most cores idle.
+
+    A small file with one row group is read by one task, and every join above
+    it runs in that task too. Only an input that fits one scan task is
+    redistributed; anything larger comes in enough pieces and is returned as
+    it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if cores == 1 or estimated_bytes(df) > _ONE_TASK or df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

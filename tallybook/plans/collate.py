@@ -83,12 +83,14 @@ def attach_body_code(ledger: DataFrame, body_codes: DataFrame) -> DataFrame:
 
 def sign_split(invoices: DataFrame) -> DataFrame:
     """Positive amounts are spending, the rest (zero included) is income."""
-    positive = F.col("PositiveFlag")
+    amount = F.col("Amount")
     nothing = F.lit(0).cast(MONEY)
-    return (
-        invoices.withColumn("PositiveFlag", (F.col("Amount") > 0).cast("int"))
-        .withColumn("Income", F.when(positive == 0, F.col("Amount")).when(positive == 1, nothing))
-        .withColumn("Spending", F.when(positive == 1, F.col("Amount")).when(positive == 0, nothing))
+    return invoices.withColumns(
+        {
+            "PositiveFlag": (amount > 0).cast("int"),
+            "Income": F.when(amount <= 0, amount).when(amount > 0, nothing),
+            "Spending": F.when(amount > 0, amount).when(amount <= 0, nothing),
+        }
     )
 
 

@@ -16,6 +16,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallybook.operators import spread
 from tallybook.plans import collate, enrich
 from tallybook.schemas import SECTORS
 
@@ -52,6 +53,8 @@ class Testbed:
     def raw_ledger(self, *parts: str) -> DataFrame:
         """Raw ledger rows with the asked-for parts: body, expense, supplier, file."""
         rows = self.table("lineitem")
+        if parts:
+            rows = spread(rows, "l_orderkey", "l_suppkey")
         columns = []
         if "body" in parts or "file" in parts:
             orders = self.table("orders").withColumnRenamed("o_orderkey", "l_orderkey")
@@ -97,42 +100,37 @@ class Testbed:
     def suppliers(self) -> DataFrame:
         """Supplier master, with one row for payments that name nobody."""
         sectors = ",".join(SECTORS)
-        keyed = (
-            self.table("supplier")
-            .filter("s_suppkey % 50 <> 7")
-            .selectExpr("s_suppkey AS k", "upper(s_name) AS Supplier")
-            .withColumn("j", F.expr("k div 2"))
-            .withColumn("SupplierSector", F.expr(f"split_part('{sectors}', ',', CAST(j % 14 + 1 AS INT))"))
-            .withColumn("_private", F.expr("SupplierSector NOT IN ('NHS', 'LA', 'GOV')"))
-            .withColumn("CCFound", F.expr("CAST(j % 3 = 0 AND _private AS INT)"))
-            .withColumn("CHFound", F.expr("CAST(j % 2 = 0 AS INT)"))
+        keyed = self.table("supplier").selectExpr(
+            "s_suppkey AS k",
+            "upper(s_name) AS Supplier",
+            "s_suppkey div 2 AS j",
+            f"split_part('{sectors}', ',', CAST((s_suppkey div 2) % 14 + 1 AS INT)) AS sector",
         )
-        master = keyed.selectExpr(
+        private = "sector NOT IN ('NHS', 'LA', 'GOV')"
+        master = keyed.filter("k % 50 <> 7").selectExpr(
             "Supplier",
             "concat('STD#', j) AS SUPPLIER_STANDARD_NAME",
             "CAST(k % 23 = 5 AS INT) AS Redacted",
             "CAST(k % 29 = 6 AS INT) AS PHB_CHC",
             "CAST(k % 31 = 8 AS INT) AS Uninformative",
-            "SupplierSector",
-            "CASE WHEN CCFound = 1 AND CHFound = 1 THEN 'CC&CH' WHEN CCFound = 1 THEN 'CCnotCH'"
-            " WHEN CHFound = 1 THEN 'CHnotCC' ELSE 'NotCCorCH' END AS CCCH_Status",
+            "sector AS SupplierSector",
+            f"CASE WHEN j % 3 = 0 AND {private} THEN if(j % 2 = 0, 'CC&CH', 'CCnotCH')"
+            " ELSE if(j % 2 = 0, 'CHnotCC', 'NotCCorCH') END AS CCCH_Status",
             "concat('FORM_', j % 4) AS GivenCompanyCategory",
-            "CCFound",
-            "CHFound",
-            "CAST(SupplierSector = 'NHS' AS INT) AS NHS",
-            "CAST(SupplierSector = 'LA' AS INT) AS LA",
-            "CAST(SupplierSector = 'GOV' AS INT) AS GOV",
-            "CAST(SupplierSector = 'GPServices' AS INT) AS GPServices",
-            "CAST((CCFound = 1 OR j % 5 = 1) AND _private AS INT) AS VCSE_Status",
+            f"CAST(j % 3 = 0 AND {private} AS INT) AS CCFound",
+            "CAST(j % 2 = 0 AS INT) AS CHFound",
+            "CAST(sector = 'NHS' AS INT) AS NHS",
+            "CAST(sector = 'LA' AS INT) AS LA",
+            "CAST(sector = 'GOV' AS INT) AS GOV",
+            "CAST(sector = 'GPServices' AS INT) AS GPServices",
+            f"CAST((j % 3 = 0 OR j % 5 = 1) AND {private} AS INT) AS VCSE_Status",
         )
-        text = ["Supplier", "SUPPLIER_STANDARD_NAME", "SupplierSector", "CCCH_Status"]
-        text.append("GivenCompanyCategory")
-        nobody = self.spark.range(1).select(
+        nobody = self.spark.range(1).selectExpr(
             *[
-                F.lit(None).cast("string").alias(c)
-                if c in text
-                else F.lit(1 if c == "Redacted" else 0).alias(c)
-                for c in master.columns
+                f"CAST(NULL AS STRING) AS {f.name}"
+                if f.dataType.simpleString() == "string"
+                else f"{int(f.name == 'Redacted')} AS {f.name}"
+                for f in master.schema.fields
             ]
         )
         return master.unionByName(nobody)
