@@ -16,18 +16,15 @@ from pyspark.sql import functions as F
 def unique_key(df: DataFrame, key: str) -> DataFrame:
     """``df`` unchanged if ``key`` is unique; otherwise the job fails.
 
-    A dimension with a repeated key would multiply ledger rows. The check is
-    part of the plan, so nothing is counted up front.
+    A dimension with a repeated key would multiply ledger rows. The check is a
+    scalar subquery over the key column alone, run as part of the query that
+    uses the dimension.
     """
-    others = [c for c in df.columns if c != key]
-    counted = df.groupBy(key).agg(
-        F.count(F.lit(1)).alias("_copies"), *[F.first(c).alias(c) for c in others]
-    )
-    message = F.concat(
-        F.lit(f"repeated value of {key} in a dimension: "), F.coalesce(F.col(key), F.lit("NULL"))
-    )
-    single = F.when(F.col("_copies") > 1, F.raise_error(message).cast("boolean")).otherwise(True)
-    return counted.filter(single).select(*df.columns)
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
+    number = repeated.agg(F.count(F.lit(1)).alias("_repeated")).scalar()
+    message = F.concat(F.lit(f"values of {key} repeated in a dimension: "), number.cast("string"))
+    failed = F.raise_error(message).cast("boolean")
+    return df.filter(F.when(number > 0, failed).otherwise(True))
 
 
 def attach(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
