@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallybook.functions import strict_sum
+from tallybook.operators.twolevel import group_with_attribute
+
 
 def successor_columns(lookup: DataFrame) -> DataFrame:
     """Present code, successor code and successor name of every unit."""
@@ -17,8 +20,11 @@ def rollup_geography(
     """Aggregate a per-body frame to its successor units.
 
     ``df`` is already one row per body, so only that frame meets the lookup.
+    A unit keyed by its code also gets its name.
     """
     placed = df.join(successor_columns(lookup), "CCGCode", "left")
+    if key == "CCGCode2020":
+        return group_with_attribute(placed, key, "CCGName2020", sums, strict_sum)
     return placed.groupBy(key).agg(*[value.alias(name) for name, value in sums.items()])
 
 

@@ -111,7 +111,6 @@ def successor_rollup(per_capita: DataFrame, lookup: DataFrame) -> DataFrame:
         lookup,
         "CCGCode2020",
         {
-            "CCGName2020": F.min("CCGName2020"),
             "VCSESpend": strict_sum("NonNHSLAVCSESpend"),
             "Population": strict_sum("Mid2018Pop"),
         },

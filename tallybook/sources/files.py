@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +11,11 @@ from tallybook.schemas import RAW_LEDGER
 MISSING = "NA"
 
 
+def _file_name() -> Column:
+    """Name of the file a row is from; Spark percent-encodes it, but leaves '+'."""
+    return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+
+
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """A headed text file under a given schema; nothing is inferred."""
     return spark.read.csv(path, schema=schema, header=True, nullValue=MISSING, mode="FAILFAST")
@@ -36,7 +41,7 @@ def read_ledgers(
         )
     columns = [F.col(f"`{name}`") for name in RAW_LEDGER.names]
     rows = reader.format(file_format).load(directory)
-    rows = rows.select(*columns, F.col("_metadata.file_name").alias("File"))
+    rows = rows.select(*columns, _file_name().alias("File"))
     if manifest is None:
         return rows
     return rows.join(manifest.select(F.col("FileName").alias("File")), "File", "left_semi")
@@ -47,7 +52,7 @@ def missing_files(spark: SparkSession, directory: str, manifest: DataFrame) -> D
     present = (
         spark.read.format("binaryFile")
         .load(directory)
-        .select(F.col("_metadata.file_name").alias("FileName"))
+        .select(_file_name().alias("FileName"))
     )
     return manifest.select("FileName").join(present, "FileName", "left_anti")
 

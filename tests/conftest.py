@@ -25,6 +25,9 @@ def spark():
         shuffle_partitions=8,
         extra={
             "spark.driver.memory": "4g",
+            # Plans are read as text by some tests.
+            "spark.sql.maxMetadataStringLength": "10000",
+            "spark.sql.debug.maxToStringFields": "200",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
         },

@@ -1,0 +1,100 @@
+"""Half-pipeline checks against published figures.
+
+``LEDGER_GOLDEN_DIR`` names a folder holding the published threshold split and
+the population and geography lookups as text files; they are found by header.
+Without it the checks are skipped.
+"""
+
+from __future__ import annotations
+
+import glob
+import os
+
+import pytest
+from conftest import tuples
+from pyspark.sql import functions as F
+
+from tallybook import schemas
+from tallybook.operators import rank_bands
+from tallybook.plans import bodies, quality
+from tallybook.sources import read_csv
+
+FOLDER = os.environ.get("LEDGER_GOLDEN_DIR")
+pytestmark = pytest.mark.skipif(not FOLDER, reason="LEDGER_GOLDEN_DIR is not set")
+
+
+def _find(spark, schema):
+    for path in sorted(glob.glob(f"{FOLDER}/**/*.csv", recursive=True)):
+        with open(path, encoding="utf-8-sig", errors="replace") as file:
+            header = file.readline().strip().replace('"', "")
+        if header == ",".join(schema.names):
+            return read_csv(spark, path, schema)
+    pytest.skip(f"no file with columns {schema.names}")
+
+
+@pytest.fixture(scope="module")
+def golden(spark):
+    if not FOLDER:
+        pytest.skip("LEDGER_GOLDEN_DIR is not set")
+    return _find(spark, schemas.THRESHOLD_SPLIT).cache()
+
+
+def test_sums(golden):
+    row = golden.agg(F.sum("Over"), F.sum("Total"), F.count("*")).collect()[0]
+    assert tuple(row) == (226138, 622514, 189)
+
+
+def test_shares_and_ranks(golden):
+    counts = golden.select("CCGName", "CCGCode", "Over", "Total")
+    mine = {r[0]: r for r in tuples(quality.threshold_shares(counts), *golden.columns)}
+    for row in tuples(golden):
+        got = mine[row[0]]
+        assert got[:4] == row[:4] and got[6] == row[6]
+        assert got[4] == pytest.approx(row[4], abs=1e-14)
+        assert got[5] == pytest.approx(row[5], abs=1e-14)
+
+
+def test_split_from_records(spark, golden):
+    """The published counts expanded to single payments give the table again."""
+    payments = golden.select(
+        "CCGName",
+        "CCGCode",
+        F.lit(1).alias("PositiveFlag"),
+        F.explode(F.expr("sequence(1, Total)")).alias("_n"),
+        "Over",
+    ).withColumn("InvoiceOver25k", (F.col("_n") <= F.col("Over")).cast("int"))
+    mine = tuples(quality.threshold_split(payments), "CCGName", "Over", "Total", "CCG")
+    assert sorted(mine) == sorted(tuples(golden, "CCGName", "Over", "Total", "CCG"))
+
+
+def test_quartiles(golden):
+    bands = rank_bands(golden, "CCG", "Quartile").groupBy("Quartile").count()
+    assert sorted(tuples(bands)) == [(1, 47), (2, 47), (3, 47), (4, 48)]
+
+
+def test_successor_exclusions(spark, golden):
+    population = _find(spark, schemas.POPULATION)
+    lookup = _find(spark, schemas.GEOGRAPHY)
+    split = golden.select(
+        F.col("CCG").alias("ID"),
+        "CCGCode",
+        "CCGName",
+        F.col("Total").cast("decimal(18,2)").alias("NonNHSLAVCSESpend"),
+    )
+    per_capita = bodies.per_capita_spend(split, population)
+    assert per_capita.filter("PerCapitaVCSESpend IS NULL").count() == 0
+    units = bodies.successor_rollup(per_capita, lookup)
+    listed = bodies.successor_rank(units)
+    derived = bodies.complete_successor_rank(units, per_capita, lookup)
+    assert listed.count() == 129
+    assert sorted(tuples(listed, "CCGCode2020", "ID")) == sorted(
+        tuples(derived, "CCGCode2020", "ID")
+    )
+
+
+def test_names_are_the_local_names(spark, golden):
+    codes = _find(spark, schemas.BODY_CODES)
+    named = codes.select(F.upper("OurNames").alias("CCGName"), F.col("CCG18CD").alias("CCGCode"))
+    assert golden.join(named, ["CCGName", "CCGCode"], "left_semi").count() == 189
+    shared = _find(spark, schemas.SHARED_LIST)
+    assert shared.join(golden, "CCGName", "left_semi").count() == 124
