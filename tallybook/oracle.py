@@ -2,7 +2,8 @@
 
 Each statement starts from the same base: ledger rows, supplier master, their
 join, and the extract. The statements follow the definitions step by step
-(filter, group, join, sort) where the Spark plans fold steps together.
+(filter, group, join, sort) where the Spark plans fold steps together. A total
+over no rows is 0, as in the definitions, where SQL alone would say NULL.
 """
 
 from __future__ import annotations
@@ -225,8 +226,8 @@ FROM invoices""",
     "threshold_totals": f"""
 SELECT count(*) AS OverInvoices,
        {_rounded(_share("count(*)", "(SELECT sum(PositiveFlag) FROM invoices)"))} AS ShareOfPayments,
-       {_money("sum(Spending)")} AS OverSpending,
-       {_rounded(_share("sum(Spending)", "(SELECT sum(Spending) FROM invoices)"))} AS ShareOfSpending
+       {_money("coalesce(sum(Spending), 0)")} AS OverSpending,
+       {_rounded(_share("coalesce(sum(Spending), 0)", "(SELECT sum(Spending) FROM invoices)"))} AS ShareOfSpending
 FROM invoices WHERE InvoiceOver25k = 1""",
     "threshold_split": f"SELECT {_THRESHOLD_COLUMNS} FROM {_THRESHOLD} t",
     "threshold_split_ends": f"""
@@ -295,8 +296,8 @@ def _flagged(flag: str) -> str:
 SELECT {suppliers} AS Suppliers, {_rounded(_share(suppliers, everyone))} AS ShareOfSuppliers,
        count(*) AS Invoices,
        {_rounded(_share("count(*)", "(SELECT count(*) FROM extract)"))} AS ShareOfInvoices,
-       {_money("sum(Spending)")} AS Spending,
-       {_rounded(_share("sum(Spending)", "(SELECT sum(Spending) FROM extract)"))} AS ShareOfSpending
+       {_money("coalesce(sum(Spending), 0)")} AS Spending,
+       {_rounded(_share("coalesce(sum(Spending), 0)", "(SELECT sum(Spending) FROM extract)"))} AS ShareOfSpending
 FROM extract WHERE {flag} = 1"""
 
 
@@ -314,7 +315,7 @@ FROM (SELECT SupplierSector, count(*) AS Invoices, sum(Spending) AS Expenditure
       FROM extract GROUP BY SupplierSector)""",
     "public_share": f"""
 SELECT {_rounded(_share("count(*)", "(SELECT count(*) FROM extract)"))} AS PercentInvoices,
-       {_rounded(_share("sum(Spending)", "(SELECT sum(Spending) FROM extract)"))} AS PercentExpenditure
+       {_rounded(_share("coalesce(sum(Spending), 0)", "(SELECT sum(Spending) FROM extract)"))} AS PercentExpenditure
 FROM extract WHERE SupplierSector IN ('NHS', 'LA')""",
     "sector_pivot_by_body": f"""
 SELECT CCGName, {", ".join(f"{_money(s)} AS {s}" for s in [*SECTOR_NAMES, "Total"])},
