@@ -91,11 +91,6 @@ def _successor_rank(bed: Testbed) -> DataFrame:
     return bodies.successor_rank(_successors(bed), EXCLUDED, "CCGName2020")
 
 
-def _nth_shares(bed: Testbed) -> DataFrame:
-    several = sectors.nth_supplier_share(bed.extract, BODY, [2, 3, 7])
-    return several.unionByName(sectors.nth_supplier_share(bed.extract, OTHER_BODY, [1]))
-
-
 def _of_bodies(df: DataFrame) -> DataFrame:
     return profile.chosen(df, PROFILED)
 
@@ -139,22 +134,22 @@ ENRICH = {
 QUALITY = {
     "bodies_covered": lambda b: quality.bodies_covered(b.ledger),
     "bad_records": lambda b: quality.bad_records(b.ledger_without_bodies()),
-    "missing_expense_totals": lambda b: quality.missing_expense_totals(b.invoices("expense")),
+    "missing_expense_totals": lambda b: quality.missing_expense_totals(b.measured("expense")),
     "missing_area_by_body": lambda b: head(
-        quality.missing_area_by_body(b.invoices("body", "expense")), quality.AREA_ORDER, 20
+        quality.missing_area_by_body(b.measured("body", "expense")), quality.AREA_ORDER, 20
     ),
     "missing_type_by_body": lambda b: head(
-        quality.missing_type_by_body(b.invoices("body", "expense")), quality.TYPE_ORDER, 20
+        quality.missing_type_by_body(b.measured("body", "expense")), quality.TYPE_ORDER, 20
     ),
     "missing_indicator": lambda b: head(
-        quality.missing_by_body(b.invoices("body", "expense")), quality.INDICATOR_ORDER, 25
+        quality.missing_by_body(b.measured("body", "expense")), quality.INDICATOR_ORDER, 25
     ),
-    "missing_concentration": lambda b: quality.missing_concentration(b.invoices("body", "expense")),
-    "ledger_totals": lambda b: quality.ledger_totals(b.invoices()),
-    "threshold_totals": lambda b: quality.threshold_totals(b.invoices()),
-    "threshold_split": lambda b: quality.threshold_split(b.invoices("body")),
+    "missing_concentration": lambda b: quality.missing_concentration(b.measured("body", "expense")),
+    "ledger_totals": lambda b: quality.ledger_totals(b.measured()),
+    "threshold_totals": lambda b: quality.threshold_totals(b.measured()),
+    "threshold_split": lambda b: quality.threshold_split(b.measured("body")),
     "threshold_split_ends": lambda b: head_and_tail(
-        quality.threshold_split(b.invoices("body")), "CCG", 22, 4
+        quality.threshold_split(b.measured("body")), "CCG", 22, 4
     ),
     "named_supplier_counts": lambda b: quality.named_supplier_counts(b.ledger_without_bodies()),
     "standard_supplier_counts": lambda b: quality.standard_supplier_counts(
@@ -169,7 +164,9 @@ SECTORS = {
     "sector_pivot_by_body": lambda b: sectors.sector_pivot_by_body(b.extract),
     "public_share_by_body": lambda b: sectors.public_share_by_body(b.extract),
     "body_supplier_breakdown": lambda b: sectors.body_supplier_breakdown(b.extract, BODY),
-    "nth_supplier_share": _nth_shares,
+    "nth_supplier_share": lambda b: sectors.nth_supplier_share(
+        b.extract, {BODY: [2, 3, 7], OTHER_BODY: [1]}
+    ),
     "gp_share_by_body": lambda b: sectors.gp_share_by_body(b.extract),
     "gp_supplier_count": lambda b: sectors.gp_supplier_count(b.extract_without_bodies()),
     "gp_share_rank": lambda b: sectors.gp_share_rank(b.extract),

@@ -6,6 +6,7 @@ from tallybook.functions.aggregates import (
     distinct_with_null,
     null_if_zero,
     strict_sum,
+    total,
 )
 from tallybook.functions.columns import all_of, flag_on, indicator, literal_map, ratio
 
@@ -20,4 +21,5 @@ __all__ = [
     "null_if_zero",
     "ratio",
     "strict_sum",
+    "total",
 ]

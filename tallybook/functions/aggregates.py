@@ -21,6 +21,11 @@ def cond_sum(value: Column | str, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, _col(value))), F.lit(0))
 
 
+def total(value: Column | str) -> Column:
+    """Sum over all rows; 0 when there are none."""
+    return F.coalesce(F.sum(_col(value)), F.lit(0))
+
+
 def count_if(condition: Column) -> Column:
     """Rows meeting ``condition``; an unknown condition does not count."""
     return F.count(F.when(condition, F.lit(1)))

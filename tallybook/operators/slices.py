@@ -25,11 +25,15 @@ def head_and_tail(df: DataFrame, rank: str, first: int, last: int) -> DataFrame:
     return top.unionByName(bottom)
 
 
-def nth_rows(df: DataFrame, keys: list[SortKey], ranks: list[int]) -> DataFrame:
-    """Rows at the given (small) positions of an order.
+def nth_rows(df: DataFrame, by: list[str], keys: list[SortKey], ranks: list[int]) -> DataFrame:
+    """Rows at the given (small) positions of an order, per group.
 
-    Only the first ``max(ranks)`` rows are ever brought together.
+    The bound on the position is a filter on the window's own number, which
+    Spark turns into a limit per group and task before the shuffle. A large
+    group never comes together.
     """
-    top = head(df, keys, max(ranks))
-    placed = top.withColumn("_position", F.row_number().over(Window.orderBy(*sort_columns(keys))))
-    return placed.filter(F.col("_position").isin(ranks)).drop("_position")
+    position = F.row_number().over(Window.partitionBy(*by).orderBy(*sort_columns(keys)))
+    placed = df.withColumn("_position", position).filter(F.col("_position") <= max(ranks))
+    return placed.filter(F.col("_position").isin(ranks)).withColumn(
+        "_position", F.col("_position").cast("long")
+    )

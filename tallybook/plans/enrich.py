@@ -1,12 +1,16 @@
 """Ledger rows joined to the supplier master, and the frames reports start from.
 
-Reports add up rows per body and per supplier. They read a *tally*: ledger rows
-with supplier attributes and additive measures. If the supplier master is small
-enough to be broadcast, a tally has one row per ledger row, because the join
-then costs no shuffle. If it is not, ledger rows are first added up per body
-and supplier, so that the join shuffles groups and not rows and a supplier
-holding a third of the ledger arrives as one row per body and map task. The
-measures have the same names either way, and every report sums them.
+Reports add up rows per body and per supplier. They read a *tally*: bodies and
+suppliers with additive measures. A tally may have one row per ledger row or
+one per body and supplier; every report sums the measures, so both give the
+same figures, and a tally stored once answers all reports without another pass
+over the ledger.
+
+How a tally is joined to the supplier master depends on the size of the master.
+If it is small enough to be broadcast, the join costs no shuffle and ledger
+rows are joined as they are. If it is not, ledger rows are first added up per
+body and supplier: the join then shuffles groups and not rows, and a supplier
+holding a third of the ledger arrives as one row per body and map task.
 """
 
 from __future__ import annotations
@@ -69,18 +73,8 @@ def extract_summary(extract: DataFrame) -> DataFrame:
     )
 
 
-def _tally(rows: DataFrame, measures: dict[str, Column], suppliers: DataFrame, how: str) -> DataFrame:
-    keys = [c for c in [*BODY, "Supplier"] if c in rows.columns]
-    measured = rows.select(*keys, *[v.alias(k) for k, v in measures.items()])
-    if not fits_broadcast(suppliers):
-        measured = measured.groupBy(*keys).agg(*[F.sum(name).alias(name) for name in measures])
-    if how == "inner":
-        return measured.join(suppliers, "Supplier", how)
-    return match_suppliers(measured, suppliers, how)
-
-
-def ledger_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """All ledger rows; ``Known`` counts those with an amount."""
+def _measures(invoices: DataFrame) -> dict[str, Column]:
+    """Additive measures of one invoice; ``Known`` marks one with an amount."""
     over = flag_on("InvoiceOver25k")
     measures = {
         "Records": F.lit(1),
@@ -88,23 +82,59 @@ def ledger_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
         "Payments": F.when(flag_on("PositiveFlag"), 1).otherwise(0),
         "Overs": F.when(over, 1).otherwise(0),
         "Spending": F.col("Spending"),
+        "Income": F.col("Income"),
         "OverSpending": F.when(over, F.col("Spending")),
     }
-    return _tally(invoices, measures, suppliers, "left")
+    for column, name in (("ExpenseArea", "MissingEA"), ("ExpenseType", "MissingET")):
+        if column in invoices.columns:
+            measures[name] = F.col(column).isNull().cast("int")
+    return measures
 
 
-def payments_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """Positive invoices of any size."""
-    rows = invoices.filter(flag_on("PositiveFlag"))
-    return _tally(rows, {"Invoices": F.lit(1), "Spending": F.col("Spending")}, suppliers, "left")
+def measured(invoices: DataFrame) -> DataFrame:
+    """Measures per invoice, for figures that need no supplier attributes."""
+    keys = [c for c in [*BODY, "Supplier"] if c in invoices.columns]
+    return invoices.select(*keys, *[v.alias(k) for k, v in _measures(invoices).items()])
+
+
+def _added_up(rows: DataFrame) -> DataFrame:
+    keys = [c for c in [*BODY, "Supplier"] if c in rows.columns]
+    sums = [F.sum(c).alias(c) for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(*sums)
+
+
+def _large_payments(rows: DataFrame) -> DataFrame:
+    return rows.withColumns({"Invoices": F.col("Overs"), "Spending": F.col("OverSpending")})
+
+
+def ledger_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """The whole ledger."""
+    rows = measured(invoices)
+    return match_suppliers(rows if fits_broadcast(suppliers) else _added_up(rows), suppliers)
 
 
 def extract_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The analytical dataset."""
-    measures = {"Invoices": F.lit(1), "Spending": F.col("Spending")}
-    return _tally(_over_threshold(invoices), measures, _valid_master(suppliers), "inner")
+    master = _valid_master(suppliers)
+    rows = _large_payments(measured(_over_threshold(invoices)))
+    return (rows if fits_broadcast(master) else _added_up(rows)).join(master, "Supplier", "inner")
+
+
+def payments_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """Positive invoices of any size."""
+    return payments_of(ledger_tally(invoices.filter(flag_on("PositiveFlag")), suppliers))
+
+
+def stored_form(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
+    """The ledger tally to be stored: one row per body and supplier."""
+    return match_suppliers(_added_up(measured(invoices)), unique_key(suppliers, "Supplier"))
+
+
+def payments_of(ledger: DataFrame) -> DataFrame:
+    """Payments in a ledger tally; other rows add nothing to spending."""
+    return ledger.filter(F.col("Payments") > 0).withColumn("Invoices", F.col("Payments"))
 
 
-def stored_tally(dataset: DataFrame) -> DataFrame:
-    """Tally of a stored enriched dataset (payments or extract), one row per invoice."""
-    return dataset.withColumn("Invoices", F.lit(1))
+def extract_of(ledger: DataFrame) -> DataFrame:
+    """The analytical dataset in a ledger tally."""
+    return _large_payments(ledger.filter((F.col("Overs") > 0) & valid_supplier()))

@@ -1,11 +1,15 @@
-"""Coverage, completeness and threshold figures of the full ledger."""
+"""Coverage, completeness and threshold figures of the full ledger.
+
+All functions take a ledger tally; those that name no supplier attribute also
+take bare measures without a supplier join.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions import cond_sum, count_if, distinct_with_null, flag_on, ratio, strict_sum
+from tallybook.functions import cond_sum, distinct_with_null, flag_on, ratio, total
 from tallybook.operators import ascending, descending, global_rank, group_with_attribute
 from tallybook.plans.enrich import valid_supplier
 
@@ -21,7 +25,7 @@ def bodies_covered(ledger: DataFrame) -> DataFrame:
     )
     return per_body.agg(
         F.count(F.lit(1)).alias("FullBodies"),
-        cond_sum(F.col("_extract"), F.lit(True)).alias("ExtractBodies"),
+        total("_extract").alias("ExtractBodies"),
     )
 
 
@@ -39,11 +43,9 @@ def bad_records(ledger: DataFrame) -> DataFrame:
     )
 
 
-def missing_expense_totals(invoices: DataFrame) -> DataFrame:
-    rows = F.count(F.lit(1))
-    area = count_if(F.col("ExpenseArea").isNull())
-    kind = count_if(F.col("ExpenseType").isNull())
-    return invoices.agg(
+def missing_expense_totals(ledger: DataFrame) -> DataFrame:
+    rows, area, kind = total("Records"), total("MissingEA"), total("MissingET")
+    return ledger.agg(
         area.alias("MissingEA"),
         ratio(area, rows).alias("ShareEA"),
         kind.alias("MissingET"),
@@ -51,12 +53,12 @@ def missing_expense_totals(invoices: DataFrame) -> DataFrame:
     )
 
 
-def missing_by_body(invoices: DataFrame) -> DataFrame:
+def missing_by_body(ledger: DataFrame) -> DataFrame:
     """Both missing counts, their shares and the summed indicator per body."""
-    counted = invoices.groupBy("CCGName").agg(
-        F.count(F.lit(1)).alias("TotalRecords"),
-        count_if(F.col("ExpenseArea").isNull()).alias("MissingEA"),
-        count_if(F.col("ExpenseType").isNull()).alias("MissingET"),
+    counted = ledger.groupBy("CCGName").agg(
+        total("Records").alias("TotalRecords"),
+        total("MissingEA").alias("MissingEA"),
+        total("MissingET").alias("MissingET"),
     )
     return (
         counted.withColumn("Percent_EA", ratio("MissingEA", "TotalRecords"))
@@ -71,53 +73,56 @@ TYPE_ORDER = [descending("Percent_ET"), ascending("CCGName")]
 INDICATOR_ORDER = [descending("Indicator"), *AREA_ORDER]
 
 
-def missing_area_by_body(invoices: DataFrame) -> DataFrame:
-    return missing_by_body(invoices).select("CCGName", "TotalRecords", "MissingEA", "Percent_EA")
+def missing_area_by_body(ledger: DataFrame) -> DataFrame:
+    return missing_by_body(ledger).select("CCGName", "TotalRecords", "MissingEA", "Percent_EA")
 
 
-def missing_type_by_body(invoices: DataFrame) -> DataFrame:
-    return missing_by_body(invoices).select("CCGName", "TotalRecords", "MissingET", "Percent_ET")
+def missing_type_by_body(ledger: DataFrame) -> DataFrame:
+    return missing_by_body(ledger).select("CCGName", "TotalRecords", "MissingET", "Percent_ET")
 
 
-def missing_concentration(invoices: DataFrame, top: int = 14) -> DataFrame:
+def missing_concentration(ledger: DataFrame, top: int = 14) -> DataFrame:
     """Share of all missing entries that the worst bodies account for."""
-    ranked = global_rank(missing_by_body(invoices), INDICATOR_ORDER, "_rank")
+    ranked = global_rank(missing_by_body(ledger), INDICATOR_ORDER, "_rank")
     missing = F.col("MissingEA") + F.col("MissingET")
     share = ratio(cond_sum(missing, F.col("_rank") <= top), F.sum(missing))
     return ranked.agg(share.alias("ShareOfMissing"))
 
 
-def ledger_totals(invoices: DataFrame) -> DataFrame:
-    payments = strict_sum("PositiveFlag")
-    return invoices.agg(
-        F.count(F.lit(1)).alias("Records"),
+def _if_all_known(value: Column) -> Column:
+    """A sum over amounts is unknown as soon as one amount is."""
+    return F.when(F.sum("Known") == F.sum("Records"), value)
+
+
+def ledger_totals(ledger: DataFrame) -> DataFrame:
+    payments = _if_all_known(F.sum("Payments"))
+    return ledger.agg(
+        total("Records").alias("Records"),
         payments.alias("Payments"),
-        strict_sum("Spending").alias("Spending"),
-        (F.count(F.lit(1)) - payments).alias("IncomeRecords"),
-        strict_sum("Income").alias("Income"),
+        _if_all_known(F.sum("Spending")).alias("Spending"),
+        (total("Records") - payments).alias("IncomeRecords"),
+        _if_all_known(F.sum("Income")).alias("Income"),
     )
 
 
-def threshold_totals(invoices: DataFrame) -> DataFrame:
+def threshold_totals(ledger: DataFrame) -> DataFrame:
     """Invoices from the threshold on against all payments."""
-    over = flag_on("InvoiceOver25k")
-    count, value = count_if(over), cond_sum("Spending", over)
-    return invoices.agg(
+    count, value = total("Overs"), total("OverSpending")
+    return ledger.agg(
         count.alias("OverInvoices"),
-        ratio(count, strict_sum("PositiveFlag")).alias("ShareOfPayments"),
+        ratio(count, _if_all_known(F.sum("Payments"))).alias("ShareOfPayments"),
         value.alias("OverSpending"),
-        ratio(value, strict_sum("Spending")).alias("ShareOfSpending"),
+        ratio(value, _if_all_known(F.sum("Spending"))).alias("ShareOfSpending"),
     )
 
 
-def threshold_counts(invoices: DataFrame) -> DataFrame:
+def threshold_counts(ledger: DataFrame) -> DataFrame:
     """Payments per body, and those from the threshold on."""
     return group_with_attribute(
-        invoices.filter(flag_on("PositiveFlag")),
+        ledger.filter(F.col("Payments") > 0),
         "CCGName",
         "CCGCode",
-        {"Over": strict_sum("InvoiceOver25k"), "Total": F.count(F.lit(1))},
-        strict_sum,
+        {"Over": F.sum("Overs"), "Total": F.sum("Payments")},
     )
 
 
@@ -129,8 +134,8 @@ def threshold_shares(counts: DataFrame) -> DataFrame:
     return global_rank(shared, [ascending("PercentUnder"), ascending("CCGName")], "CCG")
 
 
-def threshold_split(invoices: DataFrame) -> DataFrame:
-    return threshold_shares(threshold_counts(invoices))
+def threshold_split(ledger: DataFrame) -> DataFrame:
+    return threshold_shares(threshold_counts(ledger))
 
 
 def nested_supplier_counts(ledger: DataFrame, name: str) -> DataFrame:
@@ -149,7 +154,7 @@ def nested_supplier_counts(ledger: DataFrame, name: str) -> DataFrame:
     )
     return per_supplier.agg(
         F.count(F.lit(1)).alias("InLedger"),
-        *[cond_sum(F.col(f"_{n}"), F.lit(True)).alias(n) for n in marks],
+        *[total(f"_{n}").alias(n) for n in marks],
     )
 
 
@@ -165,7 +170,7 @@ def extract_totals(ledger: DataFrame) -> DataFrame:
     """Size of the extract and its share of all spending, in one scan."""
     inside = _in_extract()
     value = cond_sum("OverSpending", inside)
-    whole = F.when(F.sum("Known") == F.sum("Records"), F.sum("Spending"))
+    whole = _if_all_known(F.sum("Spending"))
     return ledger.agg(
         cond_sum("Overs", inside).alias("Invoices"),
         distinct_with_null("CCGName", inside).alias("Bodies"),

@@ -65,12 +65,27 @@ def body_supplier_breakdown(extract: DataFrame, body: str) -> DataFrame:
     return share_of_total(suppliers, {"Percent": "Spending"})
 
 
-def nth_supplier_share(extract: DataFrame, body: str, ranks: list[int]) -> DataFrame:
-    """Share of one body's spending that its n-th largest suppliers receive."""
-    ranked = nth_rows(
-        body_supplier_breakdown(extract, body), [descending("Spending"), ascending(STANDARD)], ranks
+def nth_supplier_share(extract: DataFrame, ranks: dict[str, list[int]]) -> DataFrame:
+    """Share of a body's spending that its n-th largest suppliers receive.
+
+    ``ranks`` gives the places wanted per body; all bodies are read in one scan.
+    """
+    suppliers = (
+        extract.filter(F.col("CCGName").isin(list(ranks)))
+        .groupBy("CCGName", STANDARD)
+        .agg(F.sum("Spending").alias("Spending"))
+    )
+    wanted = sorted({rank for places in ranks.values() for rank in places})
+    order = [descending("Spending"), ascending(STANDARD)]
+    top = nth_rows(suppliers, ["CCGName"], order, wanted)
+    listed = F.lit(False)
+    for body, places in ranks.items():
+        listed = listed | ((F.col("CCGName") == body) & F.col("_position").isin(places))
+    picked = top.filter(listed).groupBy("CCGName").agg(F.sum("Spending").alias("_picked"))
+    whole = suppliers.groupBy("CCGName").agg(F.sum("Spending").alias("_whole"))
+    return whole.join(picked, "CCGName", "left").select(
+        "CCGName", ratio("_picked", "_whole").alias("Share")
     )
-    return ranked.agg(F.lit(body).alias("CCGName"), F.sum("Percent").alias("Share"))
 
 
 def gp_share_by_body(extract: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from tallybook.sources.files import (
     read_csv,
     read_dataset,
     read_ledgers,
+    read_named,
     write_csv,
     write_dataset,
 )
@@ -14,6 +15,7 @@ __all__ = [
     "read_csv",
     "read_dataset",
     "read_ledgers",
+    "read_named",
     "write_csv",
     "write_dataset",
 ]

@@ -21,6 +21,16 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -
     return spark.read.csv(path, schema=schema, header=True, nullValue=MISSING, mode="FAILFAST")
 
 
+def read_named(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """A headed text file of which the columns of ``schema`` are taken by name.
+
+    Only the header line is looked at beforehand. A value that does not fit its
+    type fails the job.
+    """
+    text = spark.read.csv(path, header=True, nullValue=MISSING, mode="FAILFAST")
+    return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
 def read_ledgers(
     spark: SparkSession,
     directory: str,

@@ -96,6 +96,9 @@ class Testbed:
         named = collate.friendly_names(raw)
         return collate.normalise_text(collate.threshold_flag(collate.sign_split(named)))
 
+    def measured(self, *parts: str) -> DataFrame:
+        return enrich.measured(self.invoices(*parts))
+
     @cached_property
     def suppliers(self) -> DataFrame:
         """Supplier master, with one row for payments that name nobody."""

@@ -120,14 +120,65 @@ def test_pipeline_end_to_end(spark, ledger_dir, tmp_path):
         ("NORTH BODY", "E1", "SMITH, JONES", Decimal("30000.50")),
         ("SOUTH BODY", "E2", "ACME", Decimal("26000.00")),
     ]
-    pipeline.write_reports(spark, out, f"{out}/reports")
+    people = frame(spark, "CCGCode string, Mid2018Pop bigint", [("E1", 1000), ("E2", 2000)])
+    places = frame(
+        spark,
+        "CCGCode2018 string, CCGCode2020 string, CCGName2020 string",
+        [("E1", "U1", "Unit one"), ("E2", "U1", "Unit one")],
+    )
+    shared = frame(spark, "CCGName string", [("NORTH BODY",), ("ELSEWHERE",)])
+    tally = read_dataset(spark, f"{out}/tally")
+    tables = pipeline.report_tables(tally, people, places, shared)
+    tables.update(pipeline.body_tables(tally, ["NORTH BODY"]))
+    tables.update(pipeline.profile_tables(tally, places, ["NORTH BODY"], ["Unit one"]))
+    pipeline.write_tables(tables, f"{out}/reports")
     split = read_csv(spark, f"{out}/reports/threshold_split", schemas.THRESHOLD_SPLIT)
     assert sorted(tuples(split)) == [
         ("NORTH BODY", "E1", 1, 1, 1.0, 0.0, 1),
         ("SOUTH BODY", "E2", 1, 1, 1.0, 0.0, 2),
     ]
-    for name in ("sector_pivot_by_body", "vcse_suppliers", "vcse_body_counts", "spend_split_by_body"):
-        assert spark.read.csv(f"{out}/reports/{name}", header=True).count() >= 1
+    assert len(tables) == len(glob.glob(f"{out}/reports/*/_SUCCESS"))
+    units = spark.read.csv(f"{out}/reports/successor_case_study", header=True)
+    assert tuples(units, "CCGName2020", "VCSESpend", "Population", "ID") == [
+        ("Unit one", "30000.50", "3000", "1")
+    ]
+    flags = spark.read.csv(f"{out}/reports/register_flags_by_body", header=True, nullValue="NA")
+    assert sorted(tuples(flags)) == [("ELSEWHERE", None, None), ("NORTH BODY", "0", "0")]
+
+
+def test_stages_from_the_command_line(spark, ledger_dir, tmp_path):
+    from tallybook.__main__ import main
+
+    def text(name: str, content: str) -> str:
+        path = tmp_path / name
+        path.write_bytes(b"\xef\xbb\xbf" + content.encode())
+        return str(path)
+
+    out = str(tmp_path / "out")
+    codes = text("codes.csv", "FID,CCG18CD,CCG18CDH,CCG18NM,OurNames\n1,E1,a,n,North body\n")
+    listed = text("list.csv", "FileName\n00 North+body 5%.csv\n")
+    collate = ["collate", "--ledgers", ledger_dir, "--codes", codes, "--out", out]
+    gone = text("gone.csv", "FileName\n00 North+body 5%.csv\nnowhere.csv\n")
+    with pytest.raises(SystemExit, match="nowhere.csv"):
+        main([*collate, "--manifest", gone])
+    main([*collate, "--manifest", listed])
+    row = ["1" if f.dataType.simpleString() == "int" else "x" for f in schemas.SUPPLIERS.fields]
+    row[0] = '"SMITH, JONES"'
+    for flag in schemas.VALIDITY_FLAGS:
+        row[schemas.SUPPLIERS.names.index(flag)] = "0"
+    master_file = text(
+        "master.csv", ",".join(["More", *schemas.SUPPLIERS.names]) + "\n?," + ",".join(row) + "\n"
+    )
+    main(["enrich", "--suppliers", master_file, "--out", out])
+    people = text("people.csv", "CCGCode,Mid2018Pop\nE1,1000\n")
+    places = text("places.csv", ",".join(schemas.GEOGRAPHY.names) + "\n" + ",".join(["E1"] * 9) + "\n")
+    shared = text("shared.csv", "CCGName\nNORTH BODY\n")
+    looked = ["--geography", places, "--out", out]
+    main(["report", "--population", people, "--shared", shared, *looked, "--body", "NORTH BODY"])
+    main(["profile", *looked, "--body", "NORTH BODY", "--successor", "E1"])
+    ranks = spark.read.csv(f"{out}/profile/successor_value_share", header=True)
+    assert tuples(ranks, "CCGName2020", "PercentVCSESpend", "Rank") == [("E1", "1.0", "1")]
+    assert spark.read.csv(f"{out}/files/file_summary", header=True).count() == 1
 
 
 def test_extract_filters_reach_the_stored_scan(spark, ledger_dir, tmp_path):

@@ -59,10 +59,10 @@ def test_split_from_records(spark, golden):
     payments = golden.select(
         "CCGName",
         "CCGCode",
-        F.lit(1).alias("PositiveFlag"),
+        F.lit(1).alias("Payments"),
         F.explode(F.expr("sequence(1, Total)")).alias("_n"),
         "Over",
-    ).withColumn("InvoiceOver25k", (F.col("_n") <= F.col("Over")).cast("int"))
+    ).withColumn("Overs", (F.col("_n") <= F.col("Over")).cast("int"))
     mine = tuples(quality.threshold_split(payments), "CCGName", "Over", "Total", "CCG")
     assert sorted(mine) == sorted(tuples(golden, "CCGName", "Over", "Total", "CCG"))
 

@@ -132,7 +132,16 @@ def test_head_tail_and_nth(spark):
     assert sorted(tuples(both, "End", "k")) == [
         ("head", "a"), ("head", "b"), ("tail", "e"), ("tail", "f"), ("tail", "g"),
     ]
-    assert sorted(tuples(ops.nth_rows(df, [ops.descending("v")], [2, 4, 99]), "k")) == [("d",), ("f",)]
+
+
+def test_nth_rows_per_group(spark):
+    rows = [("g", c, i) for i, c in enumerate("abcdefg")] + [("h", "z", 1)]
+    df = frame(spark, "g string, k string, v int", rows)
+    got = ops.nth_rows(df, ["g"], [ops.descending("v")], [1, 2, 4, 99])
+    assert sorted(tuples(got, "g", "k", "_position")) == [
+        ("g", "d", 4), ("g", "f", 2), ("g", "g", 1), ("h", "z", 1),
+    ]
+    assert "WindowGroupLimit" in got._jdf.queryExecution().executedPlan().toString()
 
 
 def test_restrict_to_list_equals_left_join(spark):

@@ -79,7 +79,7 @@ def test_equal_shares_rank_alphabetically(spark):
         spark,
         [("B", "2", "S", 30000), ("A", "1", "S", 30000), ("C", "3", "S", 10), ("C", "3", "S", 30000)],
     )
-    got = tuples(quality.threshold_split(ledger).orderBy("CCG"), "CCGName", "CCG", "PercentOver")
+    got = tuples(quality.threshold_split(enrich.measured(ledger)).orderBy("CCG"), "CCGName", "CCG", "PercentOver")
     assert got == [("A", 1, 1.0), ("B", 2, 1.0), ("C", 3, 0.5)]
 
 
@@ -337,3 +337,25 @@ def test_file_summary_counts_unnamed_suppliers_and_strict_amounts(spark):
     assert got == [(1, "f1", "A", 2, 3, Decimal("6.50")), (2, "f2", "C", 1, 2, None)]
     check = tuples(collate.collation_check(raw), "Bodies", "Records", "NetAmount")
     assert check == [(4, 5, None)]
+
+
+def test_totals_are_unknown_with_an_unknown_amount(spark):
+    known = enrich.measured(invoices(spark, [("A", "1", "S", 30000), ("A", "1", "S", -10)]))
+    assert tuples(quality.ledger_totals(known)) == [
+        (2, 1, Decimal("30000.00"), 1, Decimal("-10.00"))
+    ]
+    unknown = enrich.measured(invoices(spark, [("A", "1", "S", 30000), ("A", "1", "S", None)]))
+    assert tuples(quality.ledger_totals(unknown)) == [(2, None, None, None, None)]
+    over = tuples(quality.threshold_totals(unknown), "OverInvoices", "ShareOfPayments")
+    assert over == [(1, None)]
+
+
+def test_n_th_suppliers_of_several_bodies(spark):
+    ledger = invoices(
+        spark,
+        [("A", "1", "S", 50000), ("A", "1", "T", 30000), ("A", "1", "U", 20000 + 5000),
+         ("B", "2", "S", 40000), ("C", "3", "S", 90000)],
+    )
+    extract = enrich.extract_tally(ledger, master(spark, [{"Supplier": s} for s in "STU"]))
+    got = dict(tuples(sectors.nth_supplier_share(extract, {"A": [2, 3], "B": [1, 2]})))
+    assert got == {"A": pytest.approx(55 / 105), "B": 1.0}
