@@ -24,7 +24,7 @@ from tallybook.plans import (
     sectors,
     suppliers,
 )
-from tallybook.testbed import Testbed
+from tallybook.testbed import Testbed, testbed
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -133,7 +133,7 @@ ENRICH = {
 
 QUALITY = {
     "bodies_covered": lambda b: quality.bodies_covered(b.ledger),
-    "bad_records": lambda b: quality.bad_records(b.ledger_without_bodies()),
+    "bad_records": lambda b: quality.bad_records(b.ledger_without_bodies),
     "missing_expense_totals": lambda b: quality.missing_expense_totals(b.measured("expense")),
     "missing_area_by_body": lambda b: head(
         quality.missing_area_by_body(b.measured("body", "expense")), quality.AREA_ORDER, 20
@@ -151,16 +151,16 @@ QUALITY = {
     "threshold_split_ends": lambda b: head_and_tail(
         quality.threshold_split(b.measured("body")), "CCG", 22, 4
     ),
-    "named_supplier_counts": lambda b: quality.named_supplier_counts(b.ledger_without_bodies()),
+    "named_supplier_counts": lambda b: quality.named_supplier_counts(b.ledger_without_bodies),
     "standard_supplier_counts": lambda b: quality.standard_supplier_counts(
-        b.ledger_without_bodies()
+        b.ledger_without_bodies
     ),
     "extract_totals": lambda b: quality.extract_totals(b.ledger),
 }
 
 SECTORS = {
-    "sector_split": lambda b: sectors.sector_split(b.extract_without_bodies()),
-    "public_share": lambda b: sectors.public_share(b.extract_without_bodies()),
+    "sector_split": lambda b: sectors.sector_split(b.extract_without_bodies),
+    "public_share": lambda b: sectors.public_share(b.extract_without_bodies),
     "sector_pivot_by_body": lambda b: sectors.sector_pivot_by_body(b.extract),
     "public_share_by_body": lambda b: sectors.public_share_by_body(b.extract),
     "body_supplier_breakdown": lambda b: sectors.body_supplier_breakdown(b.extract, BODY),
@@ -168,14 +168,14 @@ SECTORS = {
         b.extract, {BODY: [2, 3, 7], OTHER_BODY: [1]}
     ),
     "gp_share_by_body": lambda b: sectors.gp_share_by_body(b.extract),
-    "gp_supplier_count": lambda b: sectors.gp_supplier_count(b.extract_without_bodies()),
+    "gp_supplier_count": lambda b: sectors.gp_supplier_count(b.extract_without_bodies),
     "gp_share_rank": lambda b: sectors.gp_share_rank(b.extract),
     "gp_suppliers_for_body": lambda b: sectors.gp_suppliers_for_bodies(
         b.extract, [*PROFILED, "NATION_7"]
     ),
-    "flag_profile_nhs": lambda b: sectors.flag_profile(b.extract_without_bodies(), "NHS"),
-    "flag_profile_la": lambda b: sectors.flag_profile(b.extract_without_bodies(), "LA"),
-    "flag_profile_vcse": lambda b: sectors.flag_profile(b.extract_without_bodies(), "VCSE_Status"),
+    "flag_profile_nhs": lambda b: sectors.flag_profile(b.extract_without_bodies, "NHS"),
+    "flag_profile_la": lambda b: sectors.flag_profile(b.extract_without_bodies, "LA"),
+    "flag_profile_vcse": lambda b: sectors.flag_profile(b.extract_without_bodies, "VCSE_Status"),
 }
 
 _SHARED_COLUMNS = [
@@ -189,47 +189,47 @@ _SHARED_COLUMNS = [
 ]
 
 REGISTERS = {
-    "supplier_crosstab": lambda b: registers.supplier_crosstab(b.extract_without_bodies()),
+    "supplier_crosstab": lambda b: registers.supplier_crosstab(b.extract_without_bodies),
     "supplier_crosstab_report": lambda b: registers.supplier_crosstab_report(
-        b.extract_without_bodies()
+        b.extract_without_bodies
     ),
-    "spending_crosstab": lambda b: registers.spending_crosstab(b.extract_without_bodies()),
+    "spending_crosstab": lambda b: registers.spending_crosstab(b.extract_without_bodies),
     "spending_crosstab_report": lambda b: registers.spending_crosstab_report(
-        b.extract_without_bodies()
+        b.extract_without_bodies
     ),
-    "unregistered_share": lambda b: registers.unregistered_share(b.extract_without_bodies()),
+    "unregistered_share": lambda b: registers.unregistered_share(b.extract_without_bodies),
     "shared_subset": lambda b: registers.shared_subset(
         b.shared_list, enrich.valid_extract(b.invoices("body", "supplier"), b.suppliers)
     ).select(*_SHARED_COLUMNS),
     "register_counts_subset": lambda b: registers.register_counts_subset(b.shared_list, b.extract),
     "register_flags_by_body": lambda b: registers.register_flags_by_body(b.shared_list, b.extract),
-    "legal_form_cc_ch": lambda b: registers.legal_form_segment(b.extract_without_bodies(), "CC_CH"),
+    "legal_form_cc_ch": lambda b: registers.legal_form_segment(b.extract_without_bodies, "CC_CH"),
     "legal_form_cc_only": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "CC_ONLY"
+        b.extract_without_bodies, "CC_ONLY"
     ),
     "legal_form_ch_vcse": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "CH_VCSE"
+        b.extract_without_bodies, "CH_VCSE"
     ),
     "legal_form_ch_nonvcse": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "CH_NONVCSE"
+        b.extract_without_bodies, "CH_NONVCSE"
     ),
     "legal_form_public": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "PUBLIC"
+        b.extract_without_bodies, "PUBLIC"
     ),
     "legal_form_none_vcse": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "NONE_VCSE"
+        b.extract_without_bodies, "NONE_VCSE"
     ),
     "legal_form_none_nonvcse": lambda b: registers.legal_form_segment(
-        b.extract_without_bodies(), "NONE_NONVCSE"
+        b.extract_without_bodies, "NONE_NONVCSE"
     ),
-    "legal_form_report": lambda b: registers.legal_form_report(b.extract_without_bodies()),
-    "legal_form_checksum": lambda b: registers.legal_form_checksum(b.extract_without_bodies()),
+    "legal_form_report": lambda b: registers.legal_form_report(b.extract_without_bodies),
+    "legal_form_checksum": lambda b: registers.legal_form_checksum(b.extract_without_bodies),
 }
 
 SUPPLIERS = {
-    "vcse_suppliers": lambda b: suppliers.vcse_suppliers(b.extract_without_bodies()),
-    "spend_bands": lambda b: suppliers.spend_bands(b.extract_without_bodies(), CUTS),
-    "vcse_top_names": lambda b: suppliers.vcse_top_names(b.extract_without_bodies(), TOP_CUT),
+    "vcse_suppliers": lambda b: suppliers.vcse_suppliers(b.extract_without_bodies),
+    "spend_bands": lambda b: suppliers.spend_bands(b.extract_without_bodies, CUTS),
+    "vcse_top_names": lambda b: suppliers.vcse_top_names(b.extract_without_bodies, TOP_CUT),
     "vcse_body_counts": lambda b: suppliers.vcse_body_counts(b.extract),
     "vcse_outliers": lambda b: suppliers.vcse_outliers(b.extract, OUTLIERS),
     "supplier_by_body": lambda b: suppliers.supplier_by_body(b.extract, SUPPLIER_NAMES),
@@ -286,7 +286,7 @@ PROFILE = {
 
 
 def _query(build: Callable[[Testbed], DataFrame]) -> Query:
-    return lambda spark, sf_dir: presentable(build(Testbed(spark, sf_dir)))
+    return lambda spark, sf_dir: presentable(build(testbed(spark, sf_dir)))
 
 
 def queries() -> dict[str, Query]:

@@ -167,11 +167,19 @@ def standard_supplier_counts(ledger: DataFrame) -> DataFrame:
 
 
 def extract_totals(ledger: DataFrame) -> DataFrame:
-    """Size of the extract and its share of all spending, in one scan."""
-    inside = _in_extract()
+    """Size of the extract and its share of all spending, in one scan.
+
+    Counting three kinds of values copies the input once per kind, so rows are
+    first combined per body and supplier.
+    """
+    keys = ["CCGName", "Supplier", "SUPPLIER_STANDARD_NAME"]
+    measures = ["Records", "Known", "Overs", "Spending", "OverSpending"]
+    groups = ledger.withColumn("_inside", _in_extract()).groupBy(*keys, "_inside")
+    combined = groups.agg(*[F.sum(m).alias(m) for m in measures])
+    inside = F.col("_inside")
     value = cond_sum("OverSpending", inside)
     whole = _if_all_known(F.sum("Spending"))
-    return ledger.agg(
+    return combined.agg(
         cond_sum("Overs", inside).alias("Invoices"),
         distinct_with_null("CCGName", inside).alias("Bodies"),
         distinct_with_null("Supplier", inside).alias("NamedSuppliers"),

@@ -11,7 +11,7 @@ the supplier key, two raw names sharing one standard name.
 
 from __future__ import annotations
 
-from functools import cached_property
+from functools import cache, cached_property, lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,16 +40,23 @@ TABLES = {
 
 
 class Testbed:
+    """Ledger frames over one folder of tables.
+
+    Frames are kept as unexecuted plans; no data is held.
+    """
+
     __test__ = False
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         self.spark = spark
         self.sf_dir = sf_dir
 
+    @cache
     def table(self, name: str) -> DataFrame:
         """A test table; the schema is given, so no file is opened to infer it."""
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cache
     def raw_ledger(self, *parts: str) -> DataFrame:
         """Raw ledger rows with the asked-for parts: body, expense, supplier, file."""
         rows = self.table("lineitem")
@@ -88,6 +95,7 @@ class Testbed:
             "lower(n_name) AS OurNames",
         )
 
+    @cache
     def invoices(self, *parts: str) -> DataFrame:
         """Clean invoices; without the body part there is no body to look up."""
         raw = self.raw_ledger(*parts)
@@ -96,6 +104,7 @@ class Testbed:
         named = collate.friendly_names(raw)
         return collate.normalise_text(collate.threshold_flag(collate.sign_split(named)))
 
+    @cache
     def measured(self, *parts: str) -> DataFrame:
         return enrich.measured(self.invoices(*parts))
 
@@ -177,8 +186,16 @@ class Testbed:
     def extract(self) -> DataFrame:
         return enrich.extract_tally(self.invoices("body", "supplier"), self.suppliers)
 
+    @cached_property
     def extract_without_bodies(self) -> DataFrame:
         return enrich.extract_tally(self.invoices("supplier"), self.suppliers)
 
+    @cached_property
     def ledger_without_bodies(self) -> DataFrame:
         return enrich.ledger_tally(self.invoices("supplier"), self.suppliers)
+
+
+@lru_cache(maxsize=4)
+def testbed(spark: SparkSession, sf_dir: str) -> Testbed:
+    """The frames of a folder; queries in one session share the plans."""
+    return Testbed(spark, sf_dir)

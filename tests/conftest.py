@@ -13,7 +13,7 @@ sys.path.insert(0, os.path.join(ROOT, "tests"))
 from pyspark.sql import functions as F  # noqa: E402
 
 from tallybook.plans import collate  # noqa: E402
-from tallybook.schemas import INVOICES, MONEY, SUPPLIERS  # noqa: E402
+from tallybook.schemas import INVOICES, SUPPLIERS  # noqa: E402
 from tallybook.session import build_session  # noqa: E402
 
 
@@ -80,4 +80,4 @@ def tuples(df, *columns: str) -> list[tuple]:
     return [tuple(row) for row in (df.select(*columns) if columns else df).collect()]
 
 
-__all__ = ["MONEY", "frame", "invoices", "master", "tuples"]
+__all__ = ["frame", "invoices", "master", "tuples"]
