@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -18,6 +17,8 @@ SETTINGS = {
     # Where every shuffled piece of the smaller side fits in memory, hash it
     # instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # Drop the checkpoint of a parallel rank once nothing refers to it.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }
@@ -63,6 +64,5 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="tallybook-checkpoint-")
-        os.makedirs(configured, exist_ok=True)
     context.setCheckpointDir(configured)
     return configured
