@@ -8,8 +8,10 @@ import pytest
 from compare import connect, difference
 
 entry = importlib.import_module("__spark_entry__")
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+catalog = importlib.import_module("tallybook.catalog")
+oracle = importlib.import_module("tallybook.oracle")
+QUERIES = catalog.queries()
+SQL = oracle.statements()
 
 
 @pytest.fixture(scope="module")
