@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybook.llm import quality_rules
+from tallybook.llm import decontaminate, quality_rules
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -26,3 +27,53 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "kept",
         "log_ratio",
     )
+
+
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontaminate.contaminated(docs, _table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("word_spans", F.lit(0), lambda n, s: n + s["last"] - s["first"]).cast("long")
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        (n_hit > 0).alias("contaminated"),
+    )
+
+
+ORACLE_SQL["op1_benchmark_decontamination"] = r"""
+WITH lowered AS (
+    SELECT 'd' AS kind, doc_id AS id, coalesce(text, '') AS text FROM documents
+    UNION ALL SELECT 'b', item_id, coalesce(text, '') FROM benchmark WHERE item_id IS NOT NULL
+), cut AS (
+    SELECT kind, id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM lowered
+), item_windows AS (
+    SELECT DISTINCT id AS item_id, least(10, len(w)) AS size,
+        array_to_string(w[k : k + least(10, len(w)) - 1], ' ') AS phrase
+    FROM (SELECT id, w, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS k
+          FROM cut WHERE kind = 'b' AND len(w) > 0)
+), sizes AS (SELECT DISTINCT size FROM item_windows
+), doc_windows AS (
+    SELECT id, size, k, array_to_string(w[k : k + size - 1], ' ') AS phrase
+    FROM (SELECT id, w, size, unnest(range(1, len(w) - size + 2)) AS k
+          FROM cut, sizes WHERE kind = 'd' AND len(w) >= size)
+), hits AS (
+    SELECT d.id, d.k, d.size, i.item_id
+    FROM doc_windows d JOIN item_windows i ON d.size = i.size AND d.phrase = i.phrase
+), words AS (
+    SELECT id, count(DISTINCT p) AS n_hit
+    FROM (SELECT id, unnest(range(k, k + size)) AS p FROM hits) GROUP BY id
+), named AS (
+    SELECT id, count(*) AS n_items, string_agg(name, ',' ORDER BY name) AS names
+    FROM (SELECT DISTINCT id, CAST(item_id AS VARCHAR) AS name FROM hits) GROUP BY id
+)
+SELECT c.id AS doc_id, CAST(len(c.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+    coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AS contaminated
+FROM cut c LEFT JOIN words USING (id) LEFT JOIN named USING (id) WHERE c.kind = 'd'
+"""
