@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, quality_rules
+from tallybook.llm import decontaminate, quality_rules, secrets
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -77,3 +77,19 @@ SELECT c.id AS doc_id, CAST(len(c.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) A
     coalesce(n_hit, 0) > 0 AS contaminated
 FROM cut c LEFT JOIN words USING (id) LEFT JOIN named USING (id) WHERE c.kind = 'd'
 """
+
+
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scanned(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base_spans", lambda x: x["kind"] == kind)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"),
+        secrets.listed("spans").alias("spans"),
+    )
