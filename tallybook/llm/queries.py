@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, quality_rules, secrets
+from tallybook.llm import decontaminate, quality_rules, secrets, token_output
+from tallybook.llm.storage import shared_folder
+from tallybook.llm.vocabulary import tokenizer_path
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -93,3 +97,11 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(secrets.listed("base_spans"), 256).alias("base_sha256"),
         secrets.listed("spans").alias("spans"),
     )
+
+
+def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    token_output.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    return token_output.read(spark, folder).select(
+        "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
+    )
