@@ -7,9 +7,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, quality_rules, secrets, token_output
+from tallybook.llm import decontaminate, quality_rules, secrets, token_counts, token_output, unigram
 from tallybook.llm.storage import shared_folder
-from tallybook.llm.vocabulary import tokenizer_path
+from tallybook.llm.vocabulary import token_pattern, tokenizer_path
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -105,3 +105,35 @@ def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = unigram.encoded(docs, tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        "n_tokens",
+        "n_byte_tokens",
+        F.crc32(F.array_join("ids", " ").cast("binary")).alias("ids_crc32"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
+    )
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.counted(
+        _table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"),
+        tokenizer_path("byte_bpe_50k.tiktoken"),
+        token_pattern(),
+        ("lang", "source", "text"),
+    )
+    return counted.select(
+        "doc_id",
+        "n_tokens",
+        "n_crossing",
+        F.get("field_tokens", 0).alias("lang_tokens"),
+        F.get("field_tokens", 1).alias("source_tokens"),
+        F.get("field_tokens", 2).alias("text_tokens"),
+        F.size("section_tokens").cast("long").alias("n_sections"),
+        F.array_join("section_tokens", ",").alias("section_tokens"),
+    )

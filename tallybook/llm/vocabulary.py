@@ -12,3 +12,10 @@ def tokenizer_path(name: str, folder: str | None = None) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def token_pattern() -> str:
+    """The pattern by which the byte-level vocabularies part a text before merging."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
