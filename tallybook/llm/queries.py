@@ -7,7 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, quality_rules, secrets, token_counts, token_output, unigram
+from tallybook.llm import decontaminate, quality_rules, secrets, token_counts, token_output, toxicity, unigram
+from tallybook.llm.labels import held_out, training_labels
 from tallybook.llm.storage import shared_folder
 from tallybook.llm.vocabulary import token_pattern, tokenizer_path
 
@@ -137,3 +138,20 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("section_tokens").cast("long").alias("n_sections"),
         F.array_join("section_tokens", ",").alias("section_tokens"),
     )
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    settings = toxicity.Settings()
+    labels = training_labels(_table(spark, sf_dir, "labels"), "toxic", 5, 0, settings.max_rows)
+    # The sample has at most about max_rows rows of two numbers.
+    model = toxicity.fit(docs.join(F.broadcast(labels), "doc_id"), settings)
+    return toxicity.scored(docs, model, settings).select(
+        "doc_id",
+        held_out(5, 0).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.array_join(
+            F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
+        ).alias("offending"),
+    )
