@@ -7,7 +7,16 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.llm import decontaminate, quality_rules, secrets, token_counts, token_output, toxicity, unigram
+from tallybook.llm import (
+    decontaminate,
+    quality_classifier,
+    quality_rules,
+    secrets,
+    token_counts,
+    token_output,
+    toxicity,
+    unigram,
+)
 from tallybook.llm.labels import held_out, training_labels
 from tallybook.llm.storage import shared_folder
 from tallybook.llm.vocabulary import token_pattern, tokenizer_path
@@ -155,3 +164,14 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.transform("offending", lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ","
         ).alias("offending"),
     )
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = training_labels(_table(spark, sf_dir, "labels"), "quality", 4, 2)
+    scored = quality_classifier.classified(_table(spark, sf_dir, "documents"), labels)
+    return scored.select(
+        "doc_id",
+        held_out(4, 2).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
