@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import (
     decontaminate,
+    lm_scores,
     quality_classifier,
     quality_rules,
     secrets,
@@ -175,3 +176,10 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         "score",
         (F.col("score") >= 0.7).cast("int").alias("predicted"),
     )
+
+
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = lm_scores.scored(_table(spark, sf_dir, "documents"), held_out(7, 2))
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
