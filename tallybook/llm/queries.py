@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import (
     decontaminate,
+    jaccard_join,
     lm_scores,
     quality_classifier,
     quality_rules,
@@ -183,3 +184,7 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
     )
+
+
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(_table(spark, sf_dir, "documents"))
