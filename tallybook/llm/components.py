@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         if labels is None:
             labels = joined
         else:
-            moved = joined.withColumnsRenamed({"node": "root", "root": "further"})
+            moved = joined.select(F.col("node").alias("root"), F.col("root").alias("further"))
             labels = stored(
                 labels.join(moved, "root", "left").select("node", F.coalesce("further", "root").alias("root")),
                 "labels",
