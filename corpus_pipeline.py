@@ -6,9 +6,11 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallybook.llm import quality_rules
+from tallybook.llm import decontaminate, jaccard_join, quality_rules, secrets, unigram
 from tallybook.llm.storage import shared_folder
+from tallybook.llm.vocabulary import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -18,8 +20,58 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.judged(docs.select(*COLUMNS)).filter("kept").select(*COLUMNS)
 
 
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Near duplicates: of each group of linked documents the one of the smallest id stays.
+
+    Rows that share an id are one document. Rows without an id can't be named
+    by a group and stay.
+    """
+    docs = docs.select(*COLUMNS)
+    linked = jaccard_join.linked(docs)
+    firsts = linked.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+
+
+def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Benchmark decontamination: passages of the benchmark are cut out of the texts."""
+    found = decontaminate.contaminated(
+        docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    )
+    return _measured(decontaminate.removed(found))
+
+
+def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secret scans: what is found is replaced by a mark."""
+    return _measured(secrets.redacted(secrets.scanned(docs.select(*COLUMNS))))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding: the ids of the texts, and whether they decode to them."""
+    coded = unigram.encoded(docs.select(*COLUMNS), tokenizer_path("piece_bpe_32k.model"))
+    return coded.select(
+        "doc_id",
+        "lang",
+        "source",
+        "n_chars",
+        "ids",
+        "n_tokens",
+        "n_byte_tokens",
+        F.col("decoded").eqNullSafe(F.col("text")).alias("same_text"),
+    )
+
+
+def _measured(docs: DataFrame) -> DataFrame:
+    """The columns of documents, with the length of the text as it is now."""
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("benchmark decontamination", cut_benchmark),
+    ("secret scans", hide_secrets),
+    ("SentencePiece encoding and decoding", encode),
 ]
 
 #: The language-model ratios, the secret battery and the segmentation have no SQL form.
