@@ -78,3 +78,23 @@ class Codes:
             below = word & ((np.uint64(1) << bit) - np.uint64(1))
             at = directory[at >> 6].astype(np.int64) + np.bitwise_count(below)
         return out
+
+    def between(self, first: int, last: int) -> np.ndarray:
+        """The numbers at ``first`` to ``last - 1``: one rank per level, then in a row."""
+        out, rows = np.zeros(last - first, np.uint32), None
+        for level, (chunks, bitmap, directory) in enumerate(self.levels):
+            part = chunks[first:last].astype(np.uint32) << np.uint32(level * self.width)
+            if rows is None:
+                out |= part
+            else:
+                out[rows] |= part
+            low, high = first >> 6, (last + 63) >> 6
+            bits = np.unpackbits(bitmap[low:high].view(np.uint8), bitorder="little")
+            bits = bits[first - 64 * low : last - 64 * low].astype(bool)
+            rows = np.flatnonzero(bits) if rows is None else rows[bits]
+            if not len(rows):
+                break
+            word = int(bitmap[low]) & ((1 << (first & 63)) - 1)
+            first = int(directory[low]) + word.bit_count()
+            last = first + len(rows)
+        return out

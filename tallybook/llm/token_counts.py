@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tallybook.llm.units import encoded_texts
+from tallybook.llm.units import UnitStore, encoded_texts, joined
 
 LIST = T.ArrayType(T.LongType())
 ADDED = T.StructType(
@@ -39,16 +39,21 @@ ADDED = T.StructType(
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str, pattern: str):
+def _encoding(path: str, pattern: str) -> tuple[UnitStore, np.ndarray]:
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(t): int(r) for t, r in map(bytes.split, lines)}
     sizes = np.zeros(max(ranks.values()) + 1, np.int64)
+    opens = np.zeros(len(sizes), bool)
     for token, rank in ranks.items():
-        sizes[rank] = len(token)
+        sizes[rank], opens[rank] = len(token), token.startswith(b" ")
     coder = tiktoken.Encoding("counts", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return coder, sizes
+
+    def encode(text: str) -> np.ndarray:
+        return np.array(coder.encode_ordinary(text), np.int32)
+
+    return UnitStore(lambda units: joined(units, encode, opens)), sizes
 
 
 def attribute(
@@ -90,16 +95,12 @@ def counted(
     schema = T.StructType([*docs.schema.fields, *ADDED.fields])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, sizes = _encoding(tokenizer_path, pattern)
-
-        def encode(units: list[str]) -> list[list[int]]:
-            return [coder.encode_ordinary(u) for u in units]
-
+        store, sizes = _encoding(tokenizer_path, pattern)
         for batch in batches:
             columns = [batch[f].to_pylist() for f in fields]
             parts = [[(k, v) for k, v in enumerate(row) if v is not None] for row in zip(*columns)]
             texts = pa.array(["\n".join(v for _, v in row) for row in parts], pa.string())
-            for a, b, ids, counts in encoded_texts(texts, encode):
+            for a, b, ids, counts in encoded_texts(texts, store):
                 yield pa.RecordBatch.from_arrays(
                     [*(batch[c].slice(a, b - a) for c in names), *_counts(parts[a:b], texts[a:b], ids, counts, sizes)],
                     names=[*names, *ADDED.names],

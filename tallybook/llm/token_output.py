@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import dac
 from tallybook.llm.tokens import filled
-from tallybook.llm.units import encoded_texts, ragged
+from tallybook.llm.units import UnitStore, encoded_texts, joined
 
 SEGMENT = (
     "part int, seq int, start_in_part bigint, n_tokens bigint,"
@@ -36,21 +36,21 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 @lru_cache(maxsize=2)
-def _tokenizer(path: str):
+def _store(path: str) -> UnitStore:
+    """The tokenizer of a file with the units this worker has coded by it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer
+    opens = np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab().items():
+        opens[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
 
+    def encode(text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
 
-def unit_ids(path: str, units: list[str], block: int = 20_000) -> list[list[int]]:
-    tokenizer, out = _tokenizer(path), []
-    for k in range(0, len(units), block):
-        coded = tokenizer.encode_batch_fast(units[k : k + block], add_special_tokens=False)
-        out += [x.ids for x in coded]
-    return out
+    return UnitStore(lambda units: joined(units, encode, opens))
 
 
 def segments(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
@@ -62,7 +62,7 @@ def segments(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = filled(batch["text"])
-            for a, b, ids, counts in encoded_texts(texts, lambda u: unit_ids(tokenizer_path, u)):
+            for a, b, ids, counts in encoded_texts(texts, _store(tokenizer_path)):
                 ended = np.insert(ids, np.cumsum(counts), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -88,10 +88,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, **names) -> None:
 def read(spark: SparkSession, folder: str) -> DataFrame:
     """One row per document from the files: ``doc_id start n_tokens ids`` (unsigned 32-bit bytes)."""
     files = spark.read.schema(SEGMENT).parquet(folder)
-    # One row per task that wrote.
+    # One row per task that wrote, so the side that is broadcast is bounded by their number.
     totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = F.sum("n").over(Window.orderBy("part")) - F.col("n")
-    placed = files.join(totals.select("part", before.alias("part_start")), "part")
+    placed = files.join(F.broadcast(totals.select("part", before.alias("part_start"))), "part")
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -99,14 +99,14 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 lengths = np.array(row["lengths"], np.int64)
                 starts = np.cumsum(lengths) - lengths
                 codes = dac.Codes(row["codes"])
-                ids = codes.access(ragged(starts, lengths)).astype("<u4").tobytes()
+                ids = [codes.between(s, s + n).astype("<u4").tobytes() for s, n in zip(starts.tolist(), row["lengths"])]
                 offset = row["part_start"] + row["start_in_part"]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(row["doc_ids"], pa.int64()),
                         pa.array(offset + starts, pa.int64()),
                         pa.array(lengths, pa.int64()),
-                        pa.array([ids[4 * s : 4 * (s + n)] for s, n in zip(starts, lengths)], pa.binary()),
+                        pa.array(ids, pa.binary()),
                     ],
                     names=["doc_id", "start", "n_tokens", "ids"],
                 )

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallybook.llm.tokens import filled
-from tallybook.llm.units import encoded_texts
+from tallybook.llm.units import Coded, UnitStore, encoded_texts
 
 MARK = "▁"
 UNIT = re.compile(f" +[^ {MARK}]*|{MARK}|[^ {MARK}]+")
@@ -222,7 +222,7 @@ class Model:
         rows, ends = rows[better], ends[better]
         best[rows, ends], piece[rows, ends], back[rows, ends] = total[better], value[better], start
 
-    def unit_ids(self, units: list[str]) -> list[list[int]]:
+    def coded(self, units: list[str]) -> Coded:
         """Ids of units of :mod:`tallybook.llm.units` with their leading spaces, or of whole texts."""
         parts, owner = [], []
         for k, unit in enumerate(units):
@@ -234,8 +234,8 @@ class Model:
         strings = [b"" if p == MARK else p.replace(" ", MARK).encode() for p in parts]
         out: list[list[int]] = [[] for _ in units]
         for k, p, ids in zip(owner, parts, self.segmented(strings)):
-            out[k] += literal if p == MARK else ids
-        return out
+            out[k] = out[k] + (literal if p == MARK else ids)
+        return Coded.of_lists(out)
 
 
 def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
@@ -250,11 +250,13 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
+        # Kept with the model by the worker, over its tasks.
+        store = own.__dict__.setdefault("store", UnitStore(own.coded))
         for batch in batches:
             nulls = batch[text].is_null().to_numpy(zero_copy_only=False)
             # The leading space is part of the first unit; an empty text gets none.
             texts = pa.array([" " + t if t else "" for t in filled(batch[text]).to_pylist()], pa.string())
-            for a, b, ids, counts in encoded_texts(texts, own.unit_ids):
+            for a, b, ids, counts in encoded_texts(texts, store):
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.append(nulls[a:b], False)),

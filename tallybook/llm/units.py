@@ -4,12 +4,14 @@ A unit is a word with the one space before it. Where a space stands alone
 between other characters, the usual pre-tokenizers start a new piece at it, so
 the ids of a text are those of its units in a row. Texts in which a space
 touches other white space are one unit. Each distinct unit of a batch is
-tokenized once.
+tokenized once, and a worker remembers a bounded number of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -51,28 +53,93 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
 
 
+@dataclass
 class Coded:
-    """Distinct units with their ids end to end."""
+    """Units with their ids end to end."""
 
-    def __init__(self, ids: list[list[int]]) -> None:
-        self.lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+    lengths: np.ndarray
+    ids: np.ndarray
+
+    def __post_init__(self) -> None:
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.fromiter((i for x in ids for i in x), np.int32, int(self.lengths.sum()))
+
+    @classmethod
+    def of_lists(cls, ids: list[list[int]]) -> Coded:
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
+        return cls(lengths, np.fromiter(chain.from_iterable(ids), np.int32, int(lengths.sum())))
 
     def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the units in a row, and ids per unit."""
         lengths = self.lengths[codes]
         return self.ids[ragged(self.starts[codes], lengths)], lengths
 
+    def and_then(self, other: Coded) -> Coded:
+        return Coded(np.concatenate((self.lengths, other.lengths)), np.concatenate((self.ids, other.ids)))
+
+
+class UnitStore:
+    """Remembers the ids of units a worker has met, up to ``limit`` of them."""
+
+    def __init__(self, encode: Callable[[list[str]], Coded], limit: int = 800_000) -> None:
+        self.encode, self.limit = encode, limit
+        self.places: dict[str, int] = {}
+        self.known = Coded(np.empty(0, np.int64), np.empty(0, np.int32))
+
+    def coded(self, units: list[str]) -> tuple[np.ndarray, Coded]:
+        """The place of every unit in the ids that are returned with them."""
+        get = self.places.get
+        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        new = np.flatnonzero(at < 0)
+        at[new] = len(self.places) + np.arange(len(new))
+        missing = [units[k] for k in new]
+        both = self.known.and_then(self.encode(missing))
+        room = min(len(new), self.limit - len(self.places))
+        if room > 0:
+            self.places.update(zip(missing[:room], at[new[:room]].tolist()))
+            count = len(self.places)
+            self.known = Coded(both.lengths[:count], both.ids[: int(both.lengths[:count].sum())])
+        return at, both
+
+
+def joined(units: list[str], encode: Callable[[str], np.ndarray], opens: np.ndarray, block: int = 5000) -> Coded:
+    """Ids of units, many encoded at a time as one text.
+
+    ``opens`` tells by id which tokens start with a space. A unit has one space,
+    at its start, so such tokens part the ids of a text of units. Units that are
+    otherwise, or have white space at an end, are encoded alone.
+    """
+    regular = np.array(
+        [len(u) > 1 and u[0] == " " and " " not in u[1:] and not u[1].isspace() and not u[-1].isspace() for u in units],
+        bool,
+    )
+    lengths, parts = np.zeros(len(units), np.int64), []
+    order = np.concatenate((np.flatnonzero(regular), np.flatnonzero(~regular)))
+    count = int(regular.sum())
+    for k in range(0, count, block):
+        ids = encode("".join([units[i] for i in order[k : min(k + block, count)]]))
+        starts = np.flatnonzero(opens[ids])
+        lengths[order[k : min(k + block, count)]] = np.diff(np.append(starts, len(ids)))
+        parts.append(ids)
+    for i in order[count:]:
+        ids = encode(units[i])
+        lengths[i] = len(ids)
+        parts.append(ids)
+    flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+    by_order = Coded(lengths[order], flat.astype(np.int32, copy=False))
+    back = np.empty(len(units), np.int64)
+    back[order] = np.arange(len(units))
+    return Coded(lengths, by_order.take(back)[0])
+
 
 def encoded_texts(
-    texts: pa.StringArray, encode: Callable[[list[str]], list[list[int]]], slice_bytes: int = 4 << 20
+    texts: pa.StringArray, store: UnitStore, slice_bytes: int = 4 << 20
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, ids, ids per text)`` over slices of a batch of about ``slice_bytes``."""
     if not len(texts):
         return
     codes, per_text, units = split_units(texts)
-    coded = Coded(encode(units))
+    place, coded = store.coded(units)
+    codes = place[codes]
     ends = np.cumsum(per_text)
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     cuts = [0, *(np.flatnonzero(np.diff(sizes // slice_bytes)) + 1), len(texts)]
