@@ -24,7 +24,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     key, alive = np.zeros(n, np.int64), np.ones(n, bool)
     for k in range(width):
         following = np.zeros(n, np.int64)
-        following[: n - k] = symbols[k:] if k else symbols
+        following[: max(0, n - k)] = symbols[k:]
         key = (key << bits) | np.where(alive, following, 0)
         alive &= following != SEPARATOR
     order = np.argsort(key, kind="stable")

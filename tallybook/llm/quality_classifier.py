@@ -65,7 +65,7 @@ def statistics(texts: pa.StringArray) -> np.ndarray:
             out[name][k] = raw[list(members)].sum() / max(1, size)
         out["line_ends"][k] = raw[10] / max(1, size)
         lines = [line for line in text.split("\n") if line]
-        out["repeated_lines"][k] = 1 - len(set(lines)) / max(1, len(lines))
+        out["repeated_lines"][k] = (len(lines) - len(set(lines))) / max(1, len(lines))
         out["line_bytes"][k] = np.log1p(size / max(1, len(lines)))
     some = np.maximum(words, 1)
     owner = np.repeat(np.arange(n), words)

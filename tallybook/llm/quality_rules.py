@@ -26,6 +26,7 @@ SPACE_RUN = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW = 8
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 @dataclass(frozen=True)
@@ -55,7 +56,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         F.array().cast("array<string>")
     )
     lines = F.filter(F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
-    cut = docs.withColumns({"_words": split, "_lines": lines})
+    cut = docs.drop(*COUNTS).withColumns({"_words": split, "_lines": lines})
     hashed = cut.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
