@@ -53,7 +53,7 @@ def main(arguments: list[str] | None = None) -> None:
             if not lost.isEmpty():
                 raise SystemExit(f"the manifest names files that are not there, e.g. {lost.first()[0]}")
         raw = read_ledgers(spark, args.ledgers, manifest, args.format)
-        pipeline.write_tables(pipeline.file_report(raw), f"{out}/files")
+        pipeline.write_tables(pipeline.file_report(raw, manifest), f"{out}/files")
         codes = read_named(spark, args.codes, schemas.BODY_CODES)
         pipeline.build_invoices(raw, codes, out)
     elif args.stage == "enrich":

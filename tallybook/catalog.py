@@ -72,7 +72,7 @@ def _raw(bed: Testbed) -> DataFrame:
 
 
 def _flags(bed: Testbed) -> DataFrame:
-    return collate.sign_split(collate.friendly_names(bed.raw_ledger("body", "supplier")))
+    return collate.sign_split(collate.friendly_names(bed.raw_ledger("body", "expense", "supplier")))
 
 
 def _split(bed: Testbed) -> DataFrame:
@@ -108,14 +108,16 @@ COLLATE = {
     ),
     "sign_split": _flags,
     "threshold_flag": lambda b: collate.threshold_flag(
-        collate.friendly_names(b.raw_ledger("body", "supplier"))
+        collate.friendly_names(b.raw_ledger("body", "expense", "supplier"))
     ),
     "normalise_text": lambda b: collate.normalise_text(
-        collate.friendly_names(b.raw_ledger("body", "expense", "supplier"))
+        collate.attach_body_code(
+            collate.friendly_names(b.raw_ledger("body", "expense", "supplier")), b.body_codes
+        )
     ),
     "recode_suppliers": lambda b: collate.recode_suppliers(
-        b.invoices("body", "supplier"), RECODE_RULES
-    ).select("CCGName", "CCGCode", "Supplier", "Amount"),
+        b.invoices("body", "expense", "supplier"), RECODE_RULES
+    ),
     "unique_suppliers": lambda b: collate.unique_suppliers(b.invoices("supplier")),
 }
 
@@ -178,16 +180,6 @@ SECTORS = {
     "flag_profile_vcse": lambda b: sectors.flag_profile(b.extract_without_bodies, "VCSE_Status"),
 }
 
-_SHARED_COLUMNS = [
-    "CCGName",
-    "CCGCode",
-    "Supplier",
-    "SUPPLIER_STANDARD_NAME",
-    "CCFound",
-    "CHFound",
-    "Spending",
-]
-
 REGISTERS = {
     "supplier_crosstab": lambda b: registers.supplier_crosstab(b.extract_without_bodies),
     "supplier_crosstab_report": lambda b: registers.supplier_crosstab_report(
@@ -199,8 +191,10 @@ REGISTERS = {
     ),
     "unregistered_share": lambda b: registers.unregistered_share(b.extract_without_bodies),
     "shared_subset": lambda b: registers.shared_subset(
-        b.shared_list, enrich.valid_extract(b.invoices("body", "supplier"), b.suppliers)
-    ).select(*_SHARED_COLUMNS),
+        b.shared_list,
+        enrich.valid_extract(b.invoices("body", "expense", "supplier"), b.suppliers),
+        b.extract,
+    ),
     "register_counts_subset": lambda b: registers.register_counts_subset(b.shared_list, b.extract),
     "register_flags_by_body": lambda b: registers.register_flags_by_body(b.shared_list, b.extract),
     "legal_form_cc_ch": lambda b: registers.legal_form_segment(b.extract_without_bodies, "CC_CH"),
@@ -245,6 +239,9 @@ BODIES = {
     "rank_quartile": lambda b: bodies.rank_quartile(_per_capita(b)),
     "successor_rollup": _successors,
     "successor_rank": _successor_rank,
+    "complete_successor_rank": lambda b: bodies.complete_successor_rank(
+        _successors(b), _per_capita(b), b.geography
+    ),
     "successor_case_study": lambda b: bodies.successor_case_study(
         _successor_rank(b), SUCCESSOR_RANKS, SUCCESSOR_CUTS
     ),

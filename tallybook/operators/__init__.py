@@ -15,9 +15,7 @@ from tallybook.operators.rank import (
 )
 from tallybook.operators.recode import recode
 from tallybook.operators.shares import share_of_total
-from tallybook.operators.sizing import estimated_bytes, fits_broadcast
 from tallybook.operators.slices import head, head_and_tail, nth_rows, tail
-from tallybook.operators.spread import spread
 from tallybook.operators.totals import total_row
 from tallybook.operators.twolevel import group_with_attribute, two_level
 
@@ -27,9 +25,7 @@ __all__ = [
     "ascending",
     "attach",
     "descending",
-    "estimated_bytes",
     "exclude",
-    "fits_broadcast",
     "flag_ranks",
     "global_rank",
     "group_with_attribute",
@@ -47,7 +43,6 @@ __all__ = [
     "rollup_geography",
     "share_of_total",
     "sort_columns",
-    "spread",
     "tail",
     "total_row",
     "two_level",

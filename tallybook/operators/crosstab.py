@@ -16,8 +16,12 @@ def pivot_with_total(
 ) -> DataFrame:
     """One row per key, one column per value, missing cells 0, and their Total.
 
-    The values are given, so no extra job looks for them.
+    The values are given, so no extra job looks for them. A value that is not
+    among them fails the job: left out, it would be missing from the totals.
     """
+    listed = F.coalesce(F.col(column).isin(values), F.lit(False))
+    message = F.concat(F.lit(f"{column} has a value off its list: "), F.coalesce(F.col(column), F.lit("NULL")))
+    df = df.filter(F.when(listed, True).otherwise(F.raise_error(message).cast("boolean")))
     wide = df.groupBy(key).pivot(column, values).agg(measure)
     cells = [F.coalesce(F.col(f"`{v}`"), F.lit(0)).alias(v) for v in values]
     filled = wide.select(key, *cells)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import strict_sum
+from tallybook.operators.joins import attach
 from tallybook.operators.twolevel import group_with_attribute
 
 
@@ -22,7 +23,7 @@ def rollup_geography(
     ``df`` is already one row per body, so only that frame meets the lookup.
     A unit keyed by its code also gets its name.
     """
-    placed = df.join(successor_columns(lookup), "CCGCode", "left")
+    placed = attach(df, successor_columns(lookup), "CCGCode")
     if key == "CCGCode2020":
         return group_with_attribute(placed, key, "CCGName2020", sums, strict_sum)
     return placed.groupBy(key).agg(*[value.alias(name) for name, value in sums.items()])

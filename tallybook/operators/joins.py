@@ -27,32 +27,38 @@ def unique_key(df: DataFrame, key: str) -> DataFrame:
     return df.filter(F.when(number > 0, failed).otherwise(True))
 
 
-def attach(df: DataFrame, dimension: DataFrame, key: str) -> DataFrame:
-    """Left equi-join that keeps every row of ``df`` once."""
-    return df.join(dimension, key, "left")
+def attach(df: DataFrame, dimension: DataFrame, key: str, how: str = "left") -> DataFrame:
+    """Equi-join in which a row of ``df`` meets one row; a repeated key fails the job."""
+    return df.join(unique_key(dimension, key), key, how)
 
 
 def match_suppliers(rows: DataFrame, suppliers: DataFrame, how: str = "left") -> DataFrame:
-    """Join ledger rows to the supplier master; a NULL name matches a NULL key."""
-    master = suppliers.withColumnRenamed("Supplier", "_master_key")
+    """Join ledger rows to the supplier master; a NULL name matches a NULL key.
+
+    A repeated key of the master fails the job.
+    """
+    master = unique_key(suppliers, "Supplier").withColumnRenamed("Supplier", "_master_key")
     matched = rows.join(master, F.col("Supplier").eqNullSafe(F.col("_master_key")), how)
     return matched.drop("_master_key")
 
 
-def restrict_to_list(listed: DataFrame, facts: DataFrame, key: str) -> DataFrame:
+def restrict_to_list(
+    listed: DataFrame, facts: DataFrame, key: str, present: DataFrame | None = None
+) -> DataFrame:
     """``listed`` left join ``facts``: listed keys without facts give one NULL row.
 
     Written as an inner join plus the unmatched keys. The short list stays the
     side that can be broadcast, so one key holding much of the fact table never
-    lands in one task, which a left join from the list would force.
+    lands in one task, which a left join from the list would force. The keys of
+    the facts come from ``present`` where a narrower frame has them.
     """
     inner = listed.join(facts, key, "inner")
-    present = facts.select(key).distinct()
+    present = (facts if present is None else present).select(key).distinct()
     unmatched = listed.join(present, key, "left_anti")
     return inner.unionByName(unmatched, allowMissingColumns=True)
 
 
 def exclude(df: DataFrame, key: str, values: Iterable[str]) -> DataFrame:
-    """Rows whose key is none of ``values``; a NULL key is dropped as well."""
+    """Rows whose key is none of ``values``; with values given, a NULL key is dropped as well."""
     values = list(values)
-    return df.filter(~F.col(key).isin(values)) if values else df.filter(F.col(key).isNotNull())
+    return df.filter(~F.col(key).isin(values)) if values else df

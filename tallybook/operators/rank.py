@@ -11,10 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallybook.session import ensure_checkpoint_dir
-
-# monotonically_increasing_id: partition number above, row number below.
-_ROW_BITS = 33
+# Quantiles that cut an order into parts, and the part of missing values.
+_STEPS = [k / 64 for k in range(1, 64)]
+_LAST_PART = 1 << 30
 
 
 class SortKey(NamedTuple):
@@ -50,34 +49,49 @@ def global_rank(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
 
 
 def range_rank(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
-    """The same rank for frames of any size, sorted in parallel.
-
-    Rows are range-partitioned on the whole order (the unique key at its end
-    also splits a large group of equal values), sorted inside the partitions
-    and numbered by partition and position. A row's rank is its position plus
-    the rows of all earlier partitions; that prefix table has one row per
-    partition. The numbered rows are checkpointed because the range bounds are
-    sampled: counting and ranking must see the same ones.
+    """The same rank for frames of any size, ordered by a number and a unique key.
+
+    Quantiles of the number cut the order into parts. A value that many rows
+    share is itself a quantile; it gets parts of its own, cut by quantiles of
+    the unique key. A row's rank is its place in its part plus the rows of all
+    earlier parts; that table has a fixed number of rows at most. Quantiles
+    come from a scalar subquery, so nothing runs before the query does.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    orders = sort_columns(keys)
-    placed = (
-        df.repartitionByRange(*orders)
-        .sortWithinPartitions(*orders)
-        .withColumn("_place", F.monotonically_increasing_id())
-        .withColumn("_part", F.shiftright("_place", _ROW_BITS))
-        .withColumn("_offset", F.col("_place").bitwiseAND(F.lit((1 << _ROW_BITS) - 1)))
-        .drop("_place")
-        .checkpoint()
-    )
+    measure, unique = keys
+    bounds = df.agg(
+        F.struct(
+            F.percentile_approx(measure.name, _STEPS, 10_000).alias("measure"),
+            F.percentile_approx(_ordinal(df, unique.name), _STEPS, 10_000).alias("unique"),
+        )
+    ).scalar()
+    bounded = df.withColumns({"_bounds": bounds, "_ordinal": _ordinal(df, unique.name)})
+
+    def place(value: Column, cuts: Column, down: bool) -> Column:
+        return F.size(F.filter(cuts, lambda x: x > value if down else x < value))
+
+    value, cuts = F.col(measure.name), F.col("_bounds.measure")
+    shared = F.array_contains(cuts, value)
+    within = place(F.col("_ordinal"), F.col("_bounds.unique"), unique.down)
+    within = F.when(F.col("_ordinal").isNull(), len(_STEPS)).otherwise(within)
+    inner = F.when(shared, within).otherwise(0)
+    part = (place(value, cuts, measure.down) * 2 + shared.cast("int")) * len(_STEPS) * 2 + inner
+    placed = bounded.withColumn("_part", F.when(value.isNotNull(), part).otherwise(_LAST_PART))
+    placed = placed.drop("_bounds", "_ordinal")
     earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = (
         placed.groupBy("_part")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     )
-    # One row per partition of the sort: bounded by spark.sql.shuffle.partitions.
+    inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort_columns(keys)))
+    # One row per part: a fixed number at most.
     ranked = placed.join(F.broadcast(starts), "_part")
-    return ranked.withColumn(name, F.col("_start") + F.col("_offset") + 1).drop(
-        "_part", "_offset", "_start"
-    )
+    return ranked.withColumn(name, (F.col("_start") + inside).cast("long")).drop("_part", "_start")
+
+
+def _ordinal(df: DataFrame, name: str) -> Column:
+    """A number in the order of a column; of text, its first seven bytes."""
+    if df.schema[name].dataType.simpleString() != "string":
+        return F.col(name)
+    digits = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
+    return F.conv(digits, 16, 10).cast("long")

@@ -112,26 +112,28 @@ SELECT count(DISTINCT Entity) + max(CASE WHEN Entity IS NULL THEN 1 ELSE 0 END)
     "attach_body_code": f"""
 SELECT {LEDGER_TEXT}, RawCode AS CCGCode, {_money("Amount")} AS Amount FROM coded""",
     "sign_split": f"""
-SELECT Entity AS CCGName, RawSupplier AS Supplier, {_money("Amount")} AS Amount,
+SELECT {LEDGER_TEXT}, {_money("Amount")} AS Amount,
        CASE WHEN Amount > 0 THEN 1 ELSE 0 END AS PositiveFlag,
        {_money("CASE WHEN Amount > 0 THEN 0 ELSE Amount END")} AS Income,
        {_money("CASE WHEN Amount > 0 THEN Amount ELSE 0 END")} AS Spending
 FROM raw""",
     "threshold_flag": f"""
-SELECT Entity AS CCGName, RawSupplier AS Supplier, {_money("Amount")} AS Amount,
+SELECT {LEDGER_TEXT}, {_money("Amount")} AS Amount,
        CASE WHEN Amount >= 25000 THEN 1 ELSE 0 END AS InvoiceOver25k
 FROM raw""",
     "normalise_text": f"""
 SELECT upper(Entity) AS CCGName, upper(RawType) AS ExpenseType, upper(RawArea) AS ExpenseArea,
-       upper(RawSupplier) AS Supplier, {_money("Amount")} AS Amount FROM raw""",
+       upper(RawSupplier) AS Supplier, upper(RawCode) AS CCGCode, {_money("Amount")} AS Amount
+FROM coded""",
     "recode_suppliers": f"""
-SELECT CCGName, CCGCode,
+SELECT CCGName, CCGCode, ExpenseType, ExpenseArea, PositiveFlag, InvoiceOver25k,
        CASE WHEN CCGCode IN ('3', '5') AND Supplier = 'SUPPLIER#000000011'
               THEN 'SUPPLIER#000000011 (NORTH)'
             WHEN CCGCode = '4' AND Supplier IN ('SUPPLIER#000000011', 'SUPPLIER#000000012')
               THEN 'SUPPLIER#000000011 (SOUTH)'
             ELSE Supplier END AS Supplier,
-       {_money("Amount")} AS Amount
+       {_money("Amount")} AS Amount, {_money("Income")} AS Income,
+       {_money("Spending")} AS Spending
 FROM invoices""",
     "unique_suppliers": "SELECT DISTINCT Supplier FROM invoices",
 }
@@ -282,9 +284,12 @@ _GP = f"""
 
 def _nth(body: str, ranks: str) -> str:
     source = _BODY_SPEND.format(body=body)
+    places = len(ranks.split(","))
+    picked = f"sum(Spending) FILTER (place IN ({ranks}))"
     return f"""
 SELECT '{body}' AS CCGName,
-       {_rounded(_share(f"sum(Spending) FILTER (place IN ({ranks}))", "sum(Spending)"))} AS Share
+       CASE WHEN count(*) FILTER (place IN ({ranks})) = {places}
+            THEN {_rounded(_share(picked, "sum(Spending)"))} END AS Share
 FROM (SELECT *, row_number() OVER (ORDER BY Spending DESC, SUPPLIER_STANDARD_NAME) AS place
       FROM {source})"""
 
@@ -482,8 +487,8 @@ FROM (SELECT
   (SELECT sum("NotCCorCH") FROM {_SPEND_CROSS} WHERE Category NOT IN ('NHS', 'LA')) AS v,
   (SELECT sum(Total) FROM {_SPEND_CROSS}) AS allv)""",
     "shared_subset": f"""
-SELECT s.CCGName, e.CCGCode, e.Supplier, e.SUPPLIER_STANDARD_NAME, e.CCFound, e.CHFound,
-       {_money("e.Spending")} AS Spending
+SELECT s.CCGName, e.* EXCLUDE (CCGName) REPLACE (CAST(Amount AS DOUBLE) AS Amount,
+       CAST(Income AS DOUBLE) AS Income, CAST(Spending AS DOUBLE) AS Spending)
 FROM shared s LEFT JOIN extract e ON e.CCGName = s.CCGName""",
     "register_counts_subset": """
 SELECT (SELECT count(*) FROM (SELECT SUPPLIER_STANDARD_NAME FROM shared LEFT JOIN extract
@@ -639,6 +644,13 @@ SELECT {_PER_CAPITA_COLUMNS},
 FROM {_PER_CAPITA}""",
     "successor_rollup": f"SELECT {_UNIT_COLUMNS} FROM {_UNITS}",
     "successor_rank": f"SELECT {_UNIT_COLUMNS}, ID FROM {_UNIT_RANK}",
+    "complete_successor_rank": f"""
+SELECT {_UNIT_COLUMNS},
+       row_number() OVER (ORDER BY PercapitaSpend DESC NULLS LAST, CCGCode2020) AS ID
+FROM {_UNITS}
+WHERE CCGCode2020 IS NOT NULL AND CCGCode2020 NOT IN
+  (SELECT CCGCode2020 FROM geography WHERE CCGCode2020 IS NOT NULL
+     AND CCGCode NOT IN (SELECT CCGCode FROM extract WHERE CCGCode IS NOT NULL))""",
     "successor_case_study": f"""
 SELECT {_UNIT_COLUMNS}, ID,
        {_whole("CASE WHEN ID <= 1 THEN 1 WHEN ID <= 2 THEN 2 WHEN ID <= 3 THEN 3 ELSE 4 END")}

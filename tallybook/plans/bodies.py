@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tallybook.functions import cond_sum, flag_on, ratio, strict_sum
 from tallybook.operators import (
     ascending,
+    attach,
     descending,
     exclude,
     flag_ranks,
@@ -89,7 +90,7 @@ def vcse_share_of_total(split: DataFrame) -> DataFrame:
 def per_capita_spend(split: DataFrame, population: DataFrame) -> DataFrame:
     """VCSE spending per inhabitant, ranked."""
     spend = split.select("ID", "CCGCode", "CCGName", "NonNHSLAVCSESpend")
-    joined = spend.join(population, "CCGCode", "left")
+    joined = attach(spend, population, "CCGCode")
     return _rerank(
         joined.withColumn("PerCapitaVCSESpend", ratio("NonNHSLAVCSESpend", "Mid2018Pop")),
         "PerCapitaVCSESpend",

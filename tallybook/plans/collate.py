@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import distinct_with_null, strict_sum
-from tallybook.operators import ascending, global_rank, recode
+from tallybook.operators import ascending, attach, global_rank, recode
 from tallybook.schemas import LEDGER_COLUMNS, MONEY, RAW_LEDGER
 
 THRESHOLD = 25000
@@ -43,25 +43,49 @@ def friendly_names(raw: DataFrame) -> DataFrame:
     return raw.withColumnsRenamed(dict(zip(RAW_LEDGER.names, LEDGER_COLUMNS)))
 
 
-def file_summary(raw: DataFrame, file_column: str = "File") -> DataFrame:
+def file_summary(
+    raw: DataFrame, file_column: str = "File", manifest: DataFrame | None = None
+) -> DataFrame:
     """Per source file: first entity, suppliers, invoices and net amount.
 
-    Rows are combined per file, supplier and entity first, so a file holding
-    most of the ledger is never gathered in one task.
+    Rows are combined per file, supplier and entity, then per file and
+    supplier, so a file holding most of the ledger is never gathered in one
+    task, and suppliers are counted as rows. With a manifest every file it
+    names has a line, numbered in its order; one without rows has no entity
+    and counts of 0. Without one, the files that have rows are numbered by name.
     """
     amount = F.col("`AP Amount (£)`")
-    per_supplier = raw.groupBy(file_column, "Supplier", "Entity").agg(
+    per_entity = raw.groupBy(file_column, "Supplier", "Entity").agg(
         F.count(F.lit(1)).alias("Invoices"),
         F.count(amount).alias("_known"),
         F.sum(amount).alias("Amount"),
     )
+    per_supplier = per_entity.groupBy(file_column, "Supplier").agg(
+        F.min("Entity").alias("Entity"),
+        F.sum("Invoices").alias("Invoices"),
+        F.sum("_known").alias("_known"),
+        F.sum("Amount").alias("Amount"),
+    )
     per_file = per_supplier.groupBy(file_column).agg(
         F.min("Entity").alias("CCG"),
-        distinct_with_null("Supplier").alias("Suppliers"),
+        F.count(F.lit(1)).alias("Suppliers"),
         F.sum("Invoices").alias("Invoices"),
         F.when(F.sum("_known") == F.sum("Invoices"), F.sum("Amount")).alias("Amount"),
     )
-    return global_rank(per_file, [ascending(file_column)], "Count")
+    if manifest is None:
+        return global_rank(per_file, [ascending(file_column)], "Count")
+    # A manifest is one small file, read in its order.
+    listed = manifest.select(F.col("FileName").alias(file_column)).withColumn(
+        "_line", F.monotonically_increasing_id()
+    )
+    lines = listed.join(per_file, file_column, "left").withColumns(
+        {
+            "Suppliers": F.coalesce("Suppliers", F.lit(0)),
+            "Invoices": F.coalesce("Invoices", F.lit(0)),
+            "Amount": F.when(F.col("Invoices").isNull(), 0).otherwise(F.col("Amount")),
+        }
+    )
+    return global_rank(lines, [ascending("_line")], "Count").drop("_line")
 
 
 def collation_check(raw: DataFrame) -> DataFrame:
@@ -76,7 +100,7 @@ def collation_check(raw: DataFrame) -> DataFrame:
 def attach_body_code(ledger: DataFrame, body_codes: DataFrame) -> DataFrame:
     """Add the code of the paying body, found by its local (mixed-case) name."""
     codes = body_codes.select(F.col("OurNames").alias("CCGName"), F.col("CCG18CD").alias("CCGCode"))
-    coded = ledger.join(codes, "CCGName", "left")
+    coded = attach(ledger, codes, "CCGName")
     order = ["CCGName", "CCGCode", *LEDGER_COLUMNS[1:]]
     return coded.select([c for c in order if c in coded.columns])
 

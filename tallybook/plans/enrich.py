@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.functions import distinct_with_null, flag_on
-from tallybook.operators import fits_broadcast, match_suppliers, unique_key
+from tallybook.operators import match_suppliers, unique_key
 from tallybook.schemas import EXTRACT_COLUMNS, VALIDITY_FLAGS
 
 BODY = ["CCGCode", "CCGName"]
@@ -27,7 +27,7 @@ BODY = ["CCGCode", "CCGName"]
 
 def enrich_ledger(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     """Every invoice with what is known about its supplier."""
-    return match_suppliers(invoices, unique_key(suppliers, "Supplier"))
+    return match_suppliers(invoices, suppliers)
 
 
 def valid_supplier() -> Column:
@@ -110,14 +110,14 @@ def _large_payments(rows: DataFrame) -> DataFrame:
 def ledger_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The whole ledger."""
     rows = measured(invoices)
-    return match_suppliers(rows if fits_broadcast(suppliers) else _added_up(rows), suppliers)
+    return match_suppliers(_added_up(rows), suppliers)
 
 
 def extract_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The analytical dataset."""
-    master = _valid_master(suppliers)
+    master = _valid_master(unique_key(suppliers, "Supplier"))
     rows = _large_payments(measured(_over_threshold(invoices)))
-    return (rows if fits_broadcast(master) else _added_up(rows)).join(master, "Supplier", "inner")
+    return _added_up(rows).join(master, "Supplier", "inner")
 
 
 def payments_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -127,7 +127,7 @@ def payments_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
 
 def stored_form(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     """The ledger tally to be stored: one row per body and supplier."""
-    return match_suppliers(_added_up(measured(invoices)), unique_key(suppliers, "Supplier"))
+    return match_suppliers(_added_up(measured(invoices)), suppliers)
 
 
 def payments_of(ledger: DataFrame) -> DataFrame:

@@ -171,9 +171,9 @@ def write_tables(tables: Tables, out: str) -> None:
         write_csv(ordered, f"{out}/{name}")
 
 
-def file_report(raw: DataFrame) -> Tables:
+def file_report(raw: DataFrame, manifest: DataFrame | None = None) -> Tables:
     """Per-file figures and the check over all files."""
     return {
-        "file_summary": (collate.file_summary(raw), [ascending("Count")]),
+        "file_summary": (collate.file_summary(raw, manifest=manifest), [ascending("Count")]),
         "collation_check": (collate.collation_check(raw), []),
     }

@@ -125,9 +125,15 @@ def unregistered_share(extract: DataFrame) -> DataFrame:
 # The subset of bodies shared with another project.
 
 
-def shared_subset(shared: DataFrame, extract: DataFrame) -> DataFrame:
-    """Extract rows of the listed bodies; a body without any gives a NULL row."""
-    return restrict_to_list(shared, extract, "CCGName")
+def shared_subset(
+    shared: DataFrame, extract: DataFrame, present: DataFrame | None = None
+) -> DataFrame:
+    """Extract rows of the listed bodies; a body without any gives a NULL row.
+
+    ``present`` is a narrower frame with the bodies of the extract, such as its
+    tally, if there is one.
+    """
+    return restrict_to_list(shared, extract, "CCGName", present)
 
 
 def register_counts_subset(shared: DataFrame, extract: DataFrame) -> DataFrame:

@@ -69,6 +69,7 @@ def nth_supplier_share(extract: DataFrame, ranks: dict[str, list[int]]) -> DataF
     """Share of a body's spending that its n-th largest suppliers receive.
 
     ``ranks`` gives the places wanted per body; all bodies are read in one scan.
+    A place beyond the last supplier makes the share of its body NULL.
     """
     suppliers = (
         extract.filter(F.col("CCGName").isin(list(ranks)))
@@ -81,7 +82,15 @@ def nth_supplier_share(extract: DataFrame, ranks: dict[str, list[int]]) -> DataF
     listed = F.lit(False)
     for body, places in ranks.items():
         listed = listed | ((F.col("CCGName") == body) & F.col("_position").isin(places))
-    picked = top.filter(listed).groupBy("CCGName").agg(F.sum("Spending").alias("_picked"))
+    asked = F.lit(0)
+    for body, places in ranks.items():
+        asked = F.when(F.col("CCGName") == body, len(set(places))).otherwise(asked)
+    complete = F.count(F.lit(1)) == F.max(asked)
+    picked = (
+        top.filter(listed)
+        .groupBy("CCGName")
+        .agg(F.when(complete, F.sum("Spending")).alias("_picked"))
+    )
     whole = suppliers.groupBy("CCGName").agg(F.sum("Spending").alias("_whole"))
     return whole.join(picked, "CCGName", "left").select(
         "CCGName", ratio("_picked", "_whole").alias("Share")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -17,8 +15,6 @@ SETTINGS = {
     # Where every shuffled piece of the smaller side fits in memory, hash it
     # instead of sorting both sides.
     "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
-    # Drop the checkpoint of a parallel rank once nothing refers to it.
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
 }
@@ -45,24 +41,3 @@ def build_session(
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
-
-
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Name of the folder checkpoints go to.
-
-    The cluster names a shared folder in ``spark.checkpoint.dir``. A private
-    folder is made only where nothing is configured and Spark runs in one
-    local process; on a cluster a missing setting is an error, because a
-    machine-local folder would be lost with the machine.
-    """
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="tallybook-checkpoint-")
-    context.setCheckpointDir(configured)
-    return configured

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallybook.schemas import RAW_LEDGER
+from tallybook.schemas import MONEY, RAW_LEDGER
 
 MISSING = "NA"
+# A quote inside a quoted value is doubled, on reading and on writing.
+QUOTING = {"quote": '"', "escape": '"'}
 
 
 def _file_name() -> Column:
@@ -18,7 +22,9 @@ def _file_name() -> Column:
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """A headed text file under a given schema; nothing is inferred."""
-    return spark.read.csv(path, schema=schema, header=True, nullValue=MISSING, mode="FAILFAST")
+    return spark.read.csv(
+        path, schema=schema, header=True, nullValue=MISSING, mode="FAILFAST", **QUOTING
+    )
 
 
 def read_named(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -27,10 +33,23 @@ def read_named(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     Only the header line is looked at beforehand. A value that does not fit its
     type fails the job.
     """
-    text = spark.read.csv(path, header=True, nullValue=MISSING, mode="FAILFAST")
+    text = spark.read.csv(path, header=True, nullValue=MISSING, mode="FAILFAST", **QUOTING)
     return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+def _exact_money(text: Column) -> Column:
+    """Text as money. Digits beyond pennies fail the job: they could decide the threshold."""
+    whole = text.cast(T.DecimalType(38, 12))
+    money = whole.cast(MONEY)
+    message = F.concat(F.lit("amount with more than two decimals: "), text)
+    return F.when(whole.isNull() | (whole == money), money).otherwise(F.raise_error(message).cast(MONEY))
+
+
+def _literal_path(directory: str, name: str) -> str:
+    """The path of one file; characters that would be a pattern stand for themselves."""
+    return f"{directory}/" + re.sub(r"([*?{}\[\]\\])", r"\\\1", name)
+
+
 def read_ledgers(
     spark: SparkSession,
     directory: str,
@@ -38,33 +57,45 @@ def read_ledgers(
     file_format: str = "csv",
     layout: T.StructType = RAW_LEDGER,
 ) -> DataFrame:
-    """All ledger files of a folder as one scan, with the file each row is from.
+    """Ledger files of a folder as one scan, with the file each row is from.
 
     ``layout`` lists the columns of the files; only the five ledger columns are
     kept. Headed text files must carry those headers in that order, otherwise
-    the read fails. With a manifest only the files it names are kept.
+    the read fails. With a manifest only the files it names are opened; names
+    without a file (see :func:`missing_files`) give no rows.
     """
+    amount = RAW_LEDGER.names[-1]
     reader = spark.read.schema(layout)
     if file_format == "csv":
-        reader = reader.options(
-            header=True, nullValue=MISSING, mode="FAILFAST", enforceSchema=False
+        as_text = [
+            T.StructField(f.name, T.StringType()) if f.name == amount else f for f in layout.fields
+        ]
+        reader = spark.read.schema(T.StructType(as_text)).options(
+            header=True, nullValue=MISSING, mode="FAILFAST", enforceSchema=False, **QUOTING
         )
+    paths = [directory]
+    if manifest is not None:
+        # A manifest is a closed list: one name per paying body.
+        found = manifest.select("FileName").distinct().join(_files(spark, directory), "FileName")
+        paths = [_literal_path(directory, r["FileName"]) for r in found.collect()]
     columns = [F.col(f"`{name}`") for name in RAW_LEDGER.names]
-    rows = reader.format(file_format).load(directory)
-    rows = rows.select(*columns, _file_name().alias("File"))
-    if manifest is None:
-        return rows
-    return rows.join(manifest.select(F.col("FileName").alias("File")), "File", "left_semi")
+    if file_format == "csv":
+        columns[-1] = _exact_money(columns[-1]).alias(amount)
+    if not paths:
+        return spark.createDataFrame([], layout).select(
+            *RAW_LEDGER.names, F.lit(None).cast("string").alias("File")
+        )
+    return reader.format(file_format).load(paths).select(*columns, _file_name().alias("File"))
+
+
+def _files(spark: SparkSession, directory: str) -> DataFrame:
+    """Names of the files of a folder; contents are not read."""
+    return spark.read.format("binaryFile").load(directory).select(_file_name().alias("FileName"))
 
 
 def missing_files(spark: SparkSession, directory: str, manifest: DataFrame) -> DataFrame:
     """Files the manifest names that are not in the folder; contents are not read."""
-    present = (
-        spark.read.format("binaryFile")
-        .load(directory)
-        .select(_file_name().alias("FileName"))
-    )
-    return manifest.select("FileName").join(present, "FileName", "left_anti")
+    return manifest.select("FileName").join(_files(spark, directory), "FileName", "left_anti")
 
 
 def read_dataset(spark: SparkSession, path: str) -> DataFrame:
@@ -76,4 +107,5 @@ def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    df.write.mode(mode).csv(path, header=True, nullValue=MISSING)
+    """Headed text; values with commas or quotes are quoted, missing ones are ``NA``."""
+    df.write.mode(mode).csv(path, header=True, nullValue=MISSING, **QUOTING)

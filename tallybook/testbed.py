@@ -16,7 +16,6 @@ from functools import cache, cached_property, lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallybook.operators import spread
 from tallybook.plans import collate, enrich
 from tallybook.schemas import SECTORS
 
@@ -60,8 +59,6 @@ class Testbed:
     def raw_ledger(self, *parts: str) -> DataFrame:
         """Raw ledger rows with the asked-for parts: body, expense, supplier, file."""
         rows = self.table("lineitem")
-        if parts:
-            rows = spread(rows, "l_orderkey", "l_suppkey")
         columns = []
         if "body" in parts or "file" in parts:
             orders = self.table("orders").withColumnRenamed("o_orderkey", "l_orderkey")

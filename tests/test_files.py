@@ -7,9 +7,10 @@ from decimal import Decimal
 
 import pytest
 from conftest import frame, master, tuples
+from pyspark.sql import types as T
 
 from tallybook import schemas
-from tallybook.plans import pipeline
+from tallybook.plans import collate, pipeline
 from tallybook.sources import (
     missing_files,
     read_csv,
@@ -47,10 +48,10 @@ def test_ledgers_come_from_the_manifest_only(spark, ledger_dir):
     got = tuples(read_ledgers(spark, ledger_dir, _manifest(spark)))
     assert sorted(got, key=str) == sorted(
         [
-            ("00 North+body 5%.csv", "North body", "Rent", None, "Smith, Jones", Decimal("30000.50")),
-            ("00 North+body 5%.csv", "North body", "Rent", "Estates", None, Decimal("-10.00")),
-            ("01 South body.csv", "South body", None, "Estates", "Acme", Decimal("26000.00")),
-            ("01 South body.csv", "South body", "", "Estates", "acme", None),
+            ("North body", "Rent", None, "Smith, Jones", Decimal("30000.50"), "00 North+body 5%.csv"),
+            ("North body", "Rent", "Estates", None, Decimal("-10.00"), "00 North+body 5%.csv"),
+            ("South body", None, "Estates", "Acme", Decimal("26000.00"), "01 South body.csv"),
+            ("South body", "", "Estates", "acme", None, "01 South body.csv"),
         ],
         key=str,
     )
@@ -162,7 +163,7 @@ def test_stages_from_the_command_line(spark, ledger_dir, tmp_path):
     with pytest.raises(SystemExit, match="nowhere.csv"):
         main([*collate, "--manifest", gone])
     main([*collate, "--manifest", listed])
-    row = ["1" if f.dataType.simpleString() == "int" else "x" for f in schemas.SUPPLIERS.fields]
+    row = ["1" if f.dataType.simpleString() == "int" else ("Other" if f.name == "SupplierSector" else "NotCCorCH" if f.name == "CCCH_Status" else "x") for f in schemas.SUPPLIERS.fields]
     row[0] = '"SMITH, JONES"'
     for flag in schemas.VALIDITY_FLAGS:
         row[schemas.SUPPLIERS.names.index(flag)] = "0"
@@ -198,3 +199,38 @@ def test_extract_filters_reach_the_stored_scan(spark, ledger_dir, tmp_path):
     for pushed in ("EqualTo(InvoiceOver25k,1)", "IsNotNull(Supplier)", "EqualTo(Redacted,0)"):
         assert pushed in plan
     assert "ExpenseType" not in plan.split("ReadSchema")[1]
+
+
+def _ledger_file(folder, name: str, *lines: str) -> None:
+    header = '"Entity","Expense Type","Expense area","Supplier","AP Amount (£)"'
+    (folder / name).write_text("\n".join([header, *lines]) + "\n", encoding="utf-8")
+
+
+def test_quotes_and_commas_make_the_round_trip(spark, tmp_path):
+    names = [("A \"B\", C",), ("THE \"X\" TRUST",), ("a\\b",), ("plain",), (None,)]
+    write_csv(spark.createDataFrame(names, "Name string"), str(tmp_path / "out"))
+    schema = T.StructType([T.StructField("Name", T.StringType())])
+    assert sorted(tuples(read_csv(spark, str(tmp_path / "out"), schema)), key=str) == sorted(names, key=str)
+    text = "".join(f.read_text() for f in (tmp_path / "out").glob("part-*"))
+    assert '"A ""B"", C"' in text and "\\\"" not in text
+
+
+def test_a_file_off_the_manifest_is_not_opened(spark, tmp_path):
+    _ledger_file(tmp_path, "one.csv", '"one","t","a","THE ""X"" TRUST, LTD",10.50')
+    _ledger_file(tmp_path, "empty.csv")
+    (tmp_path / "stray.csv").write_text("something,else\n1,2\n")
+    manifest = spark.createDataFrame([("one.csv",), ("empty.csv",)], "FileName string").coalesce(1)
+    raw = read_ledgers(spark, str(tmp_path), manifest)
+    assert tuples(raw, "Supplier", "File") == [('THE "X" TRUST, LTD', "one.csv")]
+    summary = collate.file_summary(raw, manifest=manifest)
+    got = sorted(tuples(summary, "Count", "File", "CCG", "Suppliers", "Invoices"))
+    assert got == [(1, "one.csv", "one", 1, 1), (2, "empty.csv", None, 0, 0)]
+
+
+def test_digits_beyond_pennies_fail(spark, tmp_path):
+    _ledger_file(tmp_path, "one.csv", '"one","t","a","S",24999.996')
+    with pytest.raises(Exception, match="more than two decimals: 24999.996"):
+        read_ledgers(spark, str(tmp_path)).collect()
+    _ledger_file(tmp_path, "one.csv", '"one","t","a","S",24999.9900', '"one","t","a","S",NA')
+    got = tuples(read_ledgers(spark, str(tmp_path)), "`AP Amount (£)`")
+    assert sorted(got, key=str) == [(Decimal("24999.99"),), (None,)]

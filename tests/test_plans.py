@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-QUERIES = importlib.import_module("__spark_entry__").queries()
+QUERIES = importlib.import_module("tallybook.catalog").queries()
 BANNED = ["NestedLoopJoin", "CartesianProduct", "PythonUDF", "ArrowEvalPython", "MapInPandas"]
 
 
