@@ -32,6 +32,18 @@ def _parser() -> argparse.ArgumentParser:
     report.add_argument("--geography", required=True)
     report.add_argument("--shared", required=True, help="list of shared bodies")
     report.add_argument("--body", action="append", default=[], help="body to list suppliers of")
+    report.add_argument(
+        "--nth", action="append", default=[], metavar="BODY=2,3", help="places of suppliers to share"
+    )
+    report.add_argument("--supplier", action="append", help="supplier to list by body")
+    report.add_argument(
+        "--excluded", action="append", help="successor unit left out; derived without this"
+    )
+    for name, kind in (
+        ("case-rank", int), ("successor-case-rank", int), ("successor-cut", float), ("spend-cut", float),
+    ):
+        report.add_argument(f"--{name}", action="append", type=kind)
+    report.add_argument("--top-cut", type=float)
     profile = stages.add_parser("profile")
     profile.add_argument("--geography", required=True)
     profile.add_argument("--body", action="append", default=[])
@@ -61,13 +73,31 @@ def main(arguments: list[str] | None = None) -> None:
         pipeline.build_datasets(read_dataset(spark, f"{out}/invoices"), master, out)
     elif args.stage == "report":
         ledger = read_dataset(spark, f"{out}/tally")
+        shared = read_named(spark, args.shared, schemas.SHARED_LIST)
+        chosen = {
+            "excluded": args.excluded,
+            "case_ranks": args.case_rank,
+            "successor_case_ranks": args.successor_case_rank,
+            "successor_cuts": args.successor_cut,
+            "spend_cuts": args.spend_cut,
+            "top_cut": args.top_cut,
+            "suppliers": args.supplier,
+        }
         tables = pipeline.report_tables(
             ledger,
             read_named(spark, args.population, schemas.POPULATION),
             read_named(spark, args.geography, schemas.GEOGRAPHY),
-            read_named(spark, args.shared, schemas.SHARED_LIST),
+            shared,
+            pipeline.build_split(ledger, out),
+            pipeline.Choices(**{k: v for k, v in chosen.items() if v is not None}),
         )
-        tables.update(pipeline.body_tables(ledger, args.body) if args.body else {})
+        places = {}
+        for text in args.nth:
+            body, _, numbers = text.rpartition("=")
+            places[body] = [int(n) for n in numbers.split(",")]
+        if args.body or places:
+            tables.update(pipeline.body_tables(ledger, args.body, places))
+        pipeline.build_shared(read_dataset(spark, f"{out}/extract"), ledger, shared, out)
         pipeline.write_tables(tables, f"{out}/report")
     else:
         ledger = read_dataset(spark, f"{out}/tally")

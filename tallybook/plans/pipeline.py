@@ -7,6 +7,8 @@ supplier.
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 from pyspark.sql import DataFrame
 
 from tallybook.operators import SortKey, ascending, descending, sort_columns
@@ -47,14 +49,49 @@ def build_datasets(invoices: DataFrame, master: DataFrame, out: str) -> tuple[Da
     return combined, read_dataset(spark, f"{out}/extract")
 
 
+@dataclass(frozen=True)
+class Choices:
+    """What a report's author chooses; the defaults are those of the published report.
+
+    ``excluded`` successor units are left out of the ranks. Without a list the
+    units that miss one of their present bodies are.
+    """
+
+    excluded: list[str] | None = None
+    case_ranks: list[int] = field(default_factory=lambda: bodies.CASE_STUDY_RANKS)
+    successor_case_ranks: list[int] = field(
+        default_factory=lambda: bodies.SUCCESSOR_CASE_STUDY_RANKS
+    )
+    successor_cuts: list[float] = field(default_factory=lambda: bodies.SUCCESSOR_CUTS)
+    spend_cuts: list[float] = field(default_factory=lambda: suppliers.SPEND_CUTS)
+    top_cut: float = suppliers.TOP_CUT
+    suppliers: list[str] = field(default_factory=list)
+
+
+def build_split(ledger: DataFrame, out: str) -> DataFrame:
+    """Spending per body, stored: seven tables of the report derive from it."""
+    write_dataset(bodies.spend_split_by_body(enrich.extract_of(ledger)), f"{out}/split", "overwrite")
+    return read_dataset(ledger.sparkSession, f"{out}/split")
+
+
 def report_tables(
-    ledger: DataFrame, population: DataFrame, geography: DataFrame, shared: DataFrame
+    ledger: DataFrame,
+    population: DataFrame,
+    geography: DataFrame,
+    shared: DataFrame,
+    split: DataFrame | None = None,
+    choices: Choices = Choices(),
 ) -> Tables:
     """Every table of the report with the order its rows are written in."""
     extract = enrich.extract_of(ledger)
-    split = bodies.spend_split_by_body(extract)
+    if split is None:
+        split = bodies.spend_split_by_body(extract)
     per_capita = bodies.per_capita_spend(split, population)
     units = bodies.successor_rollup(per_capita, geography)
+    if choices.excluded is None:
+        ranked_units = bodies.complete_successor_rank(units, per_capita, geography)
+    else:
+        ranked_units = bodies.successor_rank(units, choices.excluded)
     by_name, by_id = [ascending("CCGName")], [ascending("ID")]
     standard = ascending(sectors.STANDARD)
     tables: Tables = {
@@ -87,14 +124,16 @@ def report_tables(
             registers.spending_crosstab_report(extract),
             [ascending("RowOrder")],
         ),
+        "supplier_crosstab": (registers.supplier_crosstab(extract), [ascending("Category")]),
+        "spending_crosstab": (registers.spending_crosstab(extract), [ascending("Category")]),
         "unregistered_share": (registers.unregistered_share(extract), []),
         "register_counts_subset": (registers.register_counts_subset(shared, extract), []),
         "register_flags_by_body": (registers.register_flags_by_body(shared, extract), by_name),
         "legal_form_report": (registers.legal_form_report(extract), [ascending("RowOrder")]),
         "legal_form_checksum": (registers.legal_form_checksum(extract), [ascending("Side")]),
         "vcse_suppliers": (suppliers.vcse_suppliers(extract), by_id),
-        "vcse_top_names": (suppliers.vcse_top_names(extract), by_id),
-        "spend_bands": (suppliers.spend_bands(extract), [descending("Threshold")]),
+        "vcse_top_names": (suppliers.vcse_top_names(extract, choices.top_cut), by_id),
+        "spend_bands": (suppliers.spend_bands(extract, choices.spend_cuts), [descending("Threshold")]),
         "vcse_body_counts": (suppliers.vcse_body_counts(extract), suppliers.BODY_COUNT_ORDER),
         "vcse_outliers": (suppliers.vcse_outliers(extract), [ascending("Outlier"), standard]),
         "spend_split_by_body": (split, by_id),
@@ -102,15 +141,23 @@ def report_tables(
         "vcse_share_of_nonpublic": (bodies.vcse_share_of_nonpublic(split), by_id),
         "vcse_share_of_total": (bodies.vcse_share_of_total(split), by_id),
         "per_capita_spend": (
-            bodies.case_study_flag(bodies.rank_quartile(per_capita)),
+            bodies.case_study_flag(bodies.rank_quartile(per_capita), choices.case_ranks),
             by_id,
         ),
         "successor_rollup": (units, [descending("PercapitaSpend"), ascending("CCGCode2020")]),
         "successor_case_study": (
-            bodies.successor_case_study(bodies.successor_rank(units)),
+            bodies.successor_case_study(
+                ranked_units, choices.successor_case_ranks, choices.successor_cuts
+            ),
             by_id,
         ),
     }
+    tables["body_names"] = (profile.body_names(ledger), by_name)
+    if choices.suppliers:
+        tables["supplier_by_body"] = (
+            suppliers.supplier_by_body(extract, choices.suppliers),
+            [standard, ascending("CCGName")],
+        )
     for segment in registers.segment_conditions():
         form = "SupplierSector" if segment == "PUBLIC" else "GivenCompanyCategory"
         table = registers.legal_form_segment(extract, segment)
@@ -118,8 +165,16 @@ def report_tables(
     return tables
 
 
-def body_tables(ledger: DataFrame, names: list[str]) -> Tables:
-    """Supplier lists of the chosen bodies."""
+def build_shared(extract: DataFrame, ledger: DataFrame, shared: DataFrame, out: str) -> None:
+    """The extract's rows of the shared bodies, as a dataset."""
+    rows = registers.shared_subset(shared, extract, enrich.extract_of(ledger))
+    write_dataset(rows, f"{out}/shared", "overwrite")
+
+
+def body_tables(
+    ledger: DataFrame, names: list[str], places: dict[str, list[int]] | None = None
+) -> Tables:
+    """Supplier lists of the chosen bodies; ``places`` asks for shares of n-th suppliers."""
     extract = enrich.extract_of(ledger)
     standard = ascending(sectors.STANDARD)
     tables: Tables = {
@@ -128,6 +183,9 @@ def body_tables(ledger: DataFrame, names: list[str]) -> Tables:
             [ascending("CCGName"), ascending("IsTotal"), standard],
         )
     }
+    if places:
+        shares = sectors.nth_supplier_share(extract, places)
+        tables["nth_supplier_share"] = (shares, [ascending("CCGName")])
     for number, name in enumerate(names, 1):
         breakdown = sectors.body_supplier_breakdown(extract, name)
         tables[f"suppliers_of_body_{number}"] = (breakdown, [descending("Spending"), standard])

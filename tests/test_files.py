@@ -163,7 +163,11 @@ def test_stages_from_the_command_line(spark, ledger_dir, tmp_path):
     with pytest.raises(SystemExit, match="nowhere.csv"):
         main([*collate, "--manifest", gone])
     main([*collate, "--manifest", listed])
-    row = ["1" if f.dataType.simpleString() == "int" else ("Other" if f.name == "SupplierSector" else "NotCCorCH" if f.name == "CCCH_Status" else "x") for f in schemas.SUPPLIERS.fields]
+    texts = {"SupplierSector": "Other", "CCCH_Status": "NotCCorCH"}
+    row = [
+        "1" if f.dataType.simpleString() == "int" else texts.get(f.name, "x")
+        for f in schemas.SUPPLIERS.fields
+    ]
     row[0] = '"SMITH, JONES"'
     for flag in schemas.VALIDITY_FLAGS:
         row[schemas.SUPPLIERS.names.index(flag)] = "0"
@@ -175,7 +179,13 @@ def test_stages_from_the_command_line(spark, ledger_dir, tmp_path):
     places = text("places.csv", ",".join(schemas.GEOGRAPHY.names) + "\n" + ",".join(["E1"] * 9) + "\n")
     shared = text("shared.csv", "CCGName\nNORTH BODY\n")
     looked = ["--geography", places, "--out", out]
-    main(["report", "--population", people, "--shared", shared, *looked, "--body", "NORTH BODY"])
+    report = ["report", "--population", people, "--shared", shared, *looked, "--body", "NORTH BODY"]
+    main([*report, "--nth", "NORTH BODY=1,2", "--supplier", "x", "--spend-cut", "10", "--case-rank", "1"])
+    for name, rows in (("nth_supplier_share", 1), ("supplier_by_body", 1), ("spend_bands", 1)):
+        assert spark.read.csv(f"{out}/report/{name}", header=True).count() == rows
+    studies = spark.read.csv(f"{out}/report/per_capita_spend", header=True)
+    assert tuples(studies, "CaseStudyShortList") == [("CaseStudy",)]
+    assert tuples(spark.read.parquet(f"{out}/shared"), "CCGName", "Supplier") == [("NORTH BODY", "SMITH, JONES")]
     main(["profile", *looked, "--body", "NORTH BODY", "--successor", "E1"])
     ranks = spark.read.csv(f"{out}/profile/successor_value_share", header=True)
     assert tuples(ranks, "CCGName2020", "PercentVCSESpend", "Rank") == [("E1", "1.0", "1")]
