@@ -240,7 +240,7 @@ BODIES = {
     "successor_rollup": _successors,
     "successor_rank": _successor_rank,
     "complete_successor_rank": lambda b: bodies.complete_successor_rank(
-        _successors(b), _per_capita(b), b.geography
+        _successors(b), b.extract.select("CCGCode").distinct(), b.geography
     ),
     "successor_case_study": lambda b: bodies.successor_case_study(
         _successor_rank(b), SUCCESSOR_RANKS, SUCCESSOR_CUTS

@@ -127,11 +127,12 @@ def successor_rank(
     return global_rank(kept, [descending("PercapitaSpend"), ascending("CCGCode2020")], "ID")
 
 
-def complete_successor_rank(
-    units: DataFrame, per_capita: DataFrame, lookup: DataFrame
-) -> DataFrame:
-    """The same rank with the units derived: every one missing a component goes."""
-    gone = incomplete_successors(per_capita, lookup, "CCGCode2020")
+def complete_successor_rank(units: DataFrame, present: DataFrame, lookup: DataFrame) -> DataFrame:
+    """The same rank with the units derived: every one missing a component goes.
+
+    ``present`` is any frame with the codes of the bodies that are there.
+    """
+    gone = incomplete_successors(present, lookup, "CCGCode2020")
     kept = units.filter(F.col("CCGCode2020").isNotNull()).join(gone, "CCGCode2020", "left_anti")
     return global_rank(kept, [descending("PercapitaSpend"), ascending("CCGCode2020")], "ID")
 
