@@ -6,17 +6,19 @@ lower bound of a band is in the band's group too. Two linked sets of a group
 differ by at most H elements, which follows from the largest sizes of the band.
 The universe is parted by hash into m segments. Every set is indexed by its
 elements in each segment, and in d segments also by what is left after deleting
-one element. If ``m + d > H``, two linked sets agree in one segment, or differ
-by one element in one of the d. Each band takes the ``(m, d)`` of least cost:
+one element. Of its other segments that are empty, which many sets share, a set
+leaves out the first e; a pair loses 2 e agreements by that at most. So if
+``m - 2 e + d > H``, two linked sets agree in an indexed segment, or differ by
+one element in one of the d. Each band takes the ``(m, d, e)`` of least cost:
 index entries, plus the coincidences of near-empty segments that its share of
 the corpus makes likely.
 
-Classes that share an entry are candidates. Of entries with few classes all
-pairs are tried: a sketch of element parities bounds their difference from
-below, pairs it can't exclude are verified on whole sets. Classes in an entry of
-many are parted once more by an independent pigeonhole; what is still connected
-is verified in blocks of bounded size, from which only a spanning forest leaves.
-Nothing is capped: every linked pair is found, every link is verified exactly.
+Classes that share an entry are candidates. In entries of few classes a sketch of
+element parities, which bounds the difference of two sets from below, excludes
+most pairs. Classes in an entry of many are parted once more by
+an independent pigeonhole. What candidates connect is a cluster; its whole sets
+are compared exactly, in blocks of bounded size from which only a spanning
+forest of the links leaves. Nothing is capped, and no linked pair is lost.
 
 Null and empty texts have no n-gram and are linked with nothing; a text of fewer
 words is one n-gram. Repeated rows are equal sets, so one class, and one
@@ -26,13 +28,13 @@ null. An empty table gives an empty result; other columns are not carried.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from math import exp
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.components import components
@@ -40,21 +42,22 @@ from tallybook.llm.storage import stored
 from tallybook.llm.tokens import SPACED_WORDS, filled, word_codes
 
 INDEXED = "doc_id bigint, n bigint, set_id bigint, sketch array<bigint>, entries array<bigint>"
-SKETCH = 8  # words of 64 bits
+# Words of 64 bits in the sketch of sets below a size; the last is for all larger ones.
+SKETCHES = [(700, 8), (5000, 32), (1 << 62, 128)]
 SEED, SECOND_SEED = 0x51ED270B, 0x2545F491
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``few``: classes of an entry of which all pairs are tried; ``block``: most sets of one
+    """``few``: most classes of an entry that one task compares by their sketches; ``block``: most sets of one
     side of a block; ``band``: ratio of the bounds of a band; ``slots``: bits of the filter that
     spares the second scan from texts without candidates."""
 
     words: int = 4
     percent: int = 85
-    few: int = 32
+    few: int = 256
     block: int = 1024
-    band: float = 1.6
+    band: float = 1.25
     coincidence: float = 2.0
     slots: int = 1 << 23
 
@@ -67,6 +70,7 @@ class Group:
     high: int  # largest size
     segments: int
     deletions: int
+    skipped: int  # empty segments, besides those with deletions, that a set leaves out
 
 
 def most_apart(a: int, b: int, percent: int) -> int:
@@ -74,19 +78,29 @@ def most_apart(a: int, b: int, percent: int) -> int:
     return (100 - percent) * (a + b) // (100 + percent)
 
 
-def allocation(low: int, high: int, population: float, settings: Settings) -> tuple[int, int]:
-    """``(m, d)`` of least cost for sets of a band."""
+def allocation(least: int, high: int, population: float, settings: Settings) -> tuple[int, int, int]:
+    """``(m, d, e)`` of least cost for sets of these sizes, with ``m - 2 e + d > H``."""
     need = most_apart(high, high, settings.percent) + 1
-    size = (low * high) ** 0.5
+    size = (least * high) ** 0.5
     best = None
-    for m in range(need, (need + 1) // 2 - 1, -1):
-        d, mean = need - m, size / m
-        empty, single = exp(-mean), mean * exp(-mean)
-        met = population * ((m - d) * empty**2 + d * (empty + single) ** 2)
-        cost = m + d * mean + settings.coincidence * met
-        if best is None or cost < best[0]:
-            best = (cost, m, d)
-    return best[1], best[2]
+    for e in range(0, 13):
+        for d in range(0, min(need // 2 + e, 40) + 1):
+            m = need + 2 * e - d
+            if d > m:
+                break
+            mean = size / m
+            empty, single = exp(-mean), mean * exp(-mean)
+            # Expected empty segments beyond those left out, of a Poisson law.
+            expected = term = (m - d) * empty
+            left, chance = expected - e, exp(-term)
+            for k in range(e):
+                left += (e - k) * chance
+                chance *= term / (k + 1)
+            met = population * (max(left, 0.0) ** 2 / max(1, m - d) + d * (empty + single) ** 2)
+            cost = m + d * mean + settings.coincidence * met
+            if best is None or cost < best[0]:
+                best = (cost, m, d, e)
+    return best[1:]
 
 
 def groups(rows: int, settings: Settings, largest: int = 1 << 40) -> list[Group]:
@@ -95,13 +109,11 @@ def groups(rows: int, settings: Settings, largest: int = 1 << 40) -> list[Group]
     while most_apart(low, low + 1, settings.percent) < 1:
         low += 1
     out: list[Group] = []
-    share = rows / 10  # texts of one order of size spread over about ten bands
-    while low <= largest and len(out) < 64:
+    share = rows / 20  # texts of one order of size spread over about twenty bands
+    while low <= largest:
         high = max(low, int(low * settings.band) - 1)
-        # The costs of very large bands scale; their search is spared.
-        m, d = allocation(low, high, share, settings) if high < 20_000 else (most_apart(high, high, settings.percent) + 1, 0)
         least = -(-settings.percent * low // 100)
-        out.append(Group(len(out), low, least, high, m, d))
+        out.append(Group(len(out), low, least, high, *allocation(least, high, share, settings)))
         low = high + 1
     return out
 
@@ -148,7 +160,11 @@ def entries(elements: np.ndarray, group: Group, seed: int) -> np.ndarray:
     bounds = np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=m))))
     content = sums[bounds[1:]] - sums[bounds[:-1]]
     salt = _mix(np.arange(m, dtype=np.uint64) + np.uint64(((group.number + 1) << 32) ^ seed))
-    found = [_mix(content ^ salt)]
+    own = _mix(content ^ salt)
+    if group.skipped:
+        empty = np.flatnonzero(bounds[group.deletions + 1 :] == bounds[group.deletions : -1])
+        own = np.delete(own, group.deletions + empty[: group.skipped])
+    found = [own]
     if group.deletions:
         inside = segment[order[: bounds[group.deletions]]]
         found.append(_mix((content[inside] - value[: len(inside)]) ^ salt[inside]))
@@ -161,9 +177,10 @@ def all_entries(elements: np.ndarray, plan: list[Group], seed: int) -> np.ndarra
     return np.concatenate(own) if own else np.empty(0, np.int64)
 
 
-def sketch(elements: np.ndarray) -> np.ndarray:
-    """Parities of the elements in each of the sketch's bits."""
-    odd = np.bincount((elements & np.uint64(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+def sketch(elements: np.ndarray, longer: int = 1) -> np.ndarray:
+    """Parities of the elements in each of the sketch's bits; ``longer`` times the usual number."""
+    bits = 64 * longer * next(words for below, words in SKETCHES if len(elements) < below)
+    odd = np.bincount((elements & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
@@ -201,20 +218,60 @@ def indexed(docs: DataFrame, plan: list[Group], settings: Settings) -> DataFrame
 
 
 def shared_entries(rows: DataFrame) -> DataFrame:
-    """``entry set_id`` (distinct) of the entries that more than one class has."""
-    spread = rows.groupBy("entry").agg(F.min("set_id").alias("x"), F.max("set_id").alias("y"))
-    several = spread.filter("x <> y").select("entry")
-    return rows.join(several, "entry", "left_semi").distinct()
-
-
-def _within(a: Column, b: Column, settings: Settings) -> Column:
-    """Whether sizes and parities leave a link possible."""
-    total, p = a["n"] + b["n"], settings.percent
-    apart = sum((F.bit_count(a["sketch"][k].bitwiseXOR(b["sketch"][k])) for k in range(SKETCH)), F.lit(0))
-    return (100 * F.least(a["n"], b["n"]) >= p * F.greatest(a["n"], b["n"])) & (
-        apart * (100 + p) <= (100 - p) * total
+    """``entry set_id`` (distinct) of the entries that more than one class has.
+
+    A window, so that the entries, which are most of what this join shuffles,
+    are dealt once; it reads a large entry from disk where it has to.
+    """
+    own = Window.partitionBy("entry")
+    spread = rows.withColumns({"_x": F.min("set_id").over(own), "_y": F.max("set_id").over(own)})
+    return spread.filter("_x <> _y").select("entry", "set_id").distinct()
+
+
+def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Forests ``a b`` of the pairs within entries that sizes and sketches don't rule out.
+
+    ``small`` has the rows of entries of at most ``few`` classes. Linked sets
+    meet in most of their entries, so equal lists of classes are tried once.
+    Sketches of unlike length say nothing about a pair.
+    """
+    lists = small.groupBy("entry").agg(F.array_sort(F.collect_set("set_id")).alias("m")).select("m").distinct()
+    met = lists.select(F.xxhash64("m").alias("list"), F.explode("m").alias("set_id"))
+    described = met.join(classes, "set_id").groupBy("list").agg(
+        F.collect_set(F.struct("set_id", "n", "sketch")).alias("m")
     )
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            edges: list[tuple[int, int]] = []
+            for row in batch["m"].to_pylist():
+                edges += _near_forest(row, settings.percent)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]
+            )
+
+    return described.select("m").mapInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _near_forest(members: list[dict], percent: int) -> list[tuple[int, int]]:
+    ids = np.array([m["set_id"] for m in members], np.int64)
+    n = np.array([m["n"] for m in members], np.int64)
+    near = _near(n, [np.array(m["sketch"], np.int64) for m in members], percent)
+    return _forest(lambda side, k, others: near[k, others], ids, ids)
+
+
+def _near(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+    """Pairs that sizes and sketches don't rule out."""
+    size = np.array([len(x) for x in sketches])
+    apart = np.zeros((len(n), len(n)), np.int64)
+    for words in np.unique(size):
+        own = np.flatnonzero(size == words)
+        table = np.array([sketches[k] for k in own]).view(np.uint64)
+        for row, k in enumerate(own):
+            apart[k, own] = np.bitwise_count(table ^ table[row]).sum(axis=1)
+    near = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
+    return near & (apart * (100 + percent) <= (100 - percent) * (n[:, None] + n))
+
 
 def sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
     """``set_id elements`` (bytes) of the classes in ``wanted`` (``set_id``, and a ``doc_id`` that has it).
@@ -248,45 +305,14 @@ def _linked(both: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.
     return 100 * both >= percent * (a + b - both)
 
 
-def verified_pairs(pairs: DataFrame, sets: DataFrame, settings: Settings) -> DataFrame:
-    """The pairs ``a b`` whose whole sets are linked."""
-    left = sets.withColumnsRenamed({"set_id": "a", "elements": "x"})
-    right = sets.withColumnsRenamed({"set_id": "b", "elements": "y"})
+def _forest(
+    links: Callable[[int, int, np.ndarray], np.ndarray], ids_x: np.ndarray, ids_y: np.ndarray
+) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the links between two lists.
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"]):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
-                keep.append(bool(_linked(both, len(x), len(y), settings.percent)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(check, "a bigint, b bigint")
-
-
-def _common(x: list[np.ndarray], y: list[np.ndarray], columns: int = 4096) -> np.ndarray:
-    """Sizes of the intersections of all sets of two lists."""
-    every = np.concatenate([*x, *y])
-    distinct, inverse, counts = np.unique(every, return_inverse=True, return_counts=True)
-    shared = counts > 1
-    place = np.where(shared, np.cumsum(shared) - 1, -1)[inverse]
-    row = np.repeat(np.arange(len(x) + len(y)), [len(s) for s in (*x, *y)])
-    row, place = row[place >= 0], place[place >= 0]
-    order = np.argsort(place, kind="stable")
-    row, place = row[order], place[order]
-    out = np.zeros((len(x), len(y)), np.float32)
-    for start in range(0, int(shared.sum()), columns):
-        a, b = np.searchsorted(place, [start, start + columns])
-        part = np.zeros((len(x) + len(y), columns), np.float32)
-        part[row[a:b], place[a:b] - start] = 1
-        out += part[: len(x)] @ part[len(x) :].T
-    return out.astype(np.int64)
-
-
-def _forest(links: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the links between two lists."""
+    ``links(side, k, others)`` tells which of the ``others`` the k-th of one list
+    (0 the first) is linked with; what is connected already isn't asked again.
+    """
     out, open_x, open_y = [], np.ones(len(ids_x), bool), np.ones(len(ids_y), bool)
     for first in range(len(ids_x)):
         if not open_x[first]:
@@ -295,15 +321,36 @@ def _forest(links: np.ndarray, ids_x: np.ndarray, ids_y: np.ndarray) -> list[tup
         queue = [(0, first)]
         while queue:
             side, k = queue.pop()
-            new = np.flatnonzero((links[k] & open_y) if side == 0 else (links[:, k] & open_x))
+            others = np.flatnonzero(open_y if side == 0 else open_x)
+            if not len(others):
+                continue
+            new = others[links(side, k, others)]
             (open_y if side == 0 else open_x)[new] = False
             own = ids_x[k] if side == 0 else ids_y[k]
-            others = (ids_y if side == 0 else ids_x)[new]
-            out += [(int(own), int(o)) for o in others if o != own]
+            found = (ids_y if side == 0 else ids_x)[new]
+            out += [(int(own), int(o)) for o in found if o != own]
             queue += [(1 - side, int(j)) for j in new]
     return out
 
 
+def _exact_links(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], near: np.ndarray, percent: int):
+    """For :func:`_forest`: pairs not ruled out, compared on whole sets."""
+
+    def links(side: int, k: int, others: np.ndarray) -> np.ndarray:
+        me, rest = (x[k], y[others]) if side == 0 else (y[k], x[others])
+        out = near[me, rest]
+        some = rest[out]
+        if len(some):
+            own, sizes = sets[me], np.array([len(sets[o]) for o in some])
+            every = np.concatenate([sets[o] for o in some])
+            met = own[np.minimum(np.searchsorted(own, every), len(own) - 1)] == every
+            both = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes) - sizes)
+            out[out] = _linked(both, len(own), sizes, percent)
+        return out
+
+    return links
+
+
 def verified_clusters(members: DataFrame, settings: Settings) -> DataFrame:
     """Links (spanning forests of blocks) within clusters; ``members``: ``root set_id elements``."""
     sizes = members.groupBy("root").count().select("root", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
@@ -322,9 +369,8 @@ def verified_clusters(members: DataFrame, settings: Settings) -> DataFrame:
         x, y = order[own[order] == i], order[own[order] == j]
         edges: list[tuple[int, int]] = []
         if len(x) and len(y):
-            n = np.array([len(s) for s in sets])
-            common = _common([sets[k] for k in x], [sets[k] for k in y])
-            edges = _forest(_linked(common, n[x][:, None], n[y], settings.percent), ids[x], ids[y])
+            near = _near(np.array([len(s) for s in sets]), [sketch(s, 8) for s in sets], settings.percent)
+            edges = _forest(_exact_links(x, y, sets, near, settings.percent), ids[x], ids[y])
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
     return dealt.groupBy("root", "i", "j").applyInArrow(check, "a bigint, b bigint")
@@ -355,33 +401,18 @@ def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     many = shared.join(counts.filter(F.col("count") > settings.few), "entry", "left_semi")
     crowded = many.select("set_id").distinct()
 
-    # Pairs of small entries, at most few / 2 for each class in one.
     classes = own.filter(F.col("sketch").isNotNull()).select("set_id", "n", "sketch").dropDuplicates(["set_id"])
-    described = small.join(classes, "set_id").groupBy("entry").agg(
-        F.array_sort(F.collect_list(F.struct("set_id", "n", "sketch"))).alias("m")
-    )
-    near = F.flatten(
-        F.transform(
-            "m",
-            lambda x, i: F.transform(
-                F.filter(F.slice("m", i + 2, F.size("m")), lambda y: _within(x, y, settings)),
-                lambda y: F.struct(x["set_id"].alias("a"), y["set_id"].alias("b")),
-            ),
-        )
-    )
-    pairs = stored(described.select(F.explode(near).alias("p")).select("p.a", "p.b").distinct(), "pairs")
+    pairs = stored(near_pairs(small, classes, settings), "pairs")
 
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded).distinct()
     first = own.filter(F.col("entries").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(docs, first.join(wanted, "set_id", "left_semi"), settings), "elements")
-    edges = verified_pairs(pairs, sets, settings)
 
-    crowd = sets.join(crowded, "set_id", "left_semi")
-    again = shared_entries(second_layer(crowd, plan))
+    again = shared_entries(second_layer(sets.join(crowded, "set_id", "left_semi"), plan))
     stars = again.join(again.groupBy("entry").agg(F.min("set_id").alias("a")), "entry")
-    clusters = components(stars.select("a", F.col("set_id").alias("b")))
-    inside = clusters.withColumnRenamed("node", "set_id").join(crowd, "set_id")
-    edges = edges.union(verified_clusters(inside, settings))
+    # Every candidate pair is inside one cluster, and a set is sent to its cluster only.
+    clusters = components(pairs.union(stars.select("a", F.col("set_id").alias("b"))))
+    edges = verified_clusters(clusters.withColumnRenamed("node", "set_id").join(sets, "set_id"), settings)
 
     labels = components(edges).withColumnRenamed("node", "set_id")
     rooted = own.select("doc_id", "n", "set_id").join(labels, "set_id", "left")
