@@ -63,9 +63,9 @@ class Settings:
 
     max_rows: int = 20_000
     words: int = 4096
-    least_rows: int = 4
-    association: float = 20.0
-    steps: int = 30
+    least_rows: int = 3
+    association: float = 13.0
+    steps: int = 40
     rate: float = 0.5
     ridge: float = 1e-4
     partitions: int = 12
