@@ -115,21 +115,21 @@ def trusted(rules: Rules, text: str = "text") -> Column:
 def ngram_buckets(rules: Rules, text: str = "text") -> Column:
     """Buckets of all one- and two-piece n-grams of a text, with repeats."""
     pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(PIECE), F.lit(0))
-    # The name is bound once, so the pieces are cut out once for both orders.
-    return F.aggregate(
-        F.array(F.struct(pieces.alias("p"))),
-        F.array().cast("array<int>"),
-        lambda _, held: F.concat(
-            F.transform(held["p"], lambda t: F.pmod(F.xxhash64(t), F.lit(rules.buckets)).cast("int")),
-            F.transform(
-                F.arrays_zip(
-                    F.slice(held["p"], 1, F.greatest(F.size(held["p"]) - 1, F.lit(0))).alias("a"),
-                    F.slice(held["p"], 2, F.greatest(F.size(held["p"]) - 1, F.lit(0))).alias("b"),
-                ),
-                lambda z: F.pmod(F.xxhash64(z["a"], z["b"]), F.lit(rules.buckets)).cast("int"),
-            ),
-        ),
-    )
+    hashes = F.transform(pieces, lambda t: F.xxhash64(t))
+
+    def bucket(*hashed: Column) -> Column:
+        value = hashed[0] if len(hashed) == 1 else F.xxhash64(*hashed)
+        return F.pmod(value, F.lit(rules.buckets)).cast("int")
+
+    def both_orders(h: Column) -> Column:
+        rest = F.greatest(F.size(h) - 1, F.lit(0))
+        return F.concat(
+            F.transform(h, lambda x: bucket(x)),
+            F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda x, y: bucket(x, y)),
+        )
+
+    # The hashes are bound to a name, so the text is cut up once for both orders.
+    return F.transform(F.array(hashes), both_orders)[0]
 
 
 def bucket_counts(docs: DataFrame, rules: Rules, text: str = "text", target: Column | None = None) -> DataFrame:
@@ -163,14 +163,12 @@ def log_ratios(counts: DataFrame, rules: Rules) -> list[float]:
 def with_ratio(docs: DataFrame, ratios: list[float], rules: Rules, text: str = "text") -> DataFrame:
     """Adds ``log_ratio``: the mean log ratio of a text's n-grams, 0 without any."""
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
-    total = F.aggregate(
-        ngram_buckets(rules, text),
-        F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")),
-        lambda acc, b: F.struct(
-            (acc["s"] + F.element_at(weights, b + 1)).alias("s"), (acc["n"] + 1).alias("n")
-        ),
-        lambda acc: F.when(acc["n"] > 0, acc["s"] / acc["n"]).otherwise(F.lit(0.0)),
-    )
+
+    def mean(buckets: Column) -> Column:
+        total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.element_at(weights, b + 1))
+        return F.when(F.size(buckets) > 0, total / F.size(buckets)).otherwise(F.lit(0.0))
+
+    total = F.transform(F.array(ngram_buckets(rules, text)), mean)[0]
     return docs.withColumn("log_ratio", total)
 
 
@@ -178,6 +176,8 @@ def judged(docs: DataFrame, rules: Rules = Rules(), text: str = "text", target:
     """All rows with counts, ``log_ratio``, ``base_failed`` and ``kept``."""
     ratios = log_ratios(bucket_counts(docs, rules, text, target), rules)
     scored = with_ratio(base_counts(docs, text), ratios, rules, text)
-    return scored.withColumn("base_failed", base_failed(rules)).withColumn(
-        "kept", ~F.col("base_failed") & (F.col("log_ratio") >= rules.threshold)
-    )
+    failed = scored.withColumn("base_failed", base_failed(rules))
+    kept = ~F.col("base_failed") & (F.col("log_ratio") >= rules.threshold)
+    # Generated, so that a filter on the verdict stays above it. Pushed down, the
+    # filter would hold the expressions of all steps, multiplied at each of them.
+    return failed.withColumn("kept", F.explode(F.array(kept)))

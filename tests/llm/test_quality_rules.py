@@ -47,13 +47,16 @@ def test_base_counts(spark, sf_dir, odd):
 def buckets(text: str, rules: q.Rules) -> list[int]:
     pieces = re.findall(r"\w+|[^\w\s]+", text.lower())
 
-    def h(*parts: str) -> int:
-        seed = 42
-        for p in parts:
-            seed = xxhash.xxh64_intdigest(p.encode(), seed=seed)
-        return (seed if seed < 2**63 else seed - 2**64) % rules.buckets
+    def bucket(value: int) -> int:
+        return (value if value < 2**63 else value - 2**64) % rules.buckets
 
-    return [h(p) for p in pieces] + [h(a, b) for a, b in zip(pieces, pieces[1:])]
+    hashes = [xxhash.xxh64_intdigest(p.encode(), seed=42) for p in pieces]
+
+    def pair(a: int, b: int) -> int:
+        first = xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42)
+        return xxhash.xxh64_intdigest(b.to_bytes(8, "little"), seed=first)
+
+    return [bucket(h) for h in hashes] + [bucket(pair(a, b)) for a, b in zip(hashes, hashes[1:])]
 
 
 def test_ratio_against_brute_force(spark):
