@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 def recode(
     df: DataFrame, rules: list[tuple[list[str], list[str], str]], key: str, column: str
 ) -> DataFrame:
-    """Apply rules ``(keys, old values, new value)`` in order.
+    """Apply the first rule ``(keys, old values, new value)`` that fits a row.
 
+    A rule does not see the result of an earlier one; rules whose new values
+    are old values of none, such as the shipped ones, give the same either way.
     An unknown key makes the condition of a rule unknown exactly where the old
     value occurs, and an unknown condition gives NULL: a row with a NULL key
     and a listed old value loses the value.
