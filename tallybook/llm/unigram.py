@@ -251,12 +251,12 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         # Kept with the model by the worker, over its tasks.
-        store = own.__dict__.setdefault("store", UnitStore(own.coded))
+        store = own.__dict__.setdefault("store", UnitStore(own.coded, 250_000))
         for batch in batches:
             nulls = batch[text].is_null().to_numpy(zero_copy_only=False)
             # The leading space is part of the first unit; an empty text gets none.
             texts = pa.array([" " + t if t else "" for t in filled(batch[text]).to_pylist()], pa.string())
-            for a, b, ids, counts in encoded_texts(texts, store):
+            for a, b, ids, counts in encoded_texts(texts, store, piece_bytes=8 << 20):
                 ends = np.cumsum(counts)
                 lists = pa.ListArray.from_arrays(
                     pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.append(nulls[a:b], False)),

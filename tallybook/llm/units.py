@@ -131,21 +131,31 @@ def joined(units: list[str], encode: Callable[[str], np.ndarray], opens: np.ndar
     return Coded(lengths, by_order.take(back)[0])
 
 
+def _cuts(texts: pa.StringArray, size: int) -> list[tuple[int, int]]:
+    """Bounds of stretches of texts of about ``size`` bytes."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+    bounds = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(texts)]
+    return list(zip(bounds, bounds[1:]))
+
+
 def encoded_texts(
-    texts: pa.StringArray, store: UnitStore, slice_bytes: int = 4 << 20
+    texts: pa.StringArray, store: UnitStore, slice_bytes: int = 4 << 20, piece_bytes: int = 1 << 30
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """``(first, last, ids, ids per text)`` over slices of a batch of about ``slice_bytes``."""
-    if not len(texts):
-        return
-    codes, per_text, units = split_units(texts)
-    place, coded = store.coded(units)
-    codes = place[codes]
-    ends = np.cumsum(per_text)
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-    cuts = [0, *(np.flatnonzero(np.diff(sizes // slice_bytes)) + 1), len(texts)]
-    for a, b in zip(cuts, cuts[1:]):
-        start = ends[a] - per_text[a]
-        ids, lengths = coded.take(codes[start : ends[b - 1]])
-        total = np.concatenate(([0], np.cumsum(lengths)))
-        counts = np.diff(total[np.concatenate(([0], ends[a:b] - start))])
-        yield int(a), int(b), ids, counts
+    """``(first, last, ids, ids per text)`` over slices of a batch of about ``slice_bytes``.
+
+    Units are made distinct over ``piece_bytes`` at a time, which bounds what is held besides
+    the batch.
+    """
+    for low, high in _cuts(texts, piece_bytes) if len(texts) else ():
+        piece = texts.slice(low, high - low)
+        codes, per_text, units = split_units(piece)
+        place, coded = store.coded(units)
+        del units
+        codes = place[codes]
+        ends = np.cumsum(per_text)
+        for a, b in _cuts(piece, slice_bytes):
+            start = ends[a] - per_text[a]
+            ids, lengths = coded.take(codes[start : ends[b - 1]])
+            total = np.concatenate(([0], np.cumsum(lengths)))
+            counts = np.diff(total[np.concatenate(([0], ends[a:b] - start))])
+            yield low + a, low + b, ids, counts
