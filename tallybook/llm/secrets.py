@@ -7,21 +7,30 @@ smallest of hex, base32, base36, base62 and base64 whose alphabet holds all its
 characters (trailing ``=`` is left out); runs of letters of one case or of
 digits only are words or numbers and have none.
 
-Each test has the null hypothesis that the string departs from randomness by at
-least a stated margin, so that a small p-value is evidence *for* randomness:
-
-* alphabet uniformity: the chi-squared statistic over the encoding's alphabet,
-  against the noncentral law of strings whose excess of squared frequencies is
-  ``uniformity_margin`` (normal approximation by its mean and variance);
-* runs: the rate of changes between the lower and upper half of the alphabet
-  differs from 1/2 by ``runs_margin`` or more;
-* serial correlation: neighbouring symbols correlate by ``serial_margin`` or more.
-
-A string is random only if all three nulls are rejected, so its p-value is the
-largest of the three. Over all strings of the corpus the step-up procedure of
+Each test has a null hypothesis of sources that are not random, so that a small
+p-value is evidence *for* randomness:
+
+* alphabet uniformity: symbols drawn from few symbols that come back, whose
+  frequencies have a symmetric Dirichlet law of total ``concentration``;
+* runs: symbols in runs of one class (upper, lower, digit, separator) as in
+  words, constants and numbers joined by separators or case, letters with the
+  frequencies of words (:data:`CHAINS`, :data:`LETTERS`);
+* serial correlation: a symbol is the neighbour of the one before it in the
+  alphabet, or the same, with probability ``step_share``.
+
+The statistic is the likelihood ratio of the null's source to the uniform one.
+Its inverse has mean 1 at most under the null, so by Markov's inequality the
+ratio is a p-value at every length; no normal approximation limits what 20
+symbols can show. The factor ``len(ALPHABETS)`` pays for choosing the encoding
+by the string. A string is random only if all nulls are rejected, so its p-value
+is the largest of them. :func:`p_value` has the three statistics by normal
+approximation, against margins; 20 to 40 symbols can't reject those, and
+no discovery depends on them.
+
+Over all strings of the corpus the step-up procedure of
 Benjamini and Hochberg holds the share of false discoveries at ``rate``, with
-weights in proportion to a string's length: the margins give long strings more
-power, and the weights spend more of the error there. Ranks come from a
+weights in proportion to a string's length: long strings have more power, and
+the weights spend more of the error there. Ranks come from a
 histogram of ``log10(p / length)`` with steps of 0.01, rounded up, so the
 table that is ranked has a fixed number of rows. Discoveries that touch no
 fixed-kind span are added as kind ``random``.
@@ -33,6 +42,7 @@ result. Columns of the input are kept unless they are named like an added one.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -52,6 +62,19 @@ ALPHABETS = {
     "base62": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
+# Classes of symbols are upper, lower, digit and separator; a row is the class before.
+CHAINS = {
+    "words": [[0.10, 0.85, 0.03, 0.02], [0.06, 0.85, 0.03, 0.06], [0.05, 0.10, 0.65, 0.20], [0.15, 0.65, 0.15, 0.05]],
+    "constants": [[0.85, 0.03, 0.04, 0.08], [0.10, 0.80, 0.04, 0.06], [0.15, 0.05, 0.60, 0.20], [0.70, 0.10, 0.15, 0.05]],
+    "numbers": [[0.40, 0.10, 0.40, 0.10], [0.10, 0.40, 0.40, 0.10], [0.05, 0.05, 0.80, 0.10], [0.10, 0.10, 0.75, 0.05]],
+}
+# How often a letter comes in words of several languages of Latin script, out of LETTERS' sum.
+LETTERS = dict(
+    zip(
+        "abcdefghijklmnopqrstuvwxyz",
+        [85, 17, 32, 44, 142, 18, 19, 37, 73, 4, 8, 43, 28, 79, 57, 25, 6, 66, 70, 70, 38, 12, 12, 5, 10, 6],
+    )
+)
 SPAN = "array<struct<kind:int,start:int,end:int>>"
 
 
@@ -62,6 +85,8 @@ class Battery:
     uniformity_margin: float = 2.0
     runs_margin: float = 0.25
     serial_margin: float = 0.5
+    concentration: float = 0.5
+    step_share: float = 0.9
 
 
 def _placed(text: Column, pattern: str, matches: Column | None = None) -> Column:
@@ -148,13 +173,80 @@ def encoding(token: Column) -> Column:
     )
 
 
-def p_value(token: Column, name: Column, battery: Battery) -> Column:
-    """Largest p-value of the three tests of one string under its encoding."""
-    alphabet = F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])[name]
+def _alphabet(name: Column) -> Column:
+    return F.create_map(*[x for k, v in ALPHABETS.items() for x in (F.lit(k), F.lit(v))])[name]
+
+
+def _symbols(token: Column, name: Column) -> Column:
     plain = F.when(name.isin("hex", "base32", "base36"), F.lower(token)).otherwise(
         F.translate(token, "-_", "+/")
     )
-    digits = F.transform(F.split(plain, ""), lambda c: F.instr(alphabet, c) - 1)
+    return F.split(plain, "")
+
+
+def log_p(token: Column, name: Column, battery: Battery) -> Column:
+    """Largest log10 p-value of the likelihood-ratio tests of one string; at most 0."""
+    alphabet = _alphabet(name)
+    every, total = ALPHABETS["base64"], sum(LETTERS.values())
+    chance = [math.log(LETTERS[c.lower()] / total if c.isalpha() else 1 / 10 if c.isdigit() else 1 / 2) for c in every]
+    chances = F.array(*map(F.lit, chance))
+    chains = {
+        chain: F.array(*[F.lit(math.log(x)) for before in rows for x in before]) for chain, rows in CHAINS.items()
+    }
+
+    def kind(place: Column) -> Column:
+        return F.when(place <= 26, 0).when(place <= 52, 1).when(place <= 62, 2).otherwise(3)
+
+    def added(values: Column, of) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda s, v: s + of(v))
+
+    def neighbours(values: Column) -> Column:
+        n = F.size(values)
+        return F.arrays_zip(F.slice(values, 1, n - 1).alias("a"), F.slice(values, 2, n - 1).alias("b"))
+
+    def ratios(x: Column) -> Column:
+        code, place, k = x["code"], x["place"], x["k"].cast("double")
+        n = F.size(code).cast("double")
+        uniform = n * F.log(k)
+        # The chance of a symbol after c of its kind among i: (concentration / k + c) / (concentration + i).
+        counts = F.transform(F.array_distinct(code), lambda v: F.size(F.filter(code, lambda c: c == v)))
+        again = added(
+            counts,
+            lambda c: added(F.sequence(F.lit(0), c - 1), lambda j: F.log(battery.concentration / k + j)),
+        )
+        few = again - added(F.sequence(F.lit(0), F.size(code) - 1), lambda i: F.log(battery.concentration + i))
+        # The first class has the four probabilities alike.
+        emitted = added(place, lambda p: F.element_at(chances, p)) - math.log(len(next(iter(CHAINS.values()))))
+        kinds = neighbours(F.transform(place, kind))
+        moved = [
+            added(kinds, lambda p, chain=chain: F.element_at(chain, p["a"] * 4 + p["b"] + 1))
+            for chain in chains.values()
+        ]
+        # The alphabet is closed to a ring, so that every symbol has two neighbours.
+        near = added(
+            neighbours(code),
+            lambda p: F.when(
+                F.pmod(p["a"] - p["b"] + 1, x["k"]) <= 2, F.log(F.lit(battery.step_share) * k / 3)
+            ).otherwise(F.log(F.lit(1 - battery.step_share) * k / (k - 3))),
+        )
+        largest = F.greatest(few + uniform, emitted + F.greatest(*moved) + uniform, near)
+        return F.least(F.lit(0.0), (largest + math.log(len(ALPHABETS))) / math.log(10))
+
+    symbols = _symbols(token, name)
+    bound = F.array(
+        F.struct(
+            F.transform(symbols, lambda c: F.instr(alphabet, c) - 1).alias("code"),
+            F.transform(symbols, lambda c: F.instr(F.lit(every), c)).alias("place"),
+            F.length(alphabet).alias("k"),
+        )
+    )
+    return F.transform(bound, ratios)[0]
+
+
+def p_value(token: Column, name: Column, battery: Battery) -> Column:
+    """Largest p-value of one string against the margins, by normal approximation."""
+    alphabet = _alphabet(name)
+    digits = F.transform(_symbols(token, name), lambda c: F.instr(alphabet, c) - 1)
 
     def tests(x: Column) -> Column:
         code, k = x["code"], x["k"].cast("double")
@@ -214,7 +306,7 @@ def tested_strings(text: Column, battery: Battery) -> Column:
                 F.lit(-30.0),
                 F.least(
                     F.lit(0.0),
-                    F.ceil(F.log10(p_value(x["t"], x["k"], battery) / F.length(x["t"]) + 1e-40) * 100) / 100,
+                    F.ceil((log_p(x["t"], x["k"], battery) - F.log10(F.length(x["t"]).cast("double"))) * 100) / 100,
                 ),
             ).alias("level"),
         ),

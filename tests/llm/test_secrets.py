@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallybook.llm import secrets
@@ -76,6 +78,78 @@ def test_battery_against_plain_code(spark):
     assert {r[0] for r in words.select(secrets.encoding(F.col("t"))).collect()} == {None}
 
 
+def log_ratio(token: str, name: str, b: secrets.Battery) -> float:
+    alphabet = secrets.ALPHABETS[name]
+    plain = token.lower() if name in ("hex", "base32", "base36") else token.translate(str.maketrans("-_", "+/"))
+    code, k, total = [alphabet.index(c) for c in plain], len(alphabet), sum(secrets.LETTERS.values())
+    few, seen = 0.0, {}
+    for i, c in enumerate(code):
+        few += math.log((b.concentration / k + seen.get(c, 0)) / (b.concentration + i) * k)
+        seen[c] = seen.get(c, 0) + 1
+    near = sum(
+        math.log(b.step_share * k / 3 if (x - y) % k in (0, 1, k - 1) else (1 - b.step_share) * k / (k - 3))
+        for x, y in zip(code, code[1:])
+    )
+    kinds = [0 if c.isupper() else 1 if c.islower() else 2 if c.isdigit() else 3 for c in plain]
+    drawn = [secrets.LETTERS[c.lower()] / total if c.isalpha() else 0.1 if c.isdigit() else 0.5 for c in plain]
+    words = max(
+        math.log(k / 4 * drawn[0]) + sum(math.log(k * d * chain[x][y]) for x, y, d in zip(kinds, kinds[1:], drawn[1:]))
+        for chain in secrets.CHAINS.values()
+    )
+    return min(0.0, math.log10(len(secrets.ALPHABETS)) + max(few, near, words) / math.log(10))
+
+
+def test_likelihood_ratios_against_plain_code(spark):
+    tokens = [*TOKENS, ("base62", "aB3" * 9), ("base62", "ABCDEFGHIJKLMNOPQRSTUVWXYZabc"), ("base64", "read-user-account_Balance-2")]
+    df = spark.createDataFrame(tokens, "k string, t string")
+    got = df.select("k", "t", secrets.log_p(F.col("t"), F.col("k"), secrets.Battery()).alias("p")).collect()
+    for r in got:
+        assert abs(r["p"] - log_ratio(r["t"], r["k"], secrets.Battery())) < 1e-9
+    assert {r["p"] for r in got[5:]} == {0.0}
+    for chain in secrets.CHAINS.values():
+        assert all(abs(sum(row) - 1) < 1e-12 for row in chain)
+
+
+WORDS = (
+    "get set user account balance report table index value order list path file name config server client handler"
+    " parser build release version north river market number update remove create field column window stream batch"
+    " cache store query result filter merge split writer reader schema format option default session worker"
+).split()
+
+
+def identifier(draw) -> str:
+    """Hyphen, underscore, slash and camel-case names, some with a number."""
+    while True:
+        words = [draw.choice(WORDS) for _ in range(draw.randrange(3, 7))]
+        how = draw.randrange(5)
+        if how == 0:
+            t = words[0] + "".join(w.capitalize() for w in words[1:])
+        elif how == 1:
+            t = "_".join(words).upper()
+        else:
+            t = "-_/"[how - 2].join(w.capitalize() if draw.random() < 0.3 else w for w in words)
+        if draw.random() < 0.5:
+            t += f"-{draw.randrange(3000)}"
+        if len(t) >= 20 and (re.search("[a-z]", t) and re.search("[A-Z]", t) or re.search("[0-9]", t)):
+            return t
+
+
+@pytest.mark.parametrize("percent", [1, 5])
+def test_recall_of_rare_short_secrets_among_identifiers(spark, percent):
+    draw = random.Random(percent)
+    rows = []
+    for name, symbols in secrets.ALPHABETS.items():
+        symbols = symbols.upper() if name in ("hex", "base32", "base36") else symbols
+        rows += [(n, "".join(draw.choices(symbols, k=n))) for n in (20, 32, 40) for _ in range(4 * percent)]
+    rows += [(0, identifier(draw)) for _ in range(6000 - len(rows))]
+    df = spark.createDataFrame([(n, f"say {t} now") for n, t in rows], "n int, text string").repartition(4)
+    found = secrets.scanned(df).select("n", F.expr("exists(spans, x -> x.kind = 3)").alias("hit")).collect()
+    hits = {n: sum(r["hit"] for r in found if r["n"] == n) for n in (0, 20, 32, 40)}
+    planted = 20 * percent
+    assert hits[20] >= 0.8 * planted and hits[32] >= 0.9 * planted and hits[40] >= 0.95 * planted, hits
+    assert hits[0] <= 0.05 * sum(hits.values()), hits
+
+
 def test_step_up_level_and_added_spans(spark):
     import random
 
