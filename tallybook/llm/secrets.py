@@ -2,9 +2,10 @@ r"""Secret scans: fixed patterns, and a randomness test battery with false-disco
 
 Only DataFrame functions are used. Besides the fixed kinds (``assign``,
 ``access``, ``hex``) every run of at least ``min_chars`` characters of
-``[A-Za-z0-9+/_=-]`` with an inferred encoding is tested. The encoding is the
-smallest of hex, base32, base36, base62 and base64 whose alphabet holds all its
-characters (trailing ``=`` is left out); runs of letters of one case or of
+``[A-Za-z0-9+/_-]`` with an inferred encoding is tested. ``=`` after a run is
+padding: it belongs to the span, but is not tested, and parts a name from its
+value. The encoding is the smallest of hex, base32, base36, base62 and base64
+whose alphabet holds all its characters; runs of letters of one case or of
 digits only are words or numbers and have none.
 
 Each test has a null hypothesis of sources that are not random, so that a small
@@ -283,19 +284,14 @@ def tested_strings(text: Column, battery: Battery) -> Column:
 
     Levels are rounded up to 0.01 and held within -30 and 0.
     """
-    runs = _placed(text, "[A-Za-z0-9+/_=-]{%d,}" % battery.min_chars)
-    bare = F.transform(
-        runs,
-        lambda x: F.struct(
-            x["s"].alias("s"), x["e"].alias("e"), F.rtrim(x["m"], F.lit("=")).alias("t"),
-        ),
-    )
+    runs = _placed(text, "[A-Za-z0-9+/_-]{%d,}=*" % battery.min_chars)
     named = F.transform(
-        F.filter(bare, lambda x: F.length(x["t"]) >= battery.min_chars),
+        F.transform(
+            runs, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), F.rtrim(x["m"], F.lit("=")).alias("t"))
+        ),
         lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["t"].alias("t"), encoding(x["t"]).alias("k")),
     )
-    # "=" inside a string, and separators between words, are not symbols of a code.
-    coded = F.filter(named, lambda x: x["k"].isNotNull() & ~x["t"].contains("="))
+    coded = F.filter(named, lambda x: x["k"].isNotNull())
     return F.transform(
         coded,
         lambda x: F.struct(

@@ -163,6 +163,20 @@ def test_step_up_level_and_added_spans(spark):
     assert sum(r["s"] == "random:4:64" for r in found if r["y"] == 1) >= 28
 
 
+def test_values_after_an_equals_sign_are_tested(spark):
+    value, longer = "q8Zr/3mK+1xVt0LwYb7NcE5sHf2GdUjT9oPi4aAX", "Xk29fLq7RtB4mZs81WcVhN3yGpDj6Ea0"
+    texts = [
+        f"client_key={value}", f"AUTH={value}==", f"?a=1&sig={longer}&b=2", f"access_key_id={longer}=x", f"=={value}",
+        f"a={value}={longer}", f"read-user-account_Balance-2={value}", "=" * 40, "user-account_Balance-2=read-user-account_Balance-2",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = {r["doc_id"]: r["s"] for r in rows(df)}
+    for i, text in enumerate(texts):
+        spans = [m.span() for m in re.finditer("(?:%s|%s)=*" % (re.escape(value), longer), text)]
+        assert found[i] == ",".join(f"random:{a}:{b}" for a, b in spans), text
+    assert [r["text"] for r in secrets.redacted(secrets.scanned(df.filter("doc_id = 0"))).collect()] == ["client_key=[secret]"]
+
+
 def test_odd_rows_and_redaction(spark, odd, nothing):
     assert secrets.scanned(nothing).count() == 0
     got = secrets.scanned(odd)
