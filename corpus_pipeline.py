@@ -13,6 +13,8 @@ from tallybook.llm.storage import shared_folder
 from tallybook.llm.vocabulary import tokenizer_path
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies of the stage: n-grams of so many words, and Jaccard similarity in per cent.
+NEAR = jaccard_join.Settings(words=4, percent=85)
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     by a group and stay.
     """
     docs = docs.select(*COLUMNS)
-    linked = jaccard_join.linked(docs)
+    linked = jaccard_join.linked(docs, NEAR)
     firsts = linked.filter("doc_id = component_id").select("doc_id").distinct()
     kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return kept.union(docs.filter("doc_id IS NULL")).select(*COLUMNS)

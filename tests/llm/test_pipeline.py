@@ -83,3 +83,15 @@ def test_odd_rows(spark, odd, nothing, sf_dir):
             assert out.columns == pipeline.COLUMNS
             assert out.count() <= docs.count()
         assert pipeline.STAGES[-1][1](spark, docs, sf_dir).count() == docs.count()
+
+
+def test_near_copies_are_by_the_stage_s_own_rule(spark, monkeypatch):
+    words = [f"w{k}" for k in range(60)]
+    texts = [words, [*words[:59], "x"], [*words[:30], "x", *words[31:]]]  # 56 / 58 and 53 / 61 4-grams shared
+    rows = [(i, " ".join(t), "en", "s", 0) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    linked = pipeline.jaccard_join.linked
+    asked = []
+    monkeypatch.setattr(pipeline.jaccard_join, "linked", lambda d, *settings: asked.extend(settings) or linked(d, *settings))
+    assert {r["doc_id"] for r in pipeline.keep_one_of_each(spark, docs, "").collect()} == {0}
+    assert [(s.words, s.percent) for s in asked] == [(4, 85)]
