@@ -113,7 +113,9 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    token_output.write(_table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"))
+    token_output.write(
+        _table(spark, sf_dir, "documents"), folder, tokenizer_path("byte_bpe_50k.json"), special_as_text=False
+    )
     return token_output.read(spark, folder).select(
         "doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32")
     )

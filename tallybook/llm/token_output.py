@@ -36,13 +36,13 @@ READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
 
 @lru_cache(maxsize=2)
-def _store(path: str) -> UnitStore:
+def _store(path: str, special_as_text: bool) -> UnitStore:
     """The tokenizer of a file with the units this worker has coded by it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.encode_special_tokens = special_as_text
     opens = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         opens[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
@@ -53,8 +53,19 @@ def _store(path: str) -> UnitStore:
     return UnitStore(lambda units: joined(units, encode, opens))
 
 
-def segments(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
-    """Segment rows of all documents, in range partitions by ``doc_id``."""
+def segments(
+    docs: DataFrame,
+    tokenizer_path: str,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    end_id: int = 0,
+    special_as_text: bool = True,
+) -> DataFrame:
+    """Segment rows of all documents, in range partitions by ``doc_id``.
+
+    ``special_as_text`` codes the literal of a special token like other text; without it,
+    which is the library's default, the literal is the one id of the token.
+    """
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     ordered = named.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
@@ -62,7 +73,7 @@ def segments(docs: DataFrame, tokenizer_path: str, doc_id: str = "doc_id", text:
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             texts = filled(batch["text"])
-            for a, b, ids, counts in encoded_texts(texts, _store(tokenizer_path)):
+            for a, b, ids, counts in encoded_texts(texts, _store(tokenizer_path, special_as_text)):
                 ended = np.insert(ids, np.cumsum(counts), end_id)
                 yield pa.RecordBatch.from_arrays(
                     [

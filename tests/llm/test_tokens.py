@@ -72,6 +72,24 @@ def test_token_query(spark, sf_dir):
         start += len(ids)
 
 
+def test_special_tokens_of_the_query_as_the_library_has_them(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [*TRICKY, end, f"a{end}b", f"a {end} b", f"a b {end}", f"{end}{end} c", f"x\n{end}\n y", f" {end}b a{end} b", "a  b"]
+    texts += [f"w{k} {end}{k} v{end} <|endof text|>" for k in range(50)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in catalog.queries()["op8_token_output"](spark, str(tmp_path)).collect()}
+    start = 0
+    for i, text in enumerate(texts):
+        ids = np.array([*library.encode(text or "", add_special_tokens=False).ids, 0], "<u4")
+        own = got[i]
+        assert (own["start"], own["n_tokens"], own["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes())), text
+        start += len(ids)
+
+
 def best(model, vocabulary, text: str) -> list[int]:
     """Plain Viterbi over each stretch of markers and the characters after it."""
     out = []
