@@ -2,7 +2,6 @@ from __future__ import annotations
 
 import os
 import sys
-from decimal import Decimal
 
 import pytest
 
@@ -10,10 +9,6 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 sys.path.insert(0, os.path.join(ROOT, "tests"))
 
-from pyspark.sql import functions as F  # noqa: E402
-
-from tallybook.plans import collate  # noqa: E402
-from tallybook.schemas import INVOICES, SUPPLIERS  # noqa: E402
 from tallybook.session import build_session  # noqa: E402
 
 
@@ -43,41 +38,3 @@ def sf_dir():
     if not os.path.isdir(path):
         pytest.skip("no test tables")
     return path
-
-
-def frame(spark, columns: str, rows: list[tuple]):
-    """A small frame from a DDL schema; money may be given as text."""
-    return spark.createDataFrame(rows, columns)
-
-
-def invoices(spark, rows: list[tuple]):
-    """Invoices from (name, code, supplier, amount) with flags computed."""
-    money = [(n, c, s, None if a is None else Decimal(str(a))) for n, c, s, a in rows]
-    base = spark.createDataFrame(
-        money, "CCGName string, CCGCode string, Supplier string, Amount decimal(18,2)"
-    )
-    typed = base.withColumn("ExpenseType", F.lit("T")).withColumn("ExpenseArea", F.lit("A"))
-    flagged = collate.threshold_flag(collate.sign_split(typed))
-    return flagged.select(*INVOICES.names)
-
-
-def master(spark, rows: list[dict]):
-    """Supplier master; columns not given are 0, names follow the key."""
-    full = []
-    for row in rows:
-        values = {
-            f.name: 0 if f.dataType.simpleString() == "int" else None for f in SUPPLIERS.fields
-        }
-        values["SUPPLIER_STANDARD_NAME"] = row["Supplier"]
-        values["SupplierSector"] = "Other"
-        values["CCCH_Status"] = "NotCCorCH"
-        values.update(row)
-        full.append(tuple(values[c] for c in SUPPLIERS.names))
-    return spark.createDataFrame(full, SUPPLIERS)
-
-
-def tuples(df, *columns: str) -> list[tuple]:
-    return [tuple(row) for row in (df.select(*columns) if columns else df).collect()]
-
-
-__all__ = ["frame", "invoices", "master", "tuples"]

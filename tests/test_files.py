@@ -6,7 +6,7 @@ import glob
 from decimal import Decimal
 
 import pytest
-from conftest import frame, master, tuples
+from frames import frame, master, tuples
 from pyspark.sql import types as T
 
 from tallybook import schemas

@@ -12,7 +12,7 @@ import glob
 import os
 
 import pytest
-from conftest import tuples
+from frames import tuples
 from pyspark.sql import functions as F
 
 from tallybook import schemas

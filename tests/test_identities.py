@@ -6,7 +6,7 @@ import random
 from decimal import Decimal
 
 import pytest
-from conftest import invoices, master
+from frames import invoices, master
 from pyspark.sql import functions as F
 
 from tallybook.plans import bodies, enrich, profile, quality, registers, sectors, suppliers

@@ -7,7 +7,7 @@ import random
 from collections import Counter
 
 import pytest
-from conftest import frame, tuples
+from frames import frame, tuples
 from pyspark.sql import functions as F
 
 from tallybook import operators as ops

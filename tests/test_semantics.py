@@ -5,7 +5,7 @@ from __future__ import annotations
 from decimal import Decimal
 
 import pytest
-from conftest import frame, invoices, master, tuples
+from frames import frame, invoices, master, tuples
 from pyspark.sql import functions as F
 
 from tallybook.functions import distinct_with_null, ratio, strict_sum

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import master
+from frames import master
 from pyspark.sql import functions as F
 
 from tallybook.plans import collate, enrich
