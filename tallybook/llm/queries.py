@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallybook.llm import (
     decontaminate,
     jaccard_join,
+    line_dedup,
     lm_scores,
     quality_classifier,
     quality_rules,
@@ -18,6 +19,7 @@ from tallybook.llm import (
     token_output,
     toxicity,
     unigram,
+    whitening,
 )
 from tallybook.llm.labels import held_out, training_labels
 from tallybook.llm.storage import shared_folder
@@ -190,3 +192,35 @@ def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.linked(_table(spark, sf_dir, "documents"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.deduplicated(docs).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
+ORACLE_SQL["op13_line_dedup"] = r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+        unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+    FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS last FROM keyed WHERE length(key) >= 40
+    GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+), marked AS (
+    SELECT k.doc_id, place, line, s.key IS NOT NULL AND k.doc_id <> s.last AS gone
+    FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
