@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallybook.llm import (
     decontaminate,
+    divergence,
     jaccard_join,
     line_dedup,
     lm_scores,
@@ -224,3 +225,50 @@ SELECT doc_id, count(*) AS n_lines, CAST(sum(CAST(gone AS INTEGER)) AS BIGINT) A
     sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+def op11_source_divergence_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(_table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_source_divergence_audit"] = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+    FROM documents
+), grouped AS (SELECT DISTINCT lang, source FROM docs
+), occurrences AS (SELECT row, lang, source, unnest(terms) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS lang_n FROM occurrences GROUP BY lang, term HAVING count(DISTINCT row) >= 30
+), lang_size AS (SELECT lang, count(*) AS v, sum(lang_n) AS n FROM kept GROUP BY lang
+), group_n AS (
+    SELECT lang, source, term, count(*) AS n FROM occurrences SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), size AS (
+    SELECT g.lang, g.source, v, coalesce(sum(n), 0) AS n
+    FROM grouped g JOIN (SELECT lang, v FROM lang_size) USING (lang) LEFT JOIN group_n USING (lang, source) GROUP BY ALL
+), p AS (
+    SELECT k.lang, s.source, k.term, lang_n, coalesce(c.n, 0) AS n,
+        1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (s.n + 5 * s.v)::HUGEINT AS p,
+        1 + (1000000000::HUGEINT * (lang_n + 5)) // (l.n + 5 * l.v)::HUGEINT AS q
+    FROM kept k JOIN size s USING (lang) JOIN lang_size l USING (lang)
+        LEFT JOIN group_n c ON c.lang = k.lang AND c.source = s.source AND c.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, b.source AS item, coalesce(d.value, 0) AS value
+    FROM grouped a JOIN grouped b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (
+            SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+            FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL
+        ) d ON d.lang = a.lang AND d.source = a.source AND d.other = b.source
+), ranked AS (
+    SELECT lang, source, 'pair' AS part, item, value,
+        row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item) AS rank FROM pairs
+    UNION ALL
+    SELECT * FROM (
+        SELECT lang, source, 'term', term, p - q,
+            row_number() OVER (PARTITION BY lang, source ORDER BY p - q DESC, term) AS rank
+        FROM p WHERE n > 0 AND p > q) WHERE rank <= 50
+)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked
+"""
