@@ -116,7 +116,8 @@ def losses(found: DataFrame, settings: Settings) -> DataFrame:
     key of a third of all documents is added up before it meets one task."""
     last = F.max(F.struct("named", "id"))
     per_key = found.distinct().groupBy("key").agg(F.count(F.lit(1)).alias("held"), last.alias("last"))
-    shared = per_key.filter(F.col("held") >= settings.documents).select("key", "last")
+    # Stored, so that the join meets two plain tables and can split a key of many documents.
+    shared = stored(per_key.filter(F.col("held") >= settings.documents).select("key", "last"), "shared-lines")
     lost = found.join(shared, "key").filter(F.struct("named", "id") != F.col("last"))
     return lost.groupBy(F.col("named").alias("_named"), F.col("id").alias("_id")).agg(F.collect_set("key").alias("keys"))
 
