@@ -193,7 +193,6 @@ REGISTERS = {
     "shared_subset": lambda b: registers.shared_subset(
         b.shared_list,
         enrich.valid_extract(b.invoices("body", "expense", "supplier"), b.suppliers),
-        b.extract,
     ),
     "register_counts_subset": lambda b: registers.register_counts_subset(b.shared_list, b.extract),
     "register_flags_by_body": lambda b: registers.register_flags_by_body(b.shared_list, b.extract),

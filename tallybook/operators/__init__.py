@@ -4,7 +4,14 @@ from tallybook.operators.bands import flag_ranks, rank_bands
 from tallybook.operators.categories import map_categories
 from tallybook.operators.crosstab import add_shares, pivot_with_total
 from tallybook.operators.geography import incomplete_successors, rollup_geography
-from tallybook.operators.joins import attach, exclude, match_suppliers, restrict_to_list, unique_key
+from tallybook.operators.joins import (
+    attach,
+    exclude,
+    keys_present,
+    match_suppliers,
+    restrict_to_list,
+    unique_key,
+)
 from tallybook.operators.rank import (
     SortKey,
     ascending,
@@ -32,6 +39,7 @@ __all__ = [
     "head",
     "head_and_tail",
     "incomplete_successors",
+    "keys_present",
     "map_categories",
     "match_suppliers",
     "nth_rows",

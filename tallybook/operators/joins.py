@@ -9,22 +9,24 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def unique_key(df: DataFrame, key: str) -> DataFrame:
     """``df`` unchanged if ``key`` is unique; otherwise the job fails.
 
-    A dimension with a repeated key would multiply ledger rows. The check is a
-    scalar subquery over the key column alone, run as part of the query that
-    uses the dimension.
+    A dimension with a repeated key would multiply ledger rows. Its rows are
+    counted per key where they are read, so nothing is read twice. They are
+    dealt by hash and key for that: a dealing by the key alone would do for the
+    join as well, which then reads it through the count, and AQE doesn't split
+    a hot key of such a join.
     """
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_copies")).filter("_copies > 1")
-    number = repeated.agg(F.count(F.lit(1)).alias("_repeated")).scalar()
-    message = F.concat(F.lit(f"values of {key} repeated in a dimension: "), number.cast("string"))
+    copies = F.count(F.lit(1)).over(Window.partitionBy(F.xxhash64(key), key))
+    message = F.concat(F.lit(f"values of {key} repeated in a dimension: "), F.coalesce(F.col(key).cast("string"), F.lit("NULL")))
     failed = F.raise_error(message).cast("boolean")
-    return df.filter(F.when(number > 0, failed).otherwise(True))
+    counted = df.withColumn("_copies", copies)
+    return counted.filter(F.when(F.col("_copies") > 1, failed).otherwise(True)).drop("_copies")
 
 
 def attach(df: DataFrame, dimension: DataFrame, key: str, how: str = "left") -> DataFrame:
@@ -42,6 +44,17 @@ def match_suppliers(rows: DataFrame, suppliers: DataFrame, how: str = "left") ->
     return matched.drop("_master_key")
 
 
+def keys_present(rows: DataFrame, key: str, *marks: Column) -> DataFrame:
+    """Distinct keys of ``rows``, with aggregates, for a frame that the same query reads otherwise too.
+
+    A hash over whole rows goes with each key. Without it column pruning would
+    give this reader narrower shuffles below, and Spark could not reuse those
+    of the other reader.
+    """
+    whole = F.bit_xor(F.xxhash64(*[f"`{c}`" for c in rows.columns]))
+    return rows.groupBy(key).agg(whole.alias("_rows"), *marks).filter(F.col("_rows").isNotNull()).drop("_rows")
+
+
 def restrict_to_list(
     listed: DataFrame, facts: DataFrame, key: str, present: DataFrame | None = None
 ) -> DataFrame:
@@ -49,12 +62,16 @@ def restrict_to_list(
 
     Written as an inner join plus the unmatched keys. The short list stays the
     side that can be broadcast, so one key holding much of the fact table never
-    lands in one task, which a left join from the list would force. The keys of
-    the facts come from ``present`` where a narrower frame has them.
+    lands in one task, which a left join from the list would force. What the
+    inner join finds is dealt out evenly once, and both the rows and the keys
+    that are present are read from there: one pass over the facts. Where a
+    narrower stored frame has the keys, ``present`` names it.
     """
     inner = listed.join(facts, key, "inner")
-    present = (facts if present is None else present).select(key).distinct()
-    unmatched = listed.join(present, key, "left_anti")
+    if present is None:
+        inner = inner.hint("rebalance")
+        present = keys_present(inner, key)
+    unmatched = listed.join(present.select(key).distinct(), key, "left_anti")
     return inner.unionByName(unmatched, allowMissingColumns=True)
 
 

@@ -11,9 +11,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Quantiles that cut an order into parts, and the part of missing values.
-_STEPS = [k / 64 for k in range(1, 64)]
-_LAST_PART = 1 << 30
+# Rows of a part of a large order, on average, and rows sampled of each part.
+_PART_ROWS = 100_000
+_SAMPLES = 25
 
 
 class SortKey(NamedTuple):
@@ -48,50 +48,56 @@ def global_rank(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
     return df.withColumn(name, position.cast("long"))
 
 
-def range_rank(df: DataFrame, keys: list[SortKey], name: str) -> DataFrame:
-    """The same rank for frames of any size, ordered by a number and a unique key.
+def range_rank(
+    df: DataFrame, keys: list[SortKey], name: str, part_rows: int = _PART_ROWS, samples: int = _SAMPLES
+) -> DataFrame:
+    """The same rank for frames of any size.
 
-    Quantiles of the number cut the order into parts. A value that many rows
-    share is itself a quantile; it gets parts of its own, cut by quantiles of
-    the unique key. A row's rank is its place in its part plus the rows of all
-    earlier parts; that table has a fixed number of rows at most. Quantiles
-    come from a scalar subquery, so nothing runs before the query does.
+    Splitters over the whole order, all sort keys together, cut it into parts.
+    They come from a sample by hash of the rows, one in ``part_rows / samples``;
+    every ``samples``-th of it is a splitter. So the number of parts follows
+    the number of rows, and neither a shared value nor a common beginning of
+    names can fill a part. A row's rank is its place in its part plus the rows
+    of all earlier parts. Splitters come from a scalar subquery, so nothing
+    runs before the query does. A part is found through a list of every n-th
+    splitter first, n being the root of their number.
     """
-    measure, unique = keys
-    bounds = df.agg(
-        F.struct(
-            F.percentile_approx(measure.name, _STEPS, 10_000).alias("measure"),
-            F.percentile_approx(_ordinal(df, unique.name), _STEPS, 10_000).alias("unique"),
-        )
-    ).scalar()
-    bounded = df.withColumns({"_bounds": bounds, "_ordinal": _ordinal(df, unique.name)})
-
-    def place(value: Column, cuts: Column, down: bool) -> Column:
-        return F.size(F.filter(cuts, lambda x: x > value if down else x < value))
-
-    value, cuts = F.col(measure.name), F.col("_bounds.measure")
-    shared = F.array_contains(cuts, value)
-    within = place(F.col("_ordinal"), F.col("_bounds.unique"), unique.down)
-    within = F.when(F.col("_ordinal").isNull(), len(_STEPS)).otherwise(within)
-    inner = F.when(shared, within).otherwise(0)
-    part = (place(value, cuts, measure.down) * 2 + shared.cast("int")) * len(_STEPS) * 2 + inner
-    placed = bounded.withColumn("_part", F.when(value.isNotNull(), part).otherwise(_LAST_PART))
-    placed = placed.drop("_bounds", "_ordinal")
-    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        placed.groupBy("_part")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
+    names = [f"`{k.name}`" for k in keys]
+    row = f"struct({', '.join(names)})"
+    drawn = f"pmod(xxhash64({', '.join(names)}), {max(1, part_rows // samples)}) = 0"
+    compared = f"CASE WHEN {_before('x', 'y', keys)} THEN -1 WHEN {_before('y', 'x', keys)} THEN 1 ELSE 0 END"
+    sample = f"array_sort(collect_list(CASE WHEN {drawn} THEN {row} END), (x, y) -> {compared})"
+    step = "CAST(greatest(1, ceil(sqrt(size(cuts)))) AS INT)"
+    splitters = (
+        df.agg(F.expr(f"filter({sample}, (x, i) -> i % {samples} = {samples - 1})").alias("cuts"))
+        .selectExpr(f"struct(cuts, {step} AS step, filter(cuts, (x, i) -> i % {step} = {step} - 1) AS coarse)")
+        .scalar()
     )
+
+    def cuts_before(some: str) -> str:
+        return f"size(filter({some}, cut -> {_before('cut', row, keys)}))"
+
+    first = f"{cuts_before('_cuts.coarse')} * _cuts.step"
+    inner = "slice(_cuts.cuts, _first + 1, _cuts.step)"
+    placed = (
+        df.select("*", splitters.alias("_cuts"))
+        .selectExpr("*", f"{first} AS _first")
+        .selectExpr(*[f"`{c}`" for c in df.columns], f"_first + {cuts_before(inner)} AS _part")
+    )
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    starts = counts.select("_part", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_start"))
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*sort_columns(keys)))
-    # One row per part: a fixed number at most.
+    # One row for each hundred thousand.
     ranked = placed.join(F.broadcast(starts), "_part")
-    return ranked.withColumn(name, (F.col("_start") + inside).cast("long")).drop("_part", "_start")
+    return ranked.select(*[f"`{c}`" for c in df.columns], (F.col("_start") + inside).cast("long").alias(name))
 
 
-def _ordinal(df: DataFrame, name: str) -> Column:
-    """A number in the order of a column; of text, its first seven bytes."""
-    if df.schema[name].dataType.simpleString() != "string":
-        return F.col(name)
-    digits = F.rpad(F.hex(F.substring(F.encode(name, "UTF-8"), 1, 7)), 14, "0")
-    return F.conv(digits, 16, 10).cast("long")
+def _before(x: str, y: str, keys: list[SortKey]) -> str:
+    """SQL: whether struct ``x`` stands before struct ``y``; missing values come last."""
+    out = "false"
+    for key in reversed(keys):
+        a, b = f"{x}.`{key.name}`", f"{y}.`{key.name}`"
+        apart = f"coalesce({a} {'>' if key.down else '<'} {b}, false)"
+        out = f"(({a} IS NOT NULL AND {b} IS NULL) OR {apart} OR ({a} <=> {b} AND {out}))"
+    return out

@@ -9,8 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallybook.functions import cond_sum, distinct_with_null, flag_on, ratio, total
-from tallybook.operators import ascending, descending, global_rank, group_with_attribute
+from tallybook.functions import cond_sum, flag_on, ratio, total
+from tallybook.operators import (
+    ascending,
+    descending,
+    global_rank,
+    group_with_attribute,
+    keys_present,
+)
 from tallybook.plans.enrich import valid_supplier
 
 
@@ -169,21 +175,30 @@ def standard_supplier_counts(ledger: DataFrame) -> DataFrame:
 def extract_totals(ledger: DataFrame) -> DataFrame:
     """Size of the extract and its share of all spending, in one scan.
 
-    Counting three kinds of values copies the input once per kind, so rows are
-    first combined per body and supplier.
+    Suppliers are counted as marks on one row per raw, then per standard name,
+    bodies on one row per body; so no row is copied for each kind of value that
+    is counted, and both counts read the same sums.
     """
-    keys = ["CCGName", "Supplier", "SUPPLIER_STANDARD_NAME"]
     measures = ["Records", "Known", "Overs", "Spending", "OverSpending"]
-    groups = ledger.withColumn("_inside", _in_extract()).groupBy(*keys, "_inside")
-    combined = groups.agg(*[F.sum(m).alias(m) for m in measures])
-    inside = F.col("_inside")
-    value = cond_sum("OverSpending", inside)
-    whole = _if_all_known(F.sum("Spending"))
-    return combined.agg(
-        cond_sum("Overs", inside).alias("Invoices"),
-        distinct_with_null("CCGName", inside).alias("Bodies"),
-        distinct_with_null("Supplier", inside).alias("NamedSuppliers"),
-        distinct_with_null("SUPPLIER_STANDARD_NAME", inside).alias("StandardSuppliers"),
+    columns = ["CCGName", "Supplier", "SUPPLIER_STANDARD_NAME", *measures]
+    rows = ledger.withColumn("_inside", F.coalesce(_in_extract(), F.lit(False)).cast("int")).select(*columns, "_inside")
+    extract = {m: F.sum(F.when(F.col("_inside") == 1, F.col(m))) for m in ("Overs", "OverSpending")}
+    per_name = rows.groupBy("SUPPLIER_STANDARD_NAME", "Supplier").agg(
+        F.max("_inside").alias("_named"),
+        *[v.alias(f"_{m}") for m, v in extract.items()],
+        *[F.sum(m).alias(m) for m in ("Records", "Known", "Spending")],
+    )
+    sums = ["_Overs", "_OverSpending", "Records", "Known", "Spending"]
+    per_standard = per_name.groupBy("SUPPLIER_STANDARD_NAME").agg(
+        F.sum("_named").alias("_named"), F.max("_named").alias("_standard"), *[F.sum(c).alias(c) for c in sums]
+    )
+    bodies = keys_present(rows, "CCGName", F.max("_inside").alias("_body")).agg(total("_body")).scalar()
+    value = total("_OverSpending")
+    return per_standard.agg(
+        total("_Overs").alias("Invoices"),
+        F.max(bodies).alias("Bodies"),
+        total("_named").alias("NamedSuppliers"),
+        total("_standard").alias("StandardSuppliers"),
         value.alias("Spending"),
-        ratio(value, whole).alias("ShareOfSpending"),
+        ratio(value, _if_all_known(F.sum("Spending"))).alias("ShareOfSpending"),
     )

@@ -197,3 +197,44 @@ def test_building_a_rank_runs_no_job(spark):
         assert not spark.sparkContext.statusTracker().getJobIdsForGroup("rank")
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("unique", ["Supplier#%09d", "%d"])
+def test_range_rank_parts_are_bounded(spark, unique):
+    """Neither a shared value nor a common beginning of names fills a part, at any size."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        for rows in (4_000, 40_000):
+            df = spark.range(rows).select(
+                F.when(F.col("id") % 4 > 0, 5).otherwise(F.col("id") % 3).alias("v"),
+                F.format_string(unique, "id").alias("k"),
+            )
+            keys = [ops.descending("v"), ops.ascending("k")]
+            ranked = ops.range_rank(df, keys, "r", part_rows=500, samples=20)
+            placed = ranked.groupBy(F.spark_partition_id()).agg(F.count("r").alias("n"), F.max("r").alias("last"))
+            parts = placed.filter("last > 0").agg(F.max("n"), F.count("n")).first()
+            # Parts have about 500 rows; a task gets a few of them by chance.
+            assert parts[0] < 4_000 and parts[1] >= min(rows // 500, 60) * 0.6
+            want = [r[0] for r in df.orderBy(F.desc("v"), "k").select("k").collect()]
+            assert [r["k"] for r in ranked.orderBy("r").select("k").collect()] == want
+            assert ranked.agg(F.min("r"), F.max("r"), F.count_distinct("r")).first() == (1, rows, rows)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+def test_range_rank_by_three_keys(spark):
+    random.seed(9)
+    draw = lambda n: random.choice([None, *range(n)])
+    rows = [(draw(3), draw(4), f"k{i}") for i in range(3000)]
+    keys = [ops.ascending("a"), ops.descending("b"), ops.ascending("k")]
+    got = ops.range_rank(frame(spark, "a int, b int, k string", rows), keys, "r", part_rows=100, samples=10)
+    want = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] is None, -(r[1] or 0), r[2]))
+    assert [r[:3] for r in sorted(tuples(got, "a", "b", "k", "r"), key=lambda r: r[3])] == want
+
+
+def test_keys_present(spark):
+    df = frame(spark, "k string, v int", [("a", 1), ("a", 1), (None, 2), ("b", None)])
+    assert sorted(tuples(ops.keys_present(df, "k")), key=str) == [("a",), ("b",), (None,)]
+    assert sorted(tuples(ops.keys_present(df, "k", F.max("v").alias("m"))), key=str) == [("a", 1), ("b", None), (None, 2)]

@@ -60,3 +60,36 @@ def test_totals_reuse_the_shuffle_of_their_groups(spark, sf_dir):
     df = QUERIES["sector_split"](spark, sf_dir)
     df.collect()
     assert "ReusedExchange" in _plan(df)
+
+
+def _scans(plan: str, table: str) -> int:
+    """Scans of a table in the final plan; what is reused is printed as such, not as a scan again."""
+    return sum(f"{table}.parquet" in line and "Scan parquet" in line for line in plan.splitlines())
+
+
+def _ran(df) -> str:
+    """The plan that ran: the final one, without the plan it started from."""
+    df.collect()
+    return re.split(r"\+- == Initial Plan ==", _plan(df))[0]
+
+
+@pytest.mark.parametrize(
+    "name, table",
+    [
+        ("shared_subset", "lineitem"),
+        ("attach_body_code", "nation"),
+        ("recode_suppliers", "nation"),
+        ("enrich_ledger", "supplier"),
+        ("valid_extract", "supplier"),
+    ],
+)
+def test_one_read(spark, sf_dir, name, table):
+    """A query reads a table no more often than its joins name it."""
+    df = QUERIES[name](spark, sf_dir)
+    named = {"lineitem": 1, "nation": 2, "supplier": 2}[table]
+    assert _scans(_ran(df), table) <= named
+
+
+def test_counts_without_copies_of_rows(spark, sf_dir):
+    plan = _ran(QUERIES["extract_totals"](spark, sf_dir))
+    assert "Expand" not in plan
