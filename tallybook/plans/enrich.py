@@ -6,11 +6,10 @@ one per body and supplier; every report sums the measures, so both give the
 same figures, and a tally stored once answers all reports without another pass
 over the ledger.
 
-How a tally is joined to the supplier master depends on the size of the master.
-If it is small enough to be broadcast, the join costs no shuffle and ledger
-rows are joined as they are. If it is not, ledger rows are first added up per
-body and supplier: the join then shuffles groups and not rows, and a supplier
-holding a third of the ledger arrives as one row per body and map task.
+A tally is joined to the supplier master in one way at every size: ledger rows
+are first added up per body and supplier, so the join shuffles groups and not
+rows, and a supplier holding a third of the ledger arrives as one row per body
+and map task.
 """
 
 from __future__ import annotations
@@ -108,9 +107,8 @@ def _large_payments(rows: DataFrame) -> DataFrame:
 
 
 def ledger_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """The whole ledger."""
-    rows = measured(invoices)
-    return match_suppliers(_added_up(rows), suppliers)
+    """The whole ledger, one row per body and supplier; also the form to be stored."""
+    return match_suppliers(_added_up(measured(invoices)), suppliers)
 
 
 def extract_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
@@ -125,11 +123,6 @@ def payments_tally(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
     return payments_of(ledger_tally(invoices.filter(flag_on("PositiveFlag")), suppliers))
 
 
-def stored_form(invoices: DataFrame, suppliers: DataFrame) -> DataFrame:
-    """The ledger tally to be stored: one row per body and supplier."""
-    return match_suppliers(_added_up(measured(invoices)), suppliers)
-
-
 def payments_of(ledger: DataFrame) -> DataFrame:
     """Payments in a ledger tally; other rows add nothing to spending."""
     return ledger.filter(F.col("Payments") > 0).withColumn("Invoices", F.col("Payments"))

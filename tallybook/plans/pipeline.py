@@ -45,7 +45,7 @@ def build_datasets(invoices: DataFrame, master: DataFrame, out: str) -> tuple[Da
     write_dataset(enrich.enrich_ledger(invoices, master), f"{out}/combined")
     combined = read_dataset(spark, f"{out}/combined")
     write_dataset(enrich.extract_from_combined(combined), f"{out}/extract")
-    write_dataset(enrich.stored_form(invoices, master), f"{out}/tally")
+    write_dataset(enrich.ledger_tally(invoices, master), f"{out}/tally")
     return combined, read_dataset(spark, f"{out}/extract")
 
 

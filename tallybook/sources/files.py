@@ -1,4 +1,12 @@
-"""Files in and out. ``NA`` stands for a missing value in text files."""
+"""Files in and out. ``NA`` stands for a missing value in text files.
+
+A quoted value may hold line breaks, so a text file is not cut at its lines:
+one task streams one file, and the files are the parts of the work. Ledger
+folders have a file per paying body, lookups are small. A file above
+``MAX_FILE_BYTES`` is refused before anything is read; with ``line_breaks=False``,
+for files known to have none inside values, large files are cut and have no
+bound.
+"""
 
 from __future__ import annotations
 
@@ -13,6 +21,8 @@ from tallybook.schemas import MONEY, RAW_LEDGER
 MISSING = "NA"
 # A quote inside a quoted value is doubled, on reading and on writing.
 QUOTING = {"quote": '"', "escape": '"'}
+# What one task reads of a text file that can't be cut.
+MAX_FILE_BYTES = 1 << 30
 
 
 def _file_name() -> Column:
@@ -20,20 +30,43 @@ def _file_name() -> Column:
     return F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
 
 
-def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+def _text_options(spark: SparkSession, paths: list[str], line_breaks: bool) -> dict:
+    """How text files are read; fails on a file too large to be read whole by one task."""
+    if line_breaks:
+        refuse_large(spark, paths)
+    return {"header": True, "nullValue": MISSING, "mode": "FAILFAST", "multiLine": line_breaks, **QUOTING}
+
+
+def refuse_large(spark: SparkSession, paths: list[str], most: int | None = None) -> None:
+    """Fail, naming them, on files of more than ``most`` bytes; contents are not read."""
+    most = MAX_FILE_BYTES if most is None else most
+    listed = spark.read.format("binaryFile").load(paths).filter(F.col("length") > most)
+    large = [r["path"] for r in listed.select("path").orderBy("path").limit(5).collect()]
+    if large:
+        names = ", ".join(large)
+        raise ValueError(
+            f"text files of more than {most} bytes, which one task would read: {names}; if no value"
+            " has a line break, read them with line_breaks=False"
+        )
+
+
+def read_csv(
+    spark: SparkSession, path: str | list[str], schema: T.StructType, line_breaks: bool = True
+) -> DataFrame:
     """A headed text file under a given schema; nothing is inferred."""
-    return spark.read.csv(
-        path, schema=schema, header=True, nullValue=MISSING, mode="FAILFAST", **QUOTING
-    )
+    paths = [path] if isinstance(path, str) else path
+    return spark.read.csv(paths, schema=schema, **_text_options(spark, paths, line_breaks))
 
 
-def read_named(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_named(
+    spark: SparkSession, path: str, schema: T.StructType, line_breaks: bool = True
+) -> DataFrame:
     """A headed text file of which the columns of ``schema`` are taken by name.
 
     Only the header line is looked at beforehand. A value that does not fit its
     type fails the job.
     """
-    text = spark.read.csv(path, header=True, nullValue=MISSING, mode="FAILFAST", **QUOTING)
+    text = spark.read.csv(path, **_text_options(spark, [path], line_breaks))
     return text.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
@@ -56,6 +89,7 @@ def read_ledgers(
     manifest: DataFrame | None = None,
     file_format: str = "csv",
     layout: T.StructType = RAW_LEDGER,
+    line_breaks: bool = True,
 ) -> DataFrame:
     """Ledger files of a folder as one scan, with the file each row is from.
 
@@ -65,19 +99,19 @@ def read_ledgers(
     without a file (see :func:`missing_files`) give no rows.
     """
     amount = RAW_LEDGER.names[-1]
+    paths = [directory]
+    if manifest is not None:
+        # A manifest is a closed list: one name per paying body.
+        found = manifest.select("FileName").distinct().join(_files(spark, directory), "FileName")
+        paths = [_literal_path(directory, r["FileName"]) for r in found.collect()]
     reader = spark.read.schema(layout)
-    if file_format == "csv":
+    if file_format == "csv" and paths:
         as_text = [
             T.StructField(f.name, T.StringType()) if f.name == amount else f for f in layout.fields
         ]
         reader = spark.read.schema(T.StructType(as_text)).options(
-            header=True, nullValue=MISSING, mode="FAILFAST", enforceSchema=False, **QUOTING
+            enforceSchema=False, **_text_options(spark, paths, line_breaks)
         )
-    paths = [directory]
-    if manifest is not None:
-        # A manifest is a closed list: one name per paying body.
-        found = manifest.select("FileName").distinct().join(_files(spark, directory), "FileName")
-        paths = [_literal_path(directory, r["FileName"]) for r in found.collect()]
     columns = [F.col(f"`{name}`") for name in RAW_LEDGER.names]
     if file_format == "csv":
         columns[-1] = _exact_money(columns[-1]).alias(amount)
@@ -107,5 +141,7 @@ def write_dataset(df: DataFrame, path: str, mode: str = "errorifexists") -> None
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Headed text; values with commas or quotes are quoted, missing ones are ``NA``."""
-    df.write.mode(mode).csv(path, header=True, nullValue=MISSING, **QUOTING)
+    """Headed text; values with commas, quotes or line breaks are quoted, missing ones are ``NA``."""
+    # Spark's writer would trim values; white space at their ends is kept.
+    whole = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).csv(path, header=True, nullValue=MISSING, **whole, **QUOTING)

@@ -244,3 +244,40 @@ def test_digits_beyond_pennies_fail(spark, tmp_path):
     _ledger_file(tmp_path, "one.csv", '"one","t","a","S",24999.9900', '"one","t","a","S",NA')
     got = tuples(read_ledgers(spark, str(tmp_path)), "`AP Amount (£)`")
     assert sorted(got, key=str) == [(Decimal("24999.99"),), (None,)]
+
+
+def test_line_breaks_inside_quoted_values(spark, tmp_path):
+    folder = tmp_path / "ledgers"
+    folder.mkdir()
+    (folder / "a.csv").write_bytes(
+        (HEADER + 'Body,Rent,"Es\r\ntates","ACME\nLTD",1.50\nBody,"a\n\n""b""",NA,"x,\ny",-2\n').encode()
+    )
+    (folder / "b.csv").write_text(HEADER + 'Body,NA,NA,"\nlead",3\n', encoding="utf-8")
+    got = sorted(tuples(read_ledgers(spark, str(folder))), key=str)
+    assert got == sorted(
+        [
+            ("Body", "Rent", "Es\r\ntates", "ACME\nLTD", Decimal("1.50"), "a.csv"),
+            ("Body", 'a\n\n"b"', None, "x,\ny", Decimal("-2.00"), "a.csv"),
+            ("Body", None, None, "\nlead", Decimal("3.00"), "b.csv"),
+        ],
+        key=str,
+    )
+    summary = tuples(collate.file_summary(read_ledgers(spark, str(folder))), "File", "Suppliers", "Invoices")
+    assert sorted(summary) == [("a.csv", 2, 2), ("b.csv", 1, 1)]
+
+
+def test_csv_round_trip_keeps_line_breaks(spark, tmp_path):
+    values = ["ACME\nLTD", "a\r\nb", "\n", 'say ""no""\n"', "x,\ny", " lead", "NA ", None, ""]
+    df = frame(spark, "a string, b int", [(v, k) for k, v in enumerate(values)]).coalesce(1)
+    write_csv(df, str(tmp_path / "out"))
+    back = read_csv(spark, str(tmp_path / "out"), df.schema)
+    assert sorted(tuples(back, "b", "a"), key=str) == sorted(tuples(df, "b", "a"), key=str)
+
+
+def test_a_file_too_large_for_one_task_is_refused(spark, ledger_dir, monkeypatch):
+    from tallybook.sources import files
+
+    monkeypatch.setattr(files, "MAX_FILE_BYTES", 100)
+    with pytest.raises(ValueError, match="line_breaks=False"):
+        read_ledgers(spark, ledger_dir)
+    assert read_ledgers(spark, ledger_dir, line_breaks=False).count() == 5

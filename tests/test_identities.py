@@ -142,7 +142,7 @@ def test_both_tally_shapes_agree(spark, case):
 
 def test_stored_tally_gives_the_same_figures(case):
     """One row per body and supplier instead of one per invoice."""
-    stored = enrich.stored_form(*case).cache()
+    stored = enrich.ledger_tally(*case).cache()
     assert stored.count() == stored.select(*enrich.BODY, "Supplier").distinct().count()
     pairs = [
         (quality.ledger_totals, enrich.ledger_tally(*case), stored),
