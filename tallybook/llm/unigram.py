@@ -25,13 +25,15 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from tallybook.llm.tokens import filled
-from tallybook.llm.units import Coded, UnitStore, encoded_texts
+from tallybook.llm.units import Coded, UnitStore, cuts, encoded_texts
 
 MARK = "▁"
+STRETCH = 4 << 20  # bytes of text that are coded together
 UNIT = re.compile(f" +[^ {MARK}]*|{MARK}|[^ {MARK}]+")
 ADDED = T.StructType(
     [
@@ -136,6 +138,11 @@ class Model:
         scores[own] = -np.log(ranks[own] + 1) - np.log(np.sum(1 / (ranks[own] + 1)))
         return cls(DoubleArray(pieces), scores, surface, byte_ids, float(scores[own].min() - unknown))
 
+    @property
+    def is_byte(self) -> np.ndarray:
+        """By id, whether it stands for a byte."""
+        return np.isin(np.arange(len(self.surface)), self.byte_ids)
+
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.surface[i] for i in ids]).decode()[1:]
 
@@ -251,26 +258,31 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         # Kept with the model by the worker, over its tasks.
-        store = own.__dict__.setdefault("store", UnitStore(own.coded, 250_000))
+        store = own.__dict__.setdefault("store", UnitStore(own.coded, 48 << 20))
         for batch in batches:
-            nulls = batch[text].is_null().to_numpy(zero_copy_only=False)
-            # The leading space is part of the first unit; an empty text gets none.
-            texts = pa.array([" " + t if t else "" for t in filled(batch[text]).to_pylist()], pa.string())
-            for a, b, ids, counts in encoded_texts(texts, store, piece_bytes=8 << 20):
-                ends = np.cumsum(counts)
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.append(nulls[a:b], False)),
-                    pa.array(ids, pa.int32()),
-                )
-                in_bytes = np.concatenate(([0], np.cumsum(np.isin(ids, own.byte_ids))))
-                flat = ids.tolist()
-                decoded = [
-                    None if null else own.decode(flat[e - c : e])
-                    for null, e, c in zip(nulls[a:b], ends.tolist(), counts.tolist())
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*(batch[c].slice(a, b - a) for c in names), lists, pa.array(counts), pa.array(in_bytes[ends] - in_bytes[ends - counts]), pa.array(decoded, pa.string())],
-                    names=[*names, *ADDED.names],
-                )
+            whole = filled(batch[text])
+            for low, high in cuts(whole, STRETCH) if len(whole) else ():
+                yield from coded(own, store, batch.slice(low, high - low), whole.slice(low, high - low))
+
+    def coded(own: Model, store: UnitStore, batch: pa.RecordBatch, whole: pa.StringArray) -> Iterator[pa.RecordBatch]:
+        nulls = batch[text].is_null().to_numpy(zero_copy_only=False)
+        # The leading space is part of the first unit; an empty text gets none.
+        spaced = pc.binary_join_element_wise(pa.scalar(" "), whole, pa.scalar(""))
+        texts = pc.if_else(pc.equal(whole, ""), whole, spaced)
+        for a, b, ids, counts in encoded_texts(texts, store, slice_bytes=STRETCH // 2, piece_bytes=2 * STRETCH):
+            ends = np.cumsum(counts)
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate(([0], ends)), pa.int32(), mask=np.append(nulls[a:b], False)),
+                pa.array(ids, pa.int32()),
+            )
+            in_bytes = np.concatenate(([0], np.cumsum(own.is_byte[ids])))
+            decoded = [
+                None if null else own.decode(ids[e - c : e].tolist())
+                for null, e, c in zip(nulls[a:b], ends.tolist(), counts.tolist())
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch[c].slice(a, b - a) for c in names), lists, pa.array(counts), pa.array(in_bytes[ends] - in_bytes[ends - counts]), pa.array(decoded, pa.string())],
+                names=[*names, *ADDED.names],
+            )
 
     return docs.mapInArrow(code, schema)

@@ -2,13 +2,15 @@
 
 A unit is a word with the one space before it. Where a space stands alone
 between other characters, the usual pre-tokenizers start a new piece at it, so
-the ids of a text are those of its units in a row. Texts in which a space
-touches other white space are one unit. Each distinct unit of a batch is
-tokenized once, and a worker remembers a bounded number of them.
+the ids of a text are those of its units in a row. Spaces that touch other
+white space stay inside a unit, which ends at the next space that stands alone.
+Each distinct unit of a stretch of texts is tokenized once. A worker remembers
+short ones, within a bound in bytes.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
@@ -22,12 +24,20 @@ TOUCHING = (
 )
 
 
+#: A space without white space on either side.
+ALONE = re.compile(r"(?<!\s) (?!\s)")
+
+
 def split_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Unit codes in order, units per text, and the distinct units."""
-    whole = pc.match_substring_regex(texts, TOUCHING).to_numpy(zero_copy_only=False)
-    lists = pc.split_pattern(texts, " ")
+    touching = pc.match_substring_regex(texts, TOUCHING)
+    odd = touching.to_numpy(zero_copy_only=False)
+    lists = pc.split_pattern(texts if not odd.any() else pc.if_else(touching, "", texts), " ")
     per_text = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    coded = lists.flatten().dictionary_encode()
+    flat = lists.flatten()
+    if odd.any():
+        flat, per_text = _with_odd(flat, per_text, texts, odd)
+    coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     words = coded.dictionary.to_pylist()
     units = [" " + w for w in words]
@@ -35,18 +45,20 @@ def split_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str
     leading, back = np.unique(codes[first], return_inverse=True)
     codes[first] = len(units) + back
     units += [words[c] for c in leading]
-    if whole.any():
-        # Such a text's units are replaced by one.
-        odd = np.flatnonzero(whole)
-        keep = np.ones(len(codes), bool)
-        for t in odd:
-            keep[first[t] + 1 : first[t] + per_text[t]] = False
-        codes[first[odd]] = len(units) + np.arange(len(odd))
-        units += [texts[int(t)].as_py() for t in odd]
-        codes, per_text = codes[keep], np.where(whole, 1, per_text)
     return codes, per_text, units
 
 
+def _with_odd(flat: pa.StringArray, per_text: np.ndarray, texts: pa.StringArray, odd: np.ndarray):
+    """Words of all texts, where those of odd texts (one empty word so far) are parted at spaces that stand alone."""
+    pieces, at, counts = [], 0, per_text.copy()
+    ends = np.cumsum(per_text)
+    for t in np.flatnonzero(odd):
+        own = ALONE.split(texts[int(t)].as_py())
+        pieces += [flat.slice(at, ends[t] - 1 - at), pa.array(own, pa.string())]
+        at, counts[t] = int(ends[t]), len(own)
+    return pa.concat_arrays([*pieces, flat.slice(at)]), counts
+
+
 def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indexes ``start, start + 1, ...`` of every stretch, in a row."""
     ends = np.cumsum(lengths)
@@ -73,32 +85,89 @@ class Coded:
         lengths = self.lengths[codes]
         return self.ids[ragged(self.starts[codes], lengths)], lengths
 
-    def and_then(self, other: Coded) -> Coded:
-        return Coded(np.concatenate((self.lengths, other.lengths)), np.concatenate((self.ids, other.ids)))
+
+class Growing:
+    """Numbers end to end, in room that is doubled when it is used up."""
+
+    def __init__(self, kind) -> None:
+        self.room, self.size = np.empty(1 << 10, kind), 0
+
+    def add(self, numbers: np.ndarray) -> None:
+        end = self.size + len(numbers)
+        if end > len(self.room):
+            room = np.empty(max(end, 2 * len(self.room)), self.room.dtype)
+            room[: self.size] = self.room[: self.size]
+            self.room = room
+        self.room[self.size : end] = numbers
+        self.size = end
+
+    @property
+    def numbers(self) -> np.ndarray:
+        return self.room[: self.size]
+
+
+@dataclass
+class Both:
+    """Remembered units, then those of this stretch only."""
+
+    starts: np.ndarray
+    lengths: np.ndarray
+    ids: np.ndarray
+    new: Coded
+
+    def take(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = codes < len(self.starts)
+        own, other = codes[known], codes[~known] - len(self.starts)
+        lengths = np.empty(len(codes), np.int64)
+        lengths[known], lengths[~known] = self.lengths[own], self.new.lengths[other]
+        if not len(other):
+            return self.ids[ragged(self.starts[own], lengths)], lengths
+        out = np.empty(int(lengths.sum()), np.int32)
+        places = np.cumsum(lengths) - lengths
+        for side, starts, ids in ((known, self.starts[own], self.ids), (~known, self.new.starts[other], self.new.ids)):
+            out[ragged(places[side], lengths[side])] = ids[ragged(starts, lengths[side])]
+        return out, lengths
+
+
+#: Longest unit that is remembered, in characters, and what one costs besides its text and ids, in bytes.
+LONGEST, OVERHEAD = 64, 200
 
 
 class UnitStore:
-    """Remembers the ids of units a worker has met, up to ``limit`` of them."""
+    """Remembers the ids of short units a worker has met, about ``limit`` bytes of them."""
 
-    def __init__(self, encode: Callable[[list[str]], Coded], limit: int = 800_000) -> None:
-        self.encode, self.limit = encode, limit
+    def __init__(self, encode: Callable[[list[str]], Coded], limit: int = 64 << 20) -> None:
+        self.encode, self.limit, self.used = encode, limit, 0
         self.places: dict[str, int] = {}
-        self.known = Coded(np.empty(0, np.int64), np.empty(0, np.int32))
+        self.starts, self.lengths, self.ids = Growing(np.int64), Growing(np.int32), Growing(np.int32)
 
-    def coded(self, units: list[str]) -> tuple[np.ndarray, Coded]:
+    def coded(self, units: list[str]) -> tuple[np.ndarray, Both]:
         """The place of every unit in the ids that are returned with them."""
         get = self.places.get
         at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
         new = np.flatnonzero(at < 0)
-        at[new] = len(self.places) + np.arange(len(new))
         missing = [units[k] for k in new]
-        both = self.known.and_then(self.encode(missing))
-        room = min(len(new), self.limit - len(self.places))
-        if room > 0:
-            self.places.update(zip(missing[:room], at[new[:room]].tolist()))
-            count = len(self.places)
-            self.known = Coded(both.lengths[:count], both.ids[: int(both.lengths[:count].sum())])
-        return at, both
+        found = self.encode(missing) if missing else Coded(np.empty(0, np.int64), np.empty(0, np.int32))
+        # A unit has at most four bytes a character in its text, and four for each id.
+        cost = np.fromiter((OVERHEAD + 4 * len(u) if len(u) <= LONGEST else 0 for u in missing), np.int64, len(missing))
+        short = np.flatnonzero(cost > 0)
+        short = short[self.used + np.cumsum((cost + 4 * found.lengths)[short]) <= self.limit]
+        kept = np.zeros(len(missing), bool)
+        kept[short] = True
+        if len(short):
+            self.used += int((cost + 4 * found.lengths)[short].sum())
+            before = self.starts.size
+            self.places.update(zip((missing[k] for k in short), range(before, before + len(short))))
+            ids, lengths = found.take(short)
+            self.starts.add(self.ids.size + np.cumsum(lengths) - lengths)
+            self.lengths.add(lengths)
+            self.ids.add(ids)
+            at[new[short]] = np.arange(before, before + len(short))
+        # What is not remembered lives as long as this stretch.
+        left = np.flatnonzero(~kept)
+        at[new[left]] = self.starts.size + np.arange(len(left))
+        ids, lengths = found.take(left)
+        return at, Both(self.starts.numbers, self.lengths.numbers, self.ids.numbers, Coded(lengths, ids))
 
 
 def joined(units: list[str], encode: Callable[[str], np.ndarray], opens: np.ndarray, block: int = 5000) -> Coded:
@@ -131,7 +200,7 @@ def joined(units: list[str], encode: Callable[[str], np.ndarray], opens: np.ndar
     return Coded(lengths, by_order.take(back)[0])
 
 
-def _cuts(texts: pa.StringArray, size: int) -> list[tuple[int, int]]:
+def cuts(texts: pa.StringArray, size: int) -> list[tuple[int, int]]:
     """Bounds of stretches of texts of about ``size`` bytes."""
     ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
     bounds = [0, *(np.flatnonzero(np.diff(ends // size)) + 1).tolist(), len(texts)]
@@ -139,21 +208,21 @@ def _cuts(texts: pa.StringArray, size: int) -> list[tuple[int, int]]:
 
 
 def encoded_texts(
-    texts: pa.StringArray, store: UnitStore, slice_bytes: int = 4 << 20, piece_bytes: int = 1 << 30
+    texts: pa.StringArray, store: UnitStore, slice_bytes: int = 4 << 20, piece_bytes: int = 8 << 20
 ) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """``(first, last, ids, ids per text)`` over slices of a batch of about ``slice_bytes``.
 
     Units are made distinct over ``piece_bytes`` at a time, which bounds what is held besides
     the batch.
     """
-    for low, high in _cuts(texts, piece_bytes) if len(texts) else ():
+    for low, high in cuts(texts, piece_bytes) if len(texts) else ():
         piece = texts.slice(low, high - low)
         codes, per_text, units = split_units(piece)
         place, coded = store.coded(units)
         del units
         codes = place[codes]
         ends = np.cumsum(per_text)
-        for a, b in _cuts(piece, slice_bytes):
+        for a, b in cuts(piece, slice_bytes):
             start = ends[a] - per_text[a]
             ids, lengths = coded.take(codes[start : ends[b - 1]])
             total = np.concatenate(([0], np.cumsum(lengths)))

@@ -183,3 +183,52 @@ def test_token_counts(spark, nothing):
             assert r["field_tokens"][k] == want
     empty = nothing.selectExpr("doc_id", "text AS title", "text")
     assert token_counts.counted(empty, tokenizer_path("byte_bpe_50k.tiktoken"), token_pattern(), ("title",)).count() == 0
+
+
+def texts_with_double_spaces(count: int) -> list[str]:
+    draw = random.Random(4)
+    words = ["the", "Tree's", "é日本", "123", "a\tb", "x\n", "　wide", "end.", "▁m", "<|endoftext|>", "z" * 90]
+    out = []
+    for k in range(count):
+        row = [draw.choice(words) if draw.random() < 0.8 else f"w{k}x{draw.randrange(1000)}" for _ in range(12)]
+        out.append(draw.choice(["", " ", "  "]) + "".join(w + draw.choice([" ", " ", " ", "  ", " \n", "\t "]) for w in row))
+    return out
+
+
+def test_double_spaces_leave_a_bounded_store():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallybook.llm import units
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    library, store = Tokenizer.from_file(path), token_output._store(path, False)
+    store = units.UnitStore(store.encode, limit=2 << 20)
+    texts = texts_with_double_spaces(50_000)
+    done = 0
+    for a, b, ids, counts in units.encoded_texts(pa.array(texts), store, piece_bytes=1 << 20):
+        ends = counts.cumsum()
+        for k in range(a, b, 17):
+            assert ids[ends[k - a] - counts[k - a] : ends[k - a]].tolist() == library.encode(texts[k], add_special_tokens=False).ids
+        done += b - a
+    assert done == len(texts)
+    assert store.used <= 2 << 20 and 1000 < len(store.places) < (2 << 20) // units.OVERHEAD
+    assert max(map(len, store.places)) <= units.LONGEST
+
+
+def test_a_store_that_is_full_or_empty():
+    import pyarrow as pa
+
+    from tallybook.llm import units
+
+    numbered = lambda some: units.Coded.of_lists([[ord(c) for c in u] for u in some])
+    texts = [*texts_with_double_spaces(300), "", " ", "  ", "a", "a b", *["same words here"] * 50, "y" * 500]
+    for limit in (0, 3000, 1 << 30):
+        store = units.UnitStore(numbered, limit)
+        for _ in range(2):
+            got = []
+            for _, _, ids, counts in units.encoded_texts(pa.array(texts), store, slice_bytes=500, piece_bytes=2000):
+                ends = counts.cumsum()
+                got += ["".join(map(chr, ids[e - c : e])) for e, c in zip(ends, counts)]
+            assert got == texts
+        assert store.used <= limit
