@@ -13,13 +13,17 @@ one element in one of the d. Each band takes the ``(m, d, e)`` of least cost:
 index entries, plus the coincidences of near-empty segments that its share of
 the corpus makes likely.
 
-Classes that share an entry are candidates. In entries of few classes a sketch of
-element parities, which bounds the difference of two sets from below, excludes
-most pairs. Classes in an entry of many are parted once more by
-an independent pigeonhole. What candidates connect is a cluster; its whole sets
-are compared exactly, in blocks of bounded size from which only a spanning
+Classes that share an entry are candidates, unless their sizes or a sketch of
+element parities, which bounds the difference of two sets from below, rule the
+pair out. Classes in an entry of many are parted once more by an independent
+pigeonhole; entries that are large there too are compared by their sketches in
+blocks. What candidates connect is a cluster; its whole sets are compared
+exactly, in blocks bounded by sets and by bytes, from which only a spanning
 forest of the links leaves. Nothing is capped, and no linked pair is lost.
 
+Entries are dealt once. One that very many classes have, found in a sample of
+the classes, is known to be shared and isn't gathered to see that.
+
 Null and empty texts have no n-gram and are linked with nothing; a text of fewer
 words is one n-gram. Repeated rows are equal sets, so one class, and one
 component; null ids take part, but name no component unless all ids of it are
@@ -49,17 +53,21 @@ SEED, SECOND_SEED = 0x51ED270B, 0x2545F491
 
 @dataclass(frozen=True)
 class Settings:
-    """``few``: most classes of an entry that one task compares by their sketches; ``block``: most sets of one
-    side of a block; ``band``: ratio of the bounds of a band; ``slots``: bits of the filter that
-    spares the second scan from texts without candidates."""
+    """``few``: most classes of an entry that one task compares by their sketches; ``block``, ``block_bytes``:
+    about so many sets, and bytes of them, on one side of a block; ``band``: ratio of the bounds of a band;
+    ``slots``: bits of the filter that spares the second scan from texts without candidates; ``sampled``: one
+    class of so many is looked at for ``hot`` entries, those of at least so many of these."""
 
     words: int = 4
     percent: int = 85
     few: int = 256
     block: int = 1024
+    block_bytes: int = 64 << 20
     band: float = 1.25
     coincidence: float = 2.0
     slots: int = 1 << 23
+    sampled: int = 64
+    hot: int = 1024
 
 
 @dataclass(frozen=True)
@@ -217,15 +225,28 @@ def indexed(docs: DataFrame, plan: list[Group], settings: Settings) -> DataFrame
     return docs.mapInArrow(index, INDEXED)
 
 
-def shared_entries(rows: DataFrame) -> DataFrame:
-    """``entry set_id`` (distinct) of the entries that more than one class has.
+def shared_entries(lists: DataFrame, settings: Settings) -> DataFrame:
+    """``entry set_id`` (distinct) of the entries that more than one class has; ``lists``: ``set_id entries``.
 
     A window, so that the entries, which are most of what this join shuffles,
-    are dealt once; it reads a large entry from disk where it has to.
+    are dealt once. Those of a great many classes don't go there: a sample by
+    hash of the classes shows them, and that they are shared. Of ``n`` entries
+    at most ``n / (sampled * hot)`` can be such, and ``n / 100,000`` in a large
+    corpus, which bounds what is broadcast.
     """
-    own = Window.partitionBy("entry")
-    spread = rows.withColumns({"_x": F.min("set_id").over(own), "_y": F.max("set_id").over(own)})
-    return spread.filter("_x <> _y").select("entry", "set_id").distinct()
+    own = lists.filter(F.col("entries").isNotNull()).select("set_id", "entries")
+    rows = own.select(F.explode("entries").alias("entry"), "set_id")
+    some = own.filter(F.pmod(F.xxhash64("set_id"), F.lit(settings.sampled)) == 0).distinct()
+    seen = some.select(F.explode("entries").alias("entry"), "set_id").distinct().groupBy("entry").count()
+    total = own.agg(F.coalesce(F.sum(F.size("entries").cast("long")), F.lit(0))).first()[0]
+    least = max(settings.hot, 2, total // (settings.sampled * 100_000))
+    hot = stored(seen.filter(F.col("count") >= least).select("entry"), "hot-entries")
+    by_entry = Window.partitionBy("entry")
+    spread = rows.join(F.broadcast(hot), "entry", "left_anti").withColumns(
+        {"_x": F.min("set_id").over(by_entry), "_y": F.max("set_id").over(by_entry)}
+    )
+    cold = spread.filter("_x <> _y").select("entry", "set_id").distinct()
+    return cold.union(rows.join(F.broadcast(hot), "entry", "left_semi").distinct())
 
 
 def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -253,11 +274,39 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
     return described.select("m").mapInArrow(compare, "a bigint, b bigint").distinct()
 
 
-def _near_forest(members: list[dict], percent: int) -> list[tuple[int, int]]:
-    ids = np.array([m["set_id"] for m in members], np.int64)
-    n = np.array([m["n"] for m in members], np.int64)
-    near = _near(n, [np.array(m["sketch"], np.int64) for m in members], percent)
-    return _forest(lambda side, k, others: near[k, others], ids, ids)
+def near_in_blocks(large: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """The same forests for entries of many classes, a block of two parts of an entry at a time."""
+    parts = large.groupBy("entry").count().select("entry", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
+    placed = large.join(parts, "entry").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
+    described = placed.join(classes, "set_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    dealt = described.select(
+        "entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "sketch"
+    )
+
+    def compare(table: pa.Table) -> pa.Table:
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        # A class of both parts, where they are the same one, comes once.
+        rows = {r["set_id"]: r for r in table.select(["own", "set_id", "n", "sketch"]).to_pylist()}.values()
+        x, y = ([r for r in rows if r["own"] == side] for side in (i, j))
+        edges = _near_forest(x, settings.percent, None if i == j else y)
+        return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
+
+    return dealt.groupBy("entry", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
+def _near_forest(members: list[dict], percent: int, others: list[dict] | None = None) -> list[tuple[int, int]]:
+    """A forest of the pairs that aren't ruled out, inside a list or between two."""
+    both = members + (others or [])
+    if not both:
+        return []
+    ids = np.array([m["set_id"] for m in both], np.int64)
+    n = np.array([m["n"] for m in both], np.int64)
+    near = _near(n, [np.array(m["sketch"], np.int64) for m in both], percent)
+    if others is not None:
+        size = len(members)
+        near = near[:size, size:]
+        return _forest(lambda side, k, some: near[k, some] if side == 0 else near[some, k], ids[:size], ids[size:])
+    return _forest(lambda side, k, some: near[k, some], ids, ids)
 
 
 def _near(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
@@ -353,7 +402,9 @@ def _exact_links(x: np.ndarray, y: np.ndarray, sets: list[np.ndarray], near: np.
 
 def verified_clusters(members: DataFrame, settings: Settings) -> DataFrame:
     """Links (spanning forests of blocks) within clusters; ``members``: ``root set_id elements``."""
-    sizes = members.groupBy("root").count().select("root", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
+    by_bytes = F.ceil(F.sum(F.length("elements")) / settings.block_bytes)
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / settings.block), by_bytes).cast("int")
+    sizes = members.groupBy("root").agg(parts.alias("k"))
     own = F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int")
     placed = members.join(sizes, "root").withColumn("own", own)
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1))).select(
@@ -377,7 +428,7 @@ def verified_clusters(members: DataFrame, settings: Settings) -> DataFrame:
 
 
 def second_layer(sets: DataFrame, plan: list[Group]) -> DataFrame:
-    """``entry set_id`` by the independent parting of the universe."""
+    """``set_id entries`` by the independent parting of the universe."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,8 +437,7 @@ def second_layer(sets: DataFrame, plan: list[Group]) -> DataFrame:
                 [batch["set_id"], pa.array(lists, pa.list_(pa.int64()))], names=["set_id", "entries"]
             )
 
-    found = sets.select("set_id", "elements").mapInArrow(index, "set_id bigint, entries array<bigint>")
-    return found.select(F.explode("entries").alias("entry"), "set_id")
+    return sets.select("set_id", "elements").mapInArrow(index, "set_id bigint, entries array<bigint>")
 
 
 def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -395,7 +445,7 @@ def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     plan = groups(docs.count(), settings)
     own = stored(indexed(docs, plan, settings), "sets")
-    shared = stored(shared_entries(own.select(F.explode("entries").alias("entry"), "set_id")), "shared")
+    shared = stored(shared_entries(own, settings), "shared")
     counts = shared.groupBy("entry").count()
     small = shared.join(counts.filter(F.col("count") <= settings.few), "entry", "left_semi")
     many = shared.join(counts.filter(F.col("count") > settings.few), "entry", "left_semi")
@@ -408,10 +458,16 @@ def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     first = own.filter(F.col("entries").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
     sets = stored(sets_of(docs, first.join(wanted, "set_id", "left_semi"), settings), "elements")
 
-    again = shared_entries(second_layer(sets.join(crowded, "set_id", "left_semi"), plan))
-    stars = again.join(again.groupBy("entry").agg(F.min("set_id").alias("a")), "entry")
+    if not crowded.isEmpty():
+        parted = stored(second_layer(sets.join(crowded, "set_id", "left_semi"), plan), "parted")
+        again = stored(shared_entries(parted, settings), "shared-again")
+        counts = again.groupBy("entry").count()
+        small = again.join(counts.filter(F.col("count") <= settings.few), "entry", "left_semi")
+        large = again.join(counts.filter(F.col("count") > settings.few), "entry", "left_semi")
+        more = near_pairs(small, classes, settings).union(near_in_blocks(large, classes, settings))
+        pairs = pairs.union(stored(more, "more-pairs"))
     # Every candidate pair is inside one cluster, and a set is sent to its cluster only.
-    clusters = components(pairs.union(stars.select("a", F.col("set_id").alias("b"))))
+    clusters = components(pairs)
     edges = verified_clusters(clusters.withColumnRenamed("node", "set_id").join(sets, "set_id"), settings)
 
     labels = components(edges).withColumnRenamed("node", "set_id")

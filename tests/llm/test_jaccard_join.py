@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import os
 import random
 import re
 
 import numpy as np
 import pytest
+from compare import connect, difference
 
+from tallybook.llm import catalog
 from tallybook.llm import jaccard_join as j
 from tallybook.llm.components import components
 
+SMALL = "/root/testdata/sf0.01"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
@@ -53,14 +57,43 @@ def documents(seed: int) -> list[tuple[int, str | None]]:
     return out + [(10_001, None), (10_002, ""), (10_003, " \n"), (10_004, "a b"), (10_005, "A b"), (10_006, "a b c")]
 
 
-@pytest.mark.parametrize("few, block", [(256, 1024), (2, 7), (0, 3)])
-def test_components_of_links(spark, few, block):
+@pytest.mark.parametrize(
+    "few, block, more",
+    [(256, 1024, {}), (2, 7, {"sampled": 1, "hot": 3}), (0, 3, {}), (4, 1024, {"block_bytes": 3000, "sampled": 2, "hot": 2})],
+)
+def test_components_of_links(spark, few, block, more):
     docs = documents(few + 1)
     df = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id bigint, text string, root string")
-    got = j.linked(df, j.Settings(few=few, block=block))
+    got = j.linked(df, j.Settings(few=few, block=block, **more))
     assert {r[0]: (r[1], r[2]) for r in got.collect()} == brute(docs)
 
 
+def test_query_against_sql(spark):
+    if not os.path.isdir(SMALL):
+        pytest.skip("no test tables")
+    mine = catalog.queries()["op10_ngram_jaccard_join"](spark, SMALL)
+    theirs = connect(SMALL).sql(catalog.oracle_sql()["op10_ngram_jaccard_join"])
+    assert difference(mine.toPandas(), theirs.df()) is None
+
+
+def test_short_unrelated_texts_stay_apart(spark, monkeypatch):
+    """Texts that share entries by chance don't become one cluster, whose sets would all be compared."""
+    draw = random.Random(8)
+    docs = [(i, " ".join(f"w{draw.randrange(5000)}" for _ in range(draw.choice([8, 9, 10])))) for i in range(1500)]
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    sizes = []
+    checked = j.verified_clusters
+
+    def counted(members, settings):
+        sizes.extend(r["count"] for r in members.groupBy("root").count().collect())
+        return checked(members, settings)
+
+    monkeypatch.setattr(j, "verified_clusters", counted)
+    got = j.linked(df, j.Settings(few=2, block=50))
+    assert {r["doc_id"]: r["component_id"] for r in got.collect()} == {i: r for i, (_, r) in brute(docs).items()}
+    assert max(sizes, default=0) <= 4 and sum(sizes) < 150, sorted(sizes)[-5:]
+
+
 @pytest.mark.parametrize("population", [10, 10**6, 10**12])
 def test_linked_sets_share_an_entry(population):
     settings = j.Settings()

@@ -95,3 +95,11 @@ def test_near_copies_are_by_the_stage_s_own_rule(spark, monkeypatch):
     monkeypatch.setattr(pipeline.jaccard_join, "linked", lambda d, *settings: asked.extend(settings) or linked(d, *settings))
     assert {r["doc_id"] for r in pipeline.keep_one_of_each(spark, docs, "").collect()} == {0}
     assert [(s.words, s.percent) for s in asked] == [(4, 85)]
+
+
+def test_texts_that_share_an_id_are_judged_apart(spark):
+    texts = [" ".join(f"{a}{k}" for k in range(30)) for a in "xyz"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[0]), (3, texts[1] + " end"), (0, texts[2]), (None, texts[2])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = [(r["doc_id"], r["text"]) for r in pipeline.keep_one_of_each(spark, docs, "").collect()]
+    assert sorted(kept, key=str) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (None, texts[2])], key=str)
