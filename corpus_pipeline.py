@@ -23,16 +23,19 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near duplicates: of each group of linked documents the one of the smallest id stays.
+    """Near duplicates: of each group of linked texts the row of the smallest id stays.
 
-    Rows that share an id are one document. Rows without an id can't be named
-    by a group and stay.
+    Rows are told apart by id and text, so texts that share an id are judged each
+    by its own set; of rows that have both in common one stays. Rows without an id
+    can't be named by a group and stay.
     """
-    docs = docs.select(*COLUMNS)
-    linked = jaccard_join.linked(docs, NEAR)
-    firsts = linked.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(firsts, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.filter("doc_id IS NULL")).select(*COLUMNS)
+    docs = docs.select(*COLUMNS).withColumn("row", F.xxhash64("doc_id", "text"))
+    linked = jaccard_join.linked(docs.select(F.col("row").alias("doc_id"), "text"), NEAR)
+    named = docs.filter("doc_id IS NOT NULL")
+    members = linked.select(F.col("doc_id").alias("row"), "component_id").join(named.select("row", "doc_id"), "row")
+    firsts = members.groupBy("component_id").agg(F.min(F.struct("doc_id", "row"))["row"].alias("row"))
+    kept = named.join(firsts.select("row"), "row", "left_semi").dropDuplicates(["row"])
+    return kept.select(*COLUMNS).union(docs.filter("doc_id IS NULL").select(*COLUMNS))
 
 
 def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
