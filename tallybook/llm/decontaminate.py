@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallybook.llm.fm_index import SEPARATOR, FMIndex
+from tallybook.llm.memory import tidy
 from tallybook.llm.tokens import ALNUM_WORDS, filled, word_codes
 
 OTHER = 1  # any run of words that no item has
@@ -166,7 +167,7 @@ def _searched(docs: DataFrame, phrases: Phrases, text: str, settings: Settings)
                     [values[f.name] if f.name in values else batch[f.name] for f in arrow], schema=arrow
                 )
 
-    return docs.mapInArrow(search, schema)
+    return docs.mapInArrow(tidy(search), schema)
 
 
 def contaminated(
@@ -221,4 +222,4 @@ def removed(found: DataFrame, text: str = "text") -> DataFrame:
                 batch = batch.set_column(batch.schema.get_field_index(text), text, column)
             yield batch
 
-    return found.mapInArrow(cut, schema)
+    return found.mapInArrow(tidy(cut), schema)

@@ -42,6 +42,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm.components import components
+from tallybook.llm.memory import tidy
 from tallybook.llm.storage import stored
 from tallybook.llm.tokens import SPACED_WORDS, filled, word_codes
 
@@ -222,7 +223,7 @@ def indexed(docs: DataFrame, plan: list[Group], settings: Settings) -> DataFrame
                 names=["doc_id", "n", "set_id", "sketch", "entries"],
             )
 
-    return docs.mapInArrow(index, INDEXED)
+    return docs.mapInArrow(tidy(index), INDEXED)
 
 
 def shared_entries(lists: DataFrame, settings: Settings) -> DataFrame:
@@ -271,7 +272,7 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
                 [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]
             )
 
-    return described.select("m").mapInArrow(compare, "a bigint, b bigint").distinct()
+    return described.select("m").mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
 
 def near_in_blocks(large: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
@@ -346,7 +347,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame
                 names=["set_id", "elements"],
             )
 
-    rows = docs.select(slot.alias("slot"), "text").mapInArrow(cut, "set_id bigint, elements binary")
+    rows = docs.select(slot.alias("slot"), "text").mapInArrow(tidy(cut), "set_id bigint, elements binary")
     return rows.join(wanted.select("set_id"), "set_id", "left_semi").dropDuplicates(["set_id"])
 
 

@@ -29,11 +29,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tallybook.llm.memory import tidy
 from tallybook.llm.tokens import filled
 from tallybook.llm.units import Coded, UnitStore, cuts, encoded_texts
 
 MARK = "▁"
-STRETCH = 4 << 20  # bytes of text that are coded together
+STRETCH = 2 << 20  # bytes of text that are coded together
 UNIT = re.compile(f" +[^ {MARK}]*|{MARK}|[^ {MARK}]+")
 ADDED = T.StructType(
     [
@@ -155,7 +156,7 @@ class Model:
         while at < len(order):
             # Strings of like length, and no more than a bounded table of cells.
             longest = max(8, int(lengths[order[at]] * 5 // 4))
-            count = max(1, min(block, (1 << 21) // (longest + 1)))
+            count = max(1, min(block, (1 << 20) // (longest + 1)))
             rows = order[at : at + count]
             rows = rows[lengths[rows] <= longest]
             at += len(rows)
@@ -258,7 +259,7 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model.value
         # Kept with the model by the worker, over its tasks.
-        store = own.__dict__.setdefault("store", UnitStore(own.coded, 48 << 20))
+        store = own.__dict__.setdefault("store", UnitStore(own.coded, 40 << 20))
         for batch in batches:
             whole = filled(batch[text])
             for low, high in cuts(whole, STRETCH) if len(whole) else ():
@@ -285,4 +286,4 @@ def encoded(docs: DataFrame, model_path: str, text: str = "text") -> DataFrame:
                 names=[*names, *ADDED.names],
             )
 
-    return docs.mapInArrow(code, schema)
+    return docs.mapInArrow(tidy(code), schema)
