@@ -276,8 +276,14 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
 
 
 def near_in_blocks(large: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """The same forests for entries of many classes, a block of two parts of an entry at a time."""
-    parts = large.groupBy("entry").count().select("entry", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
+    """The same forests for entries of many classes, a block of two parts of an entry at a time.
+
+    Entries that have the same classes, told by two hashes over them, are tried once.
+    """
+    marks = [F.bit_xor(F.xxhash64(F.lit(seed), "set_id")).alias(f"_{seed}") for seed in (1, 2)]
+    alike = large.groupBy("entry").agg(F.count(F.lit(1)).alias("count"), *marks)
+    once = alike.groupBy("count", "_1", "_2").agg(F.min("entry").alias("entry"))
+    parts = once.select("entry", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
     placed = large.join(parts, "entry").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
     described = placed.join(classes, "set_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     dealt = described.select(
