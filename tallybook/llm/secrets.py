@@ -24,9 +24,16 @@ Its inverse has mean 1 at most under the null, so by Markov's inequality the
 ratio is a p-value at every length; no normal approximation limits what 20
 symbols can show. The factor ``len(ALPHABETS)`` pays for choosing the encoding
 by the string. A string is random only if all nulls are rejected, so its p-value
-is the largest of them. :func:`p_value` has the three statistics by normal
-approximation, against margins; 20 to 40 symbols can't reject those, and
-no discovery depends on them.
+is the largest of them.
+
+Before that the chi-squared, runs and serial-correlation statistics of the
+string must agree with a uniform source (:func:`p_value`): a string of which one
+lies beyond its margin from the uniform value, at one-sided level ``1 - gate``,
+is not random whatever its likelihood, and counts as a test with p-value 1. A
+uniform string of 20 symbols fails one of them with a probability of about
+0.0003. The statistics alone can't find secrets, since 20 to 40 symbols seldom
+show by them that a source is *inside* the margins; so they exclude, and the
+ratios are the evidence.
 
 Over all strings of the corpus the step-up procedure of
 Benjamini and Hochberg holds the share of false discoveries at ``rate``, with
@@ -86,6 +93,7 @@ class Battery:
     uniformity_margin: float = 2.0
     runs_margin: float = 0.25
     serial_margin: float = 0.5
+    gate: float = 0.95
     concentration: float = 0.5
     step_share: float = 0.9
 
@@ -282,7 +290,7 @@ def p_value(token: Column, name: Column, battery: Battery) -> Column:
 def tested_strings(text: Column, battery: Battery) -> Column:
     """Start, end, length and ``level = log10(p / length)`` of every string with an encoding.
 
-    Levels are rounded up to 0.01 and held within -30 and 0.
+    Levels are rounded up to 0.01 and held within -30 and 0; 0 for strings that the battery excludes.
     """
     runs = _placed(text, "[A-Za-z0-9+/_-]{%d,}=*" % battery.min_chars)
     named = F.transform(
@@ -298,13 +306,17 @@ def tested_strings(text: Column, battery: Battery) -> Column:
             x["s"].alias("start"),
             x["e"].alias("end"),
             F.length(x["t"]).alias("n"),
-            F.greatest(
-                F.lit(-30.0),
-                F.least(
-                    F.lit(0.0),
-                    F.ceil((log_p(x["t"], x["k"], battery) - F.log10(F.length(x["t"]).cast("double"))) * 100) / 100,
-                ),
-            ).alias("level"),
+            F.when(p_value(x["t"], x["k"], battery) > battery.gate, 0.0)
+            .otherwise(
+                F.greatest(
+                    F.lit(-30.0),
+                    F.least(
+                        F.lit(0.0),
+                        F.ceil((log_p(x["t"], x["k"], battery) - F.log10(F.length(x["t"]).cast("double"))) * 100) / 100,
+                    ),
+                )
+            )
+            .alias("level"),
         ),
     )
 

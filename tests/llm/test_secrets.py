@@ -110,6 +110,20 @@ def test_likelihood_ratios_against_plain_code(spark):
         assert all(abs(sum(row) - 1) < 1e-12 for row in chain)
 
 
+def test_the_battery_excludes_what_the_ratios_alone_would_find(spark):
+    draw = random.Random(5)
+    lower, upper = "0123456789ABCDEFGHIJKLMNOPQRSTU", "VWXYZabcdefghijklmnopqrstuvwxyz"
+    alternating = ["".join(draw.choice((lower, upper)[i % 2]) for i in range(48)) for _ in range(20)]
+    uniform = ["".join(draw.choices(lower + upper, k=48)) for _ in range(20)]
+    b = secrets.Battery()
+    df = spark.createDataFrame([(i, t, f"say {t} now") for i, t in enumerate(alternating + uniform)], "i int, t string, text string")
+    ratios = df.select("i", secrets.log_p(F.col("t"), F.lit("base62"), b).alias("p")).collect()
+    assert sum(r["p"] < -6 for r in ratios if r["i"] < 20) >= 18
+    assert all(battery(t, "base62", b) > b.gate for t in alternating)
+    hits = {r["i"] for r in secrets.scanned(df).filter("exists(spans, x -> x.kind = 3)").select("i").collect()}
+    assert hits <= set(range(20, 40)) and len(hits) >= 19
+
+
 WORDS = (
     "get set user account balance report table index value order list path file name config server client handler"
     " parser build release version north river market number update remove create field column window stream batch"
