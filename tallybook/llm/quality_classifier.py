@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallybook.llm.storage import stored
+from tallybook.llm.sums import summed
 from tallybook.llm.tokens import SPACED_WORDS, filled, word_codes
 
 STATISTICS = [
@@ -46,7 +47,6 @@ class Settings:
     features: int = 256
     width: float = 3.0
     ridge: float = 1e-3
-    partitions: int = 16
     calibration: int = 4  # one of so many training rows is kept back for the calibration
     bins: int = 2000  # of raw scores between -1 and 2
     seed: int = 7
@@ -141,7 +141,7 @@ def isotonic(x: np.ndarray, ones: np.ndarray, rows: np.ndarray) -> tuple[np.ndar
 
 
 def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
-    """From rows of ``doc_id, stats, y``; the driver gets sums only, of a fixed number of partitions."""
+    """From rows of ``doc_id, stats, y``; the driver gets one matrix, added up over partitions in a tree."""
     d, width = len(STATISTICS), settings.features
     moments = (
         labelled.select(F.posexplode("stats").alias("k", "v"))
@@ -164,19 +164,15 @@ def fit(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     )
     kept_back = F.pmod(F.xxhash64("doc_id"), F.lit(settings.calibration)) == 0
 
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def normal(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         total = np.zeros((width + 1, width + 2))
         for batch in batches:
             z = model.features(_matrix(batch["stats"]))
             y = batch["y"].to_numpy(zero_copy_only=False)
             total += z.T @ np.column_stack((z, y))
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+        return total
 
-    parts = labelled.filter(~kept_back).repartition(settings.partitions).select("stats", "y")
-    both = sum(
-        (np.frombuffer(r["sums"]).reshape(width + 1, width + 2) for r in parts.mapInArrow(sums, "sums binary").collect()),
-        np.zeros((width + 1, width + 2)),
-    )
+    both = summed(labelled.filter(~kept_back).select("stats", "y"), normal, (width + 1, width + 2))
     n = max(1.0, both[-1, width])
     penalty = settings.ridge * np.eye(width + 1)
     penalty[-1, -1] = 1e-12

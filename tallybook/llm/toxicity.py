@@ -163,7 +163,8 @@ def fit(rows: DataFrame, settings: Settings = Settings(), text: str = "text") ->
             )
 
     columns = "y int, bag array<array<int>>, rest bigint"
-    examples = stored(rows.select("y", text).mapInArrow(sparse, columns).coalesce(settings.partitions), "bags")
+    # Texts are read in the scan's own partitions; only the bounded bags are dealt to a fixed number.
+    examples = stored(rows.select("y", text).mapInArrow(sparse, columns).repartition(settings.partitions), "bags")
     weights, moment, square = (np.zeros(len(words) + 1) for _ in range(3))
     weights[:-1], weights[-1] = 1.0, -6.0
     for step in range(1, settings.steps + 1):
