@@ -31,7 +31,7 @@ string must agree with a uniform source (:func:`p_value`): a string of which one
 lies beyond its margin from the uniform value, at one-sided level ``1 - gate``,
 is not random whatever its likelihood, and counts as a test with p-value 1. A
 uniform string of 20 symbols fails one of them with a probability of about
-0.0003. The statistics alone can't find secrets, since 20 to 40 symbols seldom
+0.0005. The statistics alone can't find secrets, since 20 to 40 symbols seldom
 show by them that a source is *inside* the margins; so they exclude, and the
 ratios are the evidence.
 
