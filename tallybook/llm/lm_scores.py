@@ -9,8 +9,13 @@ that token has been deleted, so each token is held out once.
 Documents are cut into shards of tokens that are stored once. A shard asks for
 the counts of its distinct words and bigrams, by 64-bit hash; requests are
 dealt by the leading bits of the hash, added up there, and answered to each
-shard in the order it asked. So a word of a third of the corpus is one entry
-per shard, and what is shuffled grows with the distinct bigrams of the shards.
+shard in the order it asked. A shard sends rows to a bounded number of buckets.
+Where the corpus needs more, requests of a bucket's askers are first merged,
+as many askers as there are buckets, so that a merged request is as large as a
+shard's, and is dealt on by the next bits. So a word of a third of the corpus
+is one entry per shard, then one per merged request; the rows of each level
+are at most shards times fan-out, and what is shuffled grows with the distinct
+bigrams of the shards, once more for each level (two levels reach 200 TB).
 
 Tokens are words parted by space and 0x09 to 0x0D, ASCII letters in lower case,
 and one end per document, which is also the context of the first word. Null and
@@ -47,11 +52,13 @@ WORDS, BIGRAMS = 0, 1  # buckets are numbered 2 * bucket + kind
 @dataclass(frozen=True)
 class Settings:
     """``bucket_entries``: about so many requests are added up together.
+    ``fan_bits``: a shard or merged request is dealt to at most 2 to this power buckets.
     ``grid``: step of log10 in the table of deleted estimates; ``floor``: least share
     of each of the three laws, times three."""
 
     shard_words: int = 1_500_000
     bucket_entries: int = 1 << 21
+    fan_bits: int = 12
     grid: float = 0.1
     steps: int = 60
     floor: float = 1e-6
@@ -152,6 +159,30 @@ class Shard:
             yield kind, keys, np.bincount(at[self.trained], minlength=len(keys)).astype(np.uint64)
 
 
+def level_bits(entries: int, settings: Settings) -> list[int]:
+    """Bits of the hash that each level deals by, as even as can be; none where one bucket holds all."""
+    bits = max(0, int(np.ceil(np.log2(max(1, entries / settings.bucket_entries)))))
+    levels = -(-bits // settings.fan_bits)
+    return [bits * (i + 1) // levels - bits * i // levels for i in range(levels)]
+
+
+def _dealt(asker: int, kind: int, keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
+    """Rows of one asker, a row for each leading ``bits`` that its sorted keys have."""
+    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
+    ends = [*starts[1:], len(keys)]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(2 * bucket[starts] + kind, pa.int64()),
+            pa.array(np.full(len(starts), asker), pa.int64()),
+            pa.array(ends - starts, pa.int64()),
+            pa.array([_packed(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in zip(starts, ends)], pa.binary()),
+            pa.array([_packed(counts[a:b]) for a, b in zip(starts, ends)], pa.binary()),
+        ],
+        names=["bucket", "shard", "n", "keys", "counts"],
+    )
+
+
 def requests(stored_shards: DataFrame, bits: int) -> DataFrame:
     """Keys and training counts of every shard by the leading ``bits`` of the keys."""
 
@@ -159,45 +190,71 @@ def requests(stored_shards: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 for kind, keys, counts in Shard(row).requests():
-                    bucket = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
-                    starts = np.flatnonzero(np.diff(bucket, prepend=-1))
-                    for a, b in zip(starts, [*starts[1:], len(keys)]):
-                        steps = np.diff(keys[a:b], prepend=np.uint64(0))
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([2 * int(bucket[a]) + kind], pa.int64()),
-                                pa.array([row["shard"]], pa.int64()),
-                                pa.array([b - a], pa.int64()),
-                                pa.array([_packed(steps)], pa.binary()),
-                                pa.array([_packed(counts[a:b])], pa.binary()),
-                            ],
-                            names=["bucket", "shard", "n", "keys", "counts"],
-                        )
+                    yield _dealt(row["shard"], kind, keys, counts, bits)
 
     return stored_shards.mapInArrow(ask, REQUEST)
 
 
-def answers(asked: DataFrame) -> DataFrame:
-    """Corpus counts for each request; and, as shard -1, the distinct trained keys of a bucket."""
+def _added(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of some requests, in order, their summed counts, and the place of every asked key."""
+    keys = np.concatenate([np.cumsum(_unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
+    counts = np.concatenate([_unpacked(r["counts"], r["n"], np.uint64) for r in rows])
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    # Counts are far below 2**53, so sums of doubles are exact.
+    totals = np.bincount(inverse, counts.astype(np.float64), minlength=len(distinct)).astype(np.uint64)
+    return distinct, totals, inverse
+
+
+def _replied(rows: list[dict], found: np.ndarray) -> list[tuple]:
+    """Answers to some requests from the counts of all their keys."""
+    ends = np.cumsum([r["n"] for r in rows])
+    return [(r["shard"], r["bucket"], r["n"], _packed(found[e - r["n"] : e])) for r, e in zip(rows, ends)]
+
+
+def _answer_table(rows: list[tuple]) -> pa.Table:
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    return pa.Table.from_arrays(
+        [pa.array(column, kind) for column, kind in zip(zip(*rows), kinds)], names=["shard", "bucket", "n", "counts"]
+    )
+
+
+def answers(asked: DataFrame, askers: int, bits: list[int], level: int = 0) -> DataFrame:
+    """Corpus counts for each request; and, as shard -1, the distinct trained keys of a bucket.
 
-    def add_up(table: pa.Table) -> pa.Table:
+    ``asked`` are requests of ``askers`` shards, or merged requests a bucket, by
+    the first ``level + 1`` entries of ``bits``.
+    """
+    if level + 1 >= len(bits):
+
+        def add_up(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            _, totals, inverse = _added(rows)
+            distinct = (-1, rows[0]["bucket"], int((totals > 0).sum()), None)
+            return _answer_table([*_replied(rows, totals[inverse]), distinct])
+
+        return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
+
+    groups = max(1, askers >> bits[level])
+    depth = sum(bits[: level + 2])
+    own = stored(asked, "requests").withColumn(
+        "merged", F.col("bucket") * groups + F.pmod(F.xxhash64("shard"), F.lit(groups))
+    )
+
+    def merge(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        keys = np.concatenate([np.cumsum(_unpacked(r["keys"], r["n"], np.uint64), dtype=np.uint64) for r in rows])
-        counts = np.concatenate([_unpacked(r["counts"], r["n"], np.uint64) for r in rows])
-        distinct, inverse = np.unique(keys, return_inverse=True)
-        # Counts are far below 2**53, so sums of doubles are exact.
-        totals = np.bincount(inverse, counts.astype(np.float64), minlength=len(distinct)).astype(np.uint64)
-        found, out, at = totals[inverse], [], 0
-        for r in rows:
-            out.append((r["shard"], r["bucket"], r["n"], _packed(found[at : at + r["n"]])))
-            at += r["n"]
-        out.append((-1, rows[0]["bucket"], int((totals > 0).sum()), None))
-        return pa.Table.from_arrays(
-            [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))],
-            names=["shard", "bucket", "n", "counts"],
-        )
+        keys, totals, _ = _added(rows)
+        return pa.Table.from_batches([_dealt(rows[0]["merged"], rows[0]["bucket"] % 2, keys, totals, depth)])
+
+    replies = stored(answers(own.groupBy("merged").applyInArrow(merge, REQUEST), groups, bits, level + 1), "replies")
+
+    def hand_back(request_rows: pa.Table, reply_rows: pa.Table) -> pa.Table:
+        rows = request_rows.to_pylist()
+        parts = sorted(reply_rows.to_pylist(), key=lambda r: r["bucket"])
+        found = np.concatenate([_unpacked(r["counts"], r["n"], np.uint64) for r in parts])
+        return _answer_table(_replied(rows, found[_added(rows)[2]]))
 
-    return asked.groupBy("bucket").applyInArrow(add_up, ANSWER)
+    back = own.groupBy("merged").cogroup(replies.filter("shard >= 0").groupBy("shard")).applyInArrow(hand_back, ANSWER)
+    return back.unionByName(replies.filter("shard < 0"))
 
 
 def _joined(shard_rows: pa.Table, answer_rows: pa.Table) -> tuple[Shard, np.ndarray, np.ndarray]:
@@ -259,9 +316,11 @@ def mixture(cells: list[tuple[int, int, int, int]], uniform: float, settings: Se
 def scored(docs: DataFrame, held: Column, settings: Settings = Settings(), doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id held_out n_tokens n_known train_tokens base_score score`` of all documents."""
     own = stored(shards(docs, held, settings, doc_id, text), "shards")
-    tokens, total = own.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0))).first()
-    bits = max(0, int(np.ceil(np.log2(max(1, tokens / settings.bucket_entries)))))
-    replies = stored(answers(requests(own, bits)), "counts")
+    tokens, total, n = own.agg(
+        F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("train_tokens"), F.lit(0)), F.count("*")
+    ).first()
+    bits = level_bits(tokens, settings)
+    replies = stored(answers(requests(own, bits[0] if bits else 0), n, bits), "counts")
     distinct = replies.filter((F.col("shard") == -1) & (F.col("bucket") % 2 == WORDS))
     types = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     pairs = own.groupBy("shard").cogroup(replies.filter("shard >= 0").groupBy("shard"))

@@ -244,3 +244,38 @@ def test_language_model(spark, sf_dir, odd, nothing):
         assert [g[:4] for g in got] == [w[:4] for w in want]
         assert [x for g in got for x in g[4:]] == pytest.approx([x for w in want for x in w[4:]], rel=1e-9)
     assert lm_scores.scored(nothing, held_out(7, 2)).count() == 0
+
+
+def test_requests_of_language_model_in_levels(spark, sf_dir, odd, monkeypatch):
+    assert lm_scores.level_bits(1 << 21, lm_scores.Settings()) == []
+    assert lm_scores.level_bits(1 << 33, lm_scores.Settings()) == [12]
+    assert lm_scores.level_bits(1 << 34, lm_scores.Settings()) == [6, 7]
+    tables, keep = {}, lm_scores.stored
+
+    def kept(df, name):
+        tables.setdefault(name, []).append(keep(df, name))
+        return tables[name][-1]
+
+    monkeypatch.setattr(lm_scores, "stored", kept)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
+
+    def run(shard_words: int, entries: int, fan_bits: int):
+        tables.clear()
+        settings = lm_scores.Settings(shard_words=shard_words, bucket_entries=entries, fan_bits=fan_bits)
+        rows = sorted(tuple(r) for r in lm_scores.scored(docs.na.fill(-1, ["doc_id"]), held_out(7, 2), settings).collect())
+        levels = [t.filter("shard >= 0").count() for t in (*tables["counts"], *tables.get("replies", []))]
+        buckets = 2 ** sum(lm_scores.level_bits(sum(r[2] for r in rows), settings))
+        shards = tables["shards"][0].count()
+        # Two kinds; a merged request stands for a fan-out of askers, and a bucket has one merged request at least.
+        assert fan_bits > 9 or all(n <= 2 * max(shards << fan_bits, buckets) for n in levels)
+        return rows, levels, shards
+
+    want, once, n = run(1000, 2048, 12)
+    assert len(once) == 1
+    got, levels, same = run(1000, 2048, 2)
+    assert got == want and same == n and len(levels) == 3
+    half, finer, more = run(500, 1024, 2)
+    assert more > 1.5 * n and [r[:4] for r in half] == [r[:4] for r in want]
+    # Other shards add up a text's tokens in another order.
+    assert [x for r in half for x in r[4:]] == pytest.approx([x for r in want for x in r[4:]], rel=1e-12)
+    assert max(finer) / more <= 1.5 * max(levels) / n
