@@ -22,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = " \t\n\x0b\f\r"
-SPACE_RUN = r"[\x20\x09-\x0D]+"
+SPACE = r"[\x20\x09-\x0D]"
+NO_SPACE = r"[^\x20\x09-\x0D]"
+SPACE_RUN = SPACE + "+"
 SYMBOL = r"[#*$%&|<>]"
 PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]+"
 WINDOW = 8
@@ -48,6 +50,12 @@ class Rules:
     trusted_words: int = 50
 
 
+def paired(values: str, step: int) -> Column:
+    """Hashes of each value of an array with the one ``step`` places on; the last ``step`` have none."""
+    rest = F.greatest(F.size(values) - step, F.lit(0))
+    return F.zip_with(F.slice(values, 1, rest), F.slice(values, step + 1, rest), lambda x, y: F.xxhash64(x, y))
+
+
 def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``n_words word_chars n_symbols n_dup_lines n_repeat_words`` (long)."""
     whole = F.coalesce(F.col(text), F.lit(""))
@@ -57,26 +65,21 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     lines = F.filter(F.split(whole, "\n"), lambda line: F.btrim(line, F.lit(SPACES)) != "")
     cut = docs.drop(*COUNTS).withColumns({"_words": split, "_lines": lines})
-    hashed = cut.select(
+    counted = cut.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
         F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         F.regexp_count(whole, F.lit(SYMBOL)).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.transform("_words", lambda w: F.xxhash64(w)).alias("_hashes"),
+        paired("_words", 1).alias("_windows"),
     ).drop("_words", "_lines")
-    last = F.size("_hashes") - WINDOW
-    windows = F.when(
-        last >= 0,
-        F.transform(
-            F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-            lambda i: F.xxhash64(F.slice("_hashes", i + 1, WINDOW)),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
-    windowed = hashed.withColumn("_windows", windows).drop("_hashes")
+    # Each step hashes two windows that touch to one of twice the words.
+    windowed = counted
+    for size in (2, 4):
+        windowed = windowed.withColumn("_windows", paired("_windows", size))
     # Only texts in which a window repeats are sorted to find where.
     repeats = F.size(F.array_distinct("_windows")) < F.size("_windows")
-    by_hash = F.array_sort(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    by_hash = F.sort_array(F.transform("_windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
     sorted_windows = windowed.withColumn("_sorted", F.when(repeats, by_hash)).drop("_windows")
 
     def in_run(entry: Column, j: Column) -> Column:
@@ -84,7 +87,7 @@ def base_counts(docs: DataFrame, text: str = "text") -> DataFrame:
         same_after = F.get("_sorted", j + 1)["h"] == entry["h"]
         return F.coalesce(same_before, F.lit(False)) | F.coalesce(same_after, F.lit(False))
 
-    starts = F.array_sort(F.transform(F.filter("_sorted", in_run), lambda entry: entry["i"]))
+    starts = F.sort_array(F.transform(F.filter("_sorted", in_run), lambda entry: entry["i"]))
     placed = sorted_windows.withColumn("_starts", starts).drop("_sorted")
     reach = F.transform(
         "_starts",
@@ -105,42 +108,38 @@ def base_failed(rules: Rules) -> Column:
 def trusted(rules: Rules, text: str = "text") -> Column:
     """The trusted target: long enough, no symbol of the rules, no shouting."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    return (
-        (F.size(F.split(whole, SPACE_RUN)) >= rules.trusted_words)
-        & ~whole.rlike(SYMBOL)
-        & ~whole.rlike(r"\p{Lu}{4}")
-    )
+    right = ~whole.rlike(SYMBOL) & ~whole.rlike(r"\p{Lu}{4}")
+    if rules.trusted_words < 2:
+        return right
+    # The space before the last word that is asked for; what follows isn't looked at.
+    long_enough = rf"^{NO_SPACE}*+(?:{SPACE}++{NO_SPACE}++){{{rules.trusted_words - 2}}}+{SPACE}"
+    return right & whole.rlike(long_enough)
 
 
-def ngram_buckets(rules: Rules, text: str = "text") -> Column:
-    """Buckets of all one- and two-piece n-grams of a text, with repeats."""
-    pieces = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(PIECE), F.lit(0))
-    hashes = F.transform(pieces, lambda t: F.xxhash64(t))
+def cut_up(text: str = "text") -> Column:
+    """Pieces of a text in lower case, in order."""
+    return F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(PIECE), F.lit(0))
 
-    def bucket(*hashed: Column) -> Column:
-        value = hashed[0] if len(hashed) == 1 else F.xxhash64(*hashed)
-        return F.pmod(value, F.lit(rules.buckets)).cast("int")
 
-    def both_orders(h: Column) -> Column:
-        rest = F.greatest(F.size(h) - 1, F.lit(0))
-        return F.concat(
-            F.transform(h, lambda x: bucket(x)),
-            F.zip_with(F.slice(h, 1, rest), F.slice(h, 2, rest), lambda x, y: bucket(x, y)),
-        )
-
-    # The hashes are bound to a name, so the text is cut up once for both orders.
-    return F.transform(F.array(hashes), both_orders)[0]
+def bucket(value: Column, rules: Rules) -> Column:
+    return F.pmod(value, F.lit(rules.buckets)).cast("int")
 
 
 def bucket_counts(docs: DataFrame, rules: Rules, text: str = "text", target: Column | None = None) -> DataFrame:
     """``bucket raw target``: n-grams per bucket over all documents and over the trusted ones."""
     flag = F.coalesce(trusted(rules, text) if target is None else target, F.lit(False))
-    hashed = docs.select(ngram_buckets(rules, text).alias("_b"), flag.alias("_t"))
-    # Added up per task before the shuffle: at most one row per bucket and task.
-    return (
-        hashed.select(F.explode("_b").alias("bucket"), "_t")
-        .groupBy("bucket")
-        .agg(F.count(F.lit(1)).alias("raw"), F.count_if("_t").alias("target"))
+    pieces = docs.select(cut_up(text).alias("_pieces"), flag.alias("_t"))
+    # Not exploded as a bare column: Spark would infer a filter on its size, and cut the texts up for it again.
+    after = F.slice("_pieces", 2, F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    placed = pieces.select("_t", F.explode(F.arrays_zip(F.col("_pieces").alias("one"), after.alias("next"))).alias("_n"))
+    # One or two pieces in a row; the last one has no successor.
+    one = F.xxhash64("_n.one")
+    two = F.when(F.col("_n.next").isNotNull(), F.xxhash64(one, F.xxhash64("_n.next")))
+    ngrams = placed.select("_t", F.explode(F.array(bucket(one, rules), bucket(two, rules))).alias("bucket"))
+    # Added up per task before the shuffle: at most two rows per bucket and task.
+    by_flag = ngrams.filter("bucket IS NOT NULL").groupBy("bucket", "_t").agg(F.count(F.lit(1)).alias("n"))
+    return by_flag.groupBy("bucket").agg(
+        F.sum("n").alias("raw"), F.sum(F.when(F.col("_t"), F.col("n")).otherwise(F.lit(0))).alias("target")
     )
 
 
@@ -164,12 +163,18 @@ def with_ratio(docs: DataFrame, ratios: list[float], rules: Rules, text: str = "
     """Adds ``log_ratio``: the mean log ratio of a text's n-grams, 0 without any."""
     weights = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
 
-    def mean(buckets: Column) -> Column:
-        total = F.aggregate(buckets, F.lit(0.0), lambda s, b: s + F.element_at(weights, b + 1))
-        return F.when(F.size(buckets) > 0, total / F.size(buckets)).otherwise(F.lit(0.0))
+    def added(total: Column, value: Column) -> Column:
+        return total + F.get(weights, F.pmod(value, F.lit(rules.buckets)))
+
+    def mean(hashes: Column) -> Column:
+        rest = F.greatest(F.size(hashes) - 1, F.lit(0))
+        pairs = F.zip_with(F.slice(hashes, 1, rest), F.slice(hashes, 2, rest), lambda x, y: F.xxhash64(x, y))
+        total = F.aggregate(pairs, F.aggregate(hashes, F.lit(0.0), added), added)
+        return F.when(F.size(hashes) > 0, total / (F.size(hashes) + rest)).otherwise(F.lit(0.0))
 
-    total = F.transform(F.array(ngram_buckets(rules, text)), mean)[0]
-    return docs.withColumn("log_ratio", total)
+    hashes = F.transform(cut_up(text), lambda piece: F.xxhash64(piece))
+    # The hashes are bound to a name, so the text is cut up once for all uses.
+    return docs.withColumn("log_ratio", F.transform(F.array(hashes), mean)[0])
 
 
 def judged(docs: DataFrame, rules: Rules = Rules(), text: str = "text", target: Column | None = None) -> DataFrame:

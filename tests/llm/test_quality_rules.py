@@ -91,3 +91,19 @@ def test_odd_rows(odd, nothing):
     got = q.judged(odd).collect()
     assert len(got) == odd.count()
     assert all(r["base_failed"] and not r["kept"] for r in got if not (r["text"] or "").strip())
+
+
+def test_texts_are_cut_up_once_for_the_counts(spark):
+    df = spark.createDataFrame([(1, "one two")], "doc_id bigint, text string")
+    plan = q.bucket_counts(df, q.Rules())._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+
+
+def test_trusted_target(spark):
+    texts = ["", " ", "a", "a b", "a  b", " a", "a ", " a ", "a b c", "\ta\n b\r", "a b c d", "a b #", "ÀÉÎÕ a b", "ÀÉÎ a b", None]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for least in range(5):
+        for r in df.select("text", q.trusted(q.Rules(trusted_words=least)).alias("t")).collect():
+            text = r["text"] or ""
+            long_enough = len(re.split(r"[\x20\x09-\x0D]+", text)) >= least
+            assert r["t"] == (long_enough and "#" not in text and "ÀÉÎÕ" not in text), (least, text)
