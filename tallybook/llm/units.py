@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -39,12 +39,12 @@ def split_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str
         flat, per_text = _with_odd(flat, per_text, texts, odd)
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.to_pylist()
-    units = [" " + w for w in words]
+    words = coded.dictionary.to_numpy(zero_copy_only=False)  # made strings in one go
+    units = [" " + w for w in words.tolist()]
     first = np.cumsum(per_text) - per_text
     leading, back = np.unique(codes[first], return_inverse=True)
     codes[first] = len(units) + back
-    units += [words[c] for c in leading]
+    units += words[leading].tolist()
     return codes, per_text, units
 
 
@@ -144,7 +144,7 @@ class UnitStore:
     def coded(self, units: list[str]) -> tuple[np.ndarray, Both]:
         """The place of every unit in the ids that are returned with them."""
         get = self.places.get
-        at = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        at = np.fromiter(map(get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(at < 0)
         missing = [units[k] for k in new]
         found = self.encode(missing) if missing else Coded(np.empty(0, np.int64), np.empty(0, np.int32))
@@ -178,7 +178,7 @@ def joined(units: list[str], encode: Callable[[str], np.ndarray], opens: np.ndar
     otherwise, or have white space at an end, are encoded alone.
     """
     regular = np.array(
-        [len(u) > 1 and u[0] == " " and " " not in u[1:] and not u[1].isspace() and not u[-1].isspace() for u in units],
+        [len(u) > 1 and u[0] == " " and " " not in (word := u[1:]) and word == word.strip() for u in units],
         bool,
     )
     lengths, parts = np.zeros(len(units), np.int64), []
