@@ -15,18 +15,21 @@ gives an empty folder and no rows. Other columns are not stored.
 from __future__ import annotations
 
 import os
+import re
+import string
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallybook.llm import dac
 from tallybook.llm.tokens import filled
-from tallybook.llm.units import UnitStore, encoded_texts, joined
+from tallybook.llm.units import LETTER, Coded, StemStore, encoded_texts, joined
 
 SEGMENT = (
     "part int, seq int, start_in_part bigint, n_tokens bigint,"
@@ -34,23 +37,84 @@ SEGMENT = (
 )
 READ = "doc_id bigint, start bigint, n_tokens bigint, ids binary"
 
+#: A space and letters only. Units are given to the library so many at a time, a text its caches hold.
+PLAIN = rf"\A [{LETTER}]+\z"
+BLOCK = 300
+
 
 @lru_cache(maxsize=2)
-def _store(path: str, special_as_text: bool) -> UnitStore:
-    """The tokenizer of a file with the units this worker has coded by it."""
+def _store(path: str, special_as_text: bool) -> StemStore:
+    """The tokenizer of a file with the stems and endings this worker has coded by it."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, pre_tokenizers
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = special_as_text
     opens = np.zeros(tokenizer.get_vocab_size(), bool)
     for token, i in tokenizer.get_vocab().items():
         opens[i] = token.startswith("Ġ")  # how byte-level vocabularies write a space
+    unparted = None
+    if _keeps_words_apart(tokenizer):
+        unparted = Tokenizer.from_file(path)
+        unparted.encode_special_tokens = special_as_text
+        unparted.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+
+    def encode(units: list[str]) -> Coded:
+        if unparted is None:
+            return joined(units, partial(_ids, tokenizer), opens, BLOCK)
+        plain = pc.match_substring_regex(pa.array(units, pa.string()), PLAIN).to_numpy(zero_copy_only=False)
+        words, others = np.flatnonzero(plain), np.flatnonzero(~plain)
+        one = joined([units[k] for k in words], partial(_ids, unparted), opens, BLOCK, np.ones(len(words), bool))
+        two = joined([units[k] for k in others], partial(_ids, tokenizer), opens, BLOCK)
+        back = np.empty(len(units), np.int64)
+        back[np.concatenate((words, others))] = np.arange(len(units))
+        both = Coded(np.concatenate((one.lengths, two.lengths)), np.concatenate((one.ids, two.ids)))
+        ids, lengths = both.take(back)
+        return Coded(lengths, ids)
+
+    return StemStore(encode, _endings(tokenizer))
+
+
+def _ids(tokenizer, text: str) -> np.ndarray:
+    return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+
+
+def _keeps_words_apart(tokenizer) -> bool:
+    """Whether words of ``PLAIN``, end to end, have the ids they have one by one, without being parted first.
+
+    So it is where the file parts them at their spaces only and pairs are merged by rank alone, if no token
+    goes on with a space after a letter: then no merge reaches from one word into the next.
+    """
+    from tokenizers import decoders, models
+
+    model, by = tokenizer.model, tokenizer.pre_tokenizer
+    if not (isinstance(model, models.BPE) and by is not None and isinstance(tokenizer.decoder, decoders.ByteLevel)):
+        return False
+    if model.ignore_merges or model.dropout or model.continuing_subword_prefix or model.end_of_word_suffix:
+        return False
+    if tokenizer.normalizer is not None:
+        return False
+    if [p for p, _ in by.pre_tokenize_str(" Ab cdÉ")] != ["ĠAb", "ĠcdÃī"]:
+        return False
+    inner = [i for token, i in tokenizer.get_vocab(with_added_tokens=False).items() if "Ġ" in token[1:]]
+    # Bytes that are a part of a character are decoded to U+FFFD.
+    return not any(re.search(r"[^\W_] |\ufffd ", tokenizer.decode([i], skip_special_tokens=False)) for i in inner)
+
+
+def _endings(tokenizer) -> str:
+    """ASCII marks that the pre-tokenizer parts from a letter or number before them.
+
+    Marks of added tokens, which are found before that step, are left out.
+    """
+    by = tokenizer.pre_tokenizer
+    if by is None or tokenizer.normalizer is not None:
+        return ""
+    added = "".join(token.content for token in tokenizer.get_added_tokens_decoder().values())
 
-    def encode(text: str) -> np.ndarray:
-        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int32)
+    def parted(mark: str) -> bool:
+        return all([p for p, _ in by.pre_tokenize_str(c + mark)][1:] == [mark] for c in "a1")
 
-    return UnitStore(lambda units: joined(units, encode, opens))
+    return "".join(m for m in string.punctuation if m not in added and parted(m))
 
 
 def segments(

@@ -257,3 +257,49 @@ def test_units_are_made_strings_in_one_go():
 
     # Making a string of one Arrow scalar after the other takes longer than all the rest.
     assert least(lambda: units.split_units(pa.array([text]))) < least(pa.array(words).to_pylist)
+
+
+ENDED = [
+    *"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", "...", "!?!", ",%%%", "-----", "'s", "'s,", "),(", "\u2026", "\u3002", "\u0301.", "=\u0338",
+    "<|endoftext|>", ".<|endoftext|>", "<|endoftext|>.", "\n.", ".\n", ".\nNext,", " .", "", "  ,", "\u00a0.", "1.", "\u00b2.", "\u0660,",
+]
+STEMS = ["word", "Été", "été", "à", "слово", "λόγος", "日本", "ひ", "e\u0301", "x1", "42", "\u00b2", "🎉", "\x00", "\u0600", "don't", "İ", "ß", "a\u00a0à", "-"]
+
+
+def test_stems_and_endings_have_the_ids_of_their_units():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tallybook.llm import units
+
+    path = tokenizer_path("byte_bpe_50k.json")
+    draw = random.Random(5)
+    letters = "".join(chr(c) for c in range(0x20, 0x530) if chr(c).isalpha())
+    stems = STEMS + ["".join(draw.choices(draw.choice(["etaoin", "Ààéñß\u00e0\u0160", letters]), k=draw.randrange(1, 12))) for _ in range(3000)]
+    texts = [s + e for s in STEMS for e in ENDED] + [f" {s}{e} {s}" for s in STEMS for e in ENDED]
+    texts += [" ".join(draw.choice(stems) + (draw.choice(ENDED) if draw.random() < 0.4 else "") for _ in range(20)) for _ in range(2000)]
+    for special_as_text in (False, True):
+        library = Tokenizer.from_file(path)
+        library.encode_special_tokens = special_as_text
+        store = token_output._store.__wrapped__(path, special_as_text)
+        for _ in range(2):
+            for a, b, ids, counts in units.encoded_texts(pa.array(texts), store, piece_bytes=1 << 16):
+                ends = counts.cumsum()
+                for k in range(a, b):
+                    want = library.encode(texts[k], add_special_tokens=False).ids
+                    assert ids[ends[k - a] - counts[k - a] : ends[k - a]].tolist() == want, texts[k]
+
+
+def test_a_word_is_tokenized_once_whatever_mark_it_ends_with():
+    import pyarrow as pa
+
+    from tallybook.llm import units
+
+    store, asked = token_output._store.__wrapped__(tokenizer_path("byte_bpe_50k.json"), False), []
+    encode = store.encode
+    store.encode = lambda some: (asked.extend(some), encode(some))[1]
+    marks = [",", ".", "!", "?", ";", ":", "...", '"', ")", "%"]
+    words = [f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(500)]
+    text = " ".join(w + m for m in marks for w in words)
+    assert sum(len(counts) for _, _, _, counts in units.encoded_texts(pa.array([text]), store)) == 1
+    assert len(asked) <= len(words) + len(marks) + 1 and len(asked) == len(set(asked))
