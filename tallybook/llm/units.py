@@ -30,6 +30,16 @@ ALONE = re.compile(r"(?<!\s) (?!\s)")
 
 def split_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str]]:
     """Unit codes in order, units per text, and the distinct units."""
+    codes, per_text, units = distinct_units(texts)
+    return codes, per_text, strings(units)
+
+
+def strings(units: pa.StringArray) -> list[str]:
+    return units.to_numpy(zero_copy_only=False).tolist()  # made in one go
+
+
+def distinct_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """The same with the distinct units as they are in Arrow."""
     touching = pc.match_substring_regex(texts, TOUCHING)
     odd = touching.to_numpy(zero_copy_only=False)
     lists = pc.split_pattern(texts if not odd.any() else pc.if_else(touching, "", texts), " ")
@@ -39,13 +49,12 @@ def split_units(texts: pa.StringArray) -> tuple[np.ndarray, np.ndarray, list[str
         flat, per_text = _with_odd(flat, per_text, texts, odd)
     coded = flat.dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    words = coded.dictionary.to_numpy(zero_copy_only=False)  # made strings in one go
-    units = [" " + w for w in words.tolist()]
+    words = coded.dictionary
     first = np.cumsum(per_text) - per_text
     leading, back = np.unique(codes[first], return_inverse=True)
-    codes[first] = len(units) + back
-    units += words[leading].tolist()
-    return codes, per_text, units
+    codes[first] = len(words) + back
+    spaced = pc.binary_join_element_wise("", words, " ")
+    return codes, per_text, pa.concat_arrays([spaced, words.take(pa.array(leading))])
 
 
 def _with_odd(flat: pa.StringArray, per_text: np.ndarray, texts: pa.StringArray, odd: np.ndarray):
@@ -141,9 +150,9 @@ class UnitStore:
         self.places: dict[str, int] = {}
         self.starts, self.lengths, self.ids = Growing(np.int64), Growing(np.int32), Growing(np.int32)
 
-    def coded(self, units: list[str]) -> tuple[np.ndarray, Both]:
+    def coded(self, distinct: pa.StringArray) -> tuple[np.ndarray, Both]:
         """The place of every unit in the ids that are returned with them."""
-        get = self.places.get
+        units, get = strings(distinct), self.places.get
         at = np.fromiter(map(get, units, repeat(-1)), np.int64, len(units))
         new = np.flatnonzero(at < 0)
         missing = [units[k] for k in new]
@@ -192,8 +201,7 @@ class StemStore(UnitStore):
         super().__init__(encode, limit)
         self.endings = endings
 
-    def coded(self, units: list[str]) -> tuple[np.ndarray, Coded]:
-        whole = pa.array(units, pa.string())
+    def coded(self, whole: pa.StringArray) -> tuple[np.ndarray, Coded]:
         stems = pc.ascii_rtrim(whole, characters=self.endings)
         sizes = pc.subtract(pc.binary_length(whole), pc.binary_length(stems)).to_numpy()
         solid = pc.match_substring_regex(stems, SOLID).to_numpy(zero_copy_only=False)
@@ -204,13 +212,13 @@ class StemStore(UnitStore):
             parts.append(pc.utf8_slice_codeunits(whole.take(pa.array(rows)), start=-size))
             at.append(starts[rows] + 1)
         distinct = pa.concat_arrays(parts).dictionary_encode()
-        row = np.empty(len(units) + int(cut.sum()), np.int64)  # stems and endings as they follow each other
+        row = np.empty(len(whole) + int(cut.sum()), np.int64)  # stems and endings as they follow each other
         row[np.concatenate((starts, *at))] = distinct.indices.to_numpy()
-        place, found = super().coded(distinct.dictionary.to_numpy(zero_copy_only=False).tolist())
+        place, found = super().coded(distinct.dictionary)
         ids, each = found.take(place[row])
         lengths = each[starts].astype(np.int64)
         lengths[cut] += each[starts[cut] + 1]
-        return np.arange(len(units)), Coded(lengths, ids)
+        return np.arange(len(whole)), Coded(lengths, ids)
 
 
 def joined(
@@ -268,7 +276,7 @@ def encoded_texts(
     """
     for low, high in cuts(texts, piece_bytes) if len(texts) else ():
         piece = texts.slice(low, high - low)
-        codes, per_text, units = split_units(piece)
+        codes, per_text, units = distinct_units(piece)
         place, coded = store.coded(units)
         del units
         codes = place[codes]

@@ -303,3 +303,18 @@ def test_a_word_is_tokenized_once_whatever_mark_it_ends_with():
     text = " ".join(w + m for m in marks for w in words)
     assert sum(len(counts) for _, _, _, counts in units.encoded_texts(pa.array([text]), store)) == 1
     assert len(asked) <= len(words) + len(marks) + 1 and len(asked) == len(set(asked))
+
+
+def test_distinct_units_of_a_store_come_from_arrow_as_they_are():
+    import pyarrow as pa
+
+    from tallybook.llm import units
+
+    texts = pa.array(["", " ", "a", " lead", "a b  c d", "é b", "a\n b", "b a b"])
+    codes, per_text, found = units.distinct_units(texts)
+    plain = units.split_units(texts)
+    assert isinstance(found, pa.StringArray) and found.to_pylist() == plain[2]
+    assert (codes == plain[0]).all() and (per_text == plain[1]).all()
+    ends = per_text.cumsum()
+    got = ["".join(found[int(c)].as_py() for c in codes[e - n : e]) for e, n in zip(ends, per_text)]
+    assert got == texts.to_pylist()
