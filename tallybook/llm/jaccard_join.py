@@ -15,9 +15,10 @@ the corpus makes likely.
 
 Classes that share an entry are candidates, unless their sizes or a sketch of
 element parities, which bounds the difference of two sets from below, rule the
-pair out. Classes in an entry of many are parted once more by an independent
-pigeonhole; entries that are large there too are compared by their sketches in
-blocks. What candidates connect is a cluster; its whole sets are compared
+pair out; a sketch of more words is folded to be compared with one of fewer.
+Classes in an entry of many are parted once more by an independent pigeonhole.
+In entries that are large there too, classes are compared by their sketches with
+one of them, and only what isn't connected by that in blocks. What candidates connect is a cluster; its whole sets are compared
 exactly, in blocks bounded by sets and by bytes, from which only a spanning
 forest of the links leaves. Nothing is capped, and no linked pair is lost.
 
@@ -38,6 +39,7 @@ from math import exp
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -158,13 +160,13 @@ def ngram_sets(texts: pa.StringArray, words: int) -> Iterator[np.ndarray]:
             yield np.empty(0, np.uint64)
 
 
-def entries(elements: np.ndarray, group: Group, seed: int) -> np.ndarray:
-    """Index entries of one set in a group."""
-    mixed = _mix(elements ^ np.uint64(seed))
+def entries(mixed: np.ndarray, hashed: np.ndarray, group: Group, seed: int) -> np.ndarray:
+    """Index entries in a group of one set, whose elements have these two hashes."""
     m = group.segments
-    segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.int64)
+    # 16 bits, where they do, are sorted by their digits.
+    segment = ((mixed >> np.uint64(33)) % np.uint64(m)).astype(np.uint16 if m < 1 << 16 else np.int64)
     order = np.argsort(segment, kind="stable")
-    value = _mix(mixed + np.uint64(0x632BE59BD9B4E019))[order]
+    value = hashed[order]
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
     bounds = np.concatenate(([0], np.cumsum(np.bincount(segment, minlength=m))))
     content = sums[bounds[1:]] - sums[bounds[:-1]]
@@ -182,7 +184,9 @@ def entries(elements: np.ndarray, group: Group, seed: int) -> np.ndarray:
 
 def all_entries(elements: np.ndarray, plan: list[Group], seed: int) -> np.ndarray:
     n = len(elements)
-    own = [entries(elements, g, seed) for g in plan if g.least <= n <= g.high]
+    mixed = _mix(elements ^ np.uint64(seed))
+    hashed = _mix(mixed + np.uint64(0x632BE59BD9B4E019))
+    own = [entries(mixed, hashed, g, seed) for g in plan if g.least <= n <= g.high]
     return np.concatenate(own) if own else np.empty(0, np.int64)
 
 
@@ -193,6 +197,53 @@ def sketch(elements: np.ndarray, longer: int = 1) -> np.ndarray:
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
 
+@dataclass(frozen=True)
+class Sketches:
+    """Sketches of many sets, one after the other. A shorter one is the longer's parities folded, so any two can be compared."""
+
+    values: np.ndarray
+    first: np.ndarray
+    words: np.ndarray
+
+    @staticmethod
+    def of(lists: pa.ListArray) -> Sketches:
+        words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return Sketches(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64), np.cumsum(words) - words, words)
+
+    @staticmethod
+    def made(sketches: list[np.ndarray]) -> Sketches:
+        words = np.array([len(x) for x in sketches], np.int64)
+        return Sketches(np.concatenate(sketches).view(np.uint64), np.cumsum(words) - words, words)
+
+    def followed_by(self, other: Sketches) -> Sketches:
+        first = np.concatenate((self.first, other.first + len(self.values)))
+        return Sketches(np.concatenate((self.values, other.values)), first, np.concatenate((self.words, other.words)))
+
+    def part(self, start: int, end: int) -> Sketches:
+        return Sketches(self.values, self.first[start:end], self.words[start:end])
+
+    def folded(self, some: np.ndarray, words: int) -> np.ndarray:
+        """A row of so many words for each of some sketches that have as many or more."""
+        out = np.empty((len(some), words), np.uint64)
+        for own in np.unique(self.words[some]):
+            at = np.flatnonzero(self.words[some] == own)
+            rows = self.values[self.first[some[at]][:, None] + np.arange(own)]
+            out[at] = np.bitwise_xor.reduce(rows.reshape(len(at), -1, words), axis=1)
+        return out
+
+    def apart(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Unlike parities of the pairs ``x[k], y[k]``."""
+        out = np.empty(len(x), np.int64)
+        least = np.minimum(self.words[x], self.words[y])
+        for words in np.unique(least):
+            every = np.flatnonzero(least == words)
+            for k in range(0, len(every), 1 << 14):
+                at = every[k : k + (1 << 14)]
+                unlike = self.folded(x[at], words) ^ self.folded(y[at], words)
+                out[at] = np.bitwise_count(unlike).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def set_id(elements: np.ndarray) -> int:
     import xxhash
 
@@ -255,7 +306,7 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
 
     ``small`` has the rows of entries of at most ``few`` classes. Linked sets
     meet in most of their entries, so equal lists of classes are tried once.
-    Sketches of unlike length say nothing about a pair.
+    Most lists are near their first class as a whole, which a batch shows at once.
     """
     lists = small.groupBy("entry").agg(F.array_sort(F.collect_set("set_id")).alias("m")).select("m").distinct()
     met = lists.select(F.xxhash64("m").alias("list"), F.explode("m").alias("set_id"))
@@ -265,68 +316,125 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            edges: list[tuple[int, int]] = []
-            for row in batch["m"].to_pylist():
-                edges += _near_forest(row, settings.percent)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([e[k] for e in edges], pa.int64()) for k in (0, 1)], names=["a", "b"]
-            )
+            a, b = _near_forests(batch["m"], settings.percent)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return described.select("m").mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
 
+def near_first(large: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Pairs ``a b`` of the first class of each entry (``entry set_id first``) and those near it."""
+    names = {"set_id": "first", "n": "first_n", "sketch": "first_sketch"}
+    described = large.join(classes.withColumnsRenamed(names), "first").join(classes, "set_id")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            every = np.arange(batch.num_rows)
+            both = Sketches.of(batch["sketch"]).followed_by(Sketches.of(batch["first_sketch"]))
+            n, first_n = (batch[name].to_numpy(zero_copy_only=False) for name in ("n", "first_n"))
+            near = pa.array(_passes(n, first_n, both.apart(every, every + len(every)), settings.percent))
+            yield batch.select(["first", "set_id"]).rename_columns(["a", "b"]).filter(near)
+
+    columns = described.select("first", "set_id", "n", "sketch", "first_n", "first_sketch")
+    return columns.mapInArrow(tidy(compare), "a bigint, b bigint").filter("a <> b").distinct()
+
+
 def near_in_blocks(large: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
-    """The same forests for entries of many classes, a block of two parts of an entry at a time.
+    """Pairs that connect the same classes, for entries of many classes.
 
-    Entries that have the same classes, told by two hashes over them, are tried once.
+    Entries that have the same classes, told by two hashes over them, are tried
+    once. Classes are compared with the first, in an order by hash, of each of
+    their entries, and what that connects isn't compared again. Strangers, those
+    of an entry that aren't connected with its first class, are compared with all
+    of it, a block of two parts at a time.
     """
     marks = [F.bit_xor(F.xxhash64(F.lit(seed), "set_id")).alias(f"_{seed}") for seed in (1, 2)]
-    alike = large.groupBy("entry").agg(F.count(F.lit(1)).alias("count"), *marks)
-    once = alike.groupBy("count", "_1", "_2").agg(F.min("entry").alias("entry"))
-    parts = once.select("entry", F.ceil(F.col("count") / settings.block).cast("int").alias("k"))
-    placed = large.join(parts, "entry").withColumn("own", F.pmod(F.xxhash64("set_id"), F.col("k")).cast("int"))
-    described = placed.join(classes, "set_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    dealt = described.select(
-        "entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "sketch"
-    )
+    first = F.min_by("set_id", F.xxhash64("entry", "set_id")).alias("first")
+    alike = large.groupBy("entry").agg(F.count(F.lit(1)).alias("count"), first, *marks)
+    once = alike.groupBy("count", "_1", "_2").agg(F.min_by(F.struct("entry", "first"), "entry").alias("one"))
+    rows = stored(large.join(once.select("one.entry", "one.first"), "entry"), "crowded")
+    stars = stored(near_first(rows, classes, settings), "stars")
+    dealt = dealt_in_blocks(rows, components(stars), classes, settings)
 
     def compare(table: pa.Table) -> pa.Table:
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        table = table.combine_chunks()
+        side, ids, n = (table[name].to_numpy() for name in ("own", "set_id", "n"))
         # A class of both parts, where they are the same one, comes once.
-        rows = {r["set_id"]: r for r in table.select(["own", "set_id", "n", "sketch"]).to_pylist()}.values()
-        x, y = ([r for r in rows if r["own"] == side] for side in (i, j))
-        edges = _near_forest(x, settings.percent, None if i == j else y)
+        _, kept = np.unique(ids, return_index=True)
+        x, y = (kept[side[kept] == part] for part in (i, j))
+        edges: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            near = _near(n, Sketches.of(table["sketch"].combine_chunks()), settings.percent)
+            edges = _forest(lambda one, k, some: near[x[k], y[some]] if one == 0 else near[x[some], y[k]], ids[x], ids[y])
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    return dealt.groupBy("entry", "i", "j").applyInArrow(compare, "a bigint, b bigint").distinct()
+    return stars.union(dealt.groupBy("entry", "i", "j").applyInArrow(compare, "a bigint, b bigint")).distinct()
 
 
-def _near_forest(members: list[dict], percent: int, others: list[dict] | None = None) -> list[tuple[int, int]]:
-    """A forest of the pairs that aren't ruled out, inside a list or between two."""
-    both = members + (others or [])
-    if not both:
-        return []
-    ids = np.array([m["set_id"] for m in both], np.int64)
-    n = np.array([m["n"] for m in both], np.int64)
-    near = _near(n, [np.array(m["sketch"], np.int64) for m in both], percent)
-    if others is not None:
-        size = len(members)
-        near = near[:size, size:]
-        return _forest(lambda side, k, some: near[k, some] if side == 0 else near[some, k], ids[:size], ids[size:])
-    return _forest(lambda side, k, some: near[k, some], ids, ids)
+def dealt_in_blocks(rows: DataFrame, known: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
+    """Classes of entries (``entry set_id first``) that have strangers, by the blocks ``entry i j`` they are compared in.
+
+    ``known`` (``node root``) has what is connected. Parts (``own``) of strangers
+    are numbered from 0, those of the others downward from -1; a block has
+    strangers on one side at least.
+    """
+    of_first = known.withColumnsRenamed({"node": "first", "root": "first_root"})
+    met = rows.join(known.withColumnRenamed("node", "set_id"), "set_id", "left").join(of_first, "first", "left")
+    stranger = ~(F.col("set_id").eqNullSafe(F.col("first")) | F.coalesce(F.col("root") == F.col("first_root"), F.lit(False)))
+    placed = met.select("entry", "set_id", stranger.alias("stranger"))
+    in_parts = lambda c: F.ceil(F.count(F.when(c, 1)) / settings.block).cast("int")
+    parts = placed.groupBy("entry").agg(in_parts(F.col("stranger")).alias("k"), in_parts(~F.col("stranger")).alias("rest"))
+    placed = placed.join(parts.filter("k > 0"), "entry")
+    own = F.when(F.col("stranger"), F.pmod(F.xxhash64("set_id"), F.col("k"))).otherwise(
+        -1 - F.pmod(F.xxhash64("set_id"), F.col("rest"))
+    )
+    others = F.when(F.col("stranger"), F.sequence(-F.col("rest"), F.col("k") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("k") - 1)
+    )
+    described = placed.join(classes, "set_id").select("entry", own.cast("int").alias("own"), F.explode(others).alias("other"), "set_id", "n", "sketch")
+    return described.select(
+        "entry", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "set_id", "n", "sketch"
+    )
 
 
-def _near(n: np.ndarray, sketches: list[np.ndarray], percent: int) -> np.ndarray:
+def _near_forests(lists: pa.ListArray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Forests of the pairs that aren't ruled out, inside each of many lists of ``set_id n sketch``."""
+    per_list = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    members = lists.flatten()
+    ids, n = (members.field(name).to_numpy(zero_copy_only=False) for name in ("set_id", "n"))
+    sketches = Sketches.of(members.field("sketch"))
+    first = np.cumsum(per_list) - per_list
+    x, y = np.repeat(first, per_list), np.arange(len(ids))
+    near = _passes(n[x], n[y], sketches.apart(x, y), percent)
+    whole = np.bitwise_and.reduceat(near, first) if len(first) else np.empty(0, bool)
+    some = np.repeat(whole, per_list) & (x != y)
+    a, b = [ids[x[some]]], [ids[y[some]]]
+    for k in np.flatnonzero(~whole & (per_list > 2)).tolist():
+        start, end = first[k], first[k] + per_list[k]
+        own, among = ids[start:end], _near(n[start:end], sketches.part(start, end), percent)
+        edges = np.array(_forest(lambda _, k, some: among[k, some], own, own), np.int64).reshape(-1, 2)
+        a.append(edges[:, 0])
+        b.append(edges[:, 1])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _passes(a: np.ndarray, b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of these sizes, unlike in so many parities, can be linked."""
+    near = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return near & (apart * (100 + percent) <= (100 - percent) * (a + b))
+
+
+def _near(n: np.ndarray, sketches: Sketches, percent: int) -> np.ndarray:
     """Pairs that sizes and sketches don't rule out."""
-    size = np.array([len(x) for x in sketches])
     apart = np.zeros((len(n), len(n)), np.int64)
-    for words in np.unique(size):
-        own = np.flatnonzero(size == words)
-        table = np.array([sketches[k] for k in own]).view(np.uint64)
-        for row, k in enumerate(own):
-            apart[k, own] = np.bitwise_count(table ^ table[row]).sum(axis=1)
-    near = 100 * np.minimum(n[:, None], n) >= percent * np.maximum(n[:, None], n)
-    return near & (apart * (100 + percent) <= (100 - percent) * (n[:, None] + n))
+    for words in np.unique(sketches.words):
+        some = np.flatnonzero(sketches.words >= words)
+        table = sketches.folded(some, words)
+        for row in np.flatnonzero(sketches.words[some] == words).tolist():
+            unlike = np.bitwise_count(table ^ table[row]).sum(axis=1, dtype=np.int64)
+            apart[some[row], some] = apart[some, some[row]] = unlike
+    return _passes(n[:, None], n, apart, percent)
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, settings: Settings) -> DataFrame:
@@ -427,7 +535,7 @@ def verified_clusters(members: DataFrame, settings: Settings) -> DataFrame:
         x, y = order[own[order] == i], order[own[order] == j]
         edges: list[tuple[int, int]] = []
         if len(x) and len(y):
-            near = _near(np.array([len(s) for s in sets]), [sketch(s, 8) for s in sets], settings.percent)
+            near = _near(np.array([len(s) for s in sets]), Sketches.made([sketch(s, 8) for s in sets]), settings.percent)
             edges = _forest(_exact_links(x, y, sets, near, settings.percent), ids[x], ids[y])
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 

@@ -94,6 +94,48 @@ def test_short_unrelated_texts_stay_apart(spark, monkeypatch):
     assert max(sizes, default=0) <= 4 and sum(sizes) < 150, sorted(sizes)[-5:]
 
 
+def described(spark, sets: list[np.ndarray]):
+    rows = [(k, len(x), j.sketch(x).tolist()) for k, x in enumerate(sets)]
+    return spark.createDataFrame(rows, "set_id bigint, n bigint, sketch array<bigint>")
+
+
+def in_entries(spark, lists: list[list[int]]):
+    return spark.createDataFrame([(e, k) for e, own in enumerate(lists) for k in own], "entry bigint, set_id bigint")
+
+
+@pytest.mark.parametrize("bound, more", [(700, 1.05), (5000, 1.05)])
+def test_unrelated_sets_with_sketches_of_unlike_length_are_ruled_out(spark, bound, more):
+    """On both sides of a size from which on sketches are longer."""
+    draw = np.random.default_rng(bound)
+    some = [np.unique(draw.integers(0, 2**63, n).astype(np.uint64)) for n in [int(bound / more)] * 5 + [int(bound * more)] * 5]
+    near = np.unique(np.concatenate((some[0], draw.integers(0, 2**63, bound - len(some[0]) + 5).astype(np.uint64))))
+    classes = described(spark, [*some, near])
+    assert len({len(r["sketch"]) for r in classes.collect()}) == 2
+    small = in_entries(spark, [[0, 5], [1, 6], list(range(10)), list(range(11))])
+    for got in (j.near_pairs(small, classes, j.Settings()), j.near_in_blocks(small, classes, j.Settings(block=3))):
+        assert {frozenset(r) for r in got.collect()} == {frozenset((0, 10))}
+
+
+def test_connected_classes_of_large_entries_are_not_compared_in_blocks(spark):
+    """Only strangers are dealt out, and what is found connects what every pair does."""
+    draw = np.random.default_rng(3)
+    family = lambda base, n: [np.unique(np.concatenate((base[draw.integers(0, 8) :], draw.integers(0, 2**63, 3).astype(np.uint64)))) for _ in range(n)]
+    one, two, alone = (draw.integers(0, 2**63, 300).astype(np.uint64) for _ in range(3))
+    sets = family(one, 60) + family(two, 9) + [alone]
+    classes = described(spark, sets)
+    first = spark.createDataFrame([(e, k, 0) for e in range(20) for k in range(e, 60)], "entry bigint, set_id bigint, first bigint")
+    known = components(spark.createDataFrame([(0, k) for k in range(60)], "a bigint, b bigint"))
+    assert j.dealt_in_blocks(first, known, classes, j.Settings(block=10)).count() == 0
+    mixed = [list(range(e, 60)) for e in range(20)] + [list(range(70)), list(range(50, 70)), [69, 3]]
+    got = j.near_in_blocks(in_entries(spark, mixed), classes, j.Settings(block=4))
+    pairs = {tuple(sorted(r)) for r in got.collect()}
+    groups: dict[int, set[int]] = {}
+    for r in components(got).collect():
+        groups.setdefault(r["root"], set()).add(r["node"])
+    assert sorted(map(sorted, groups.values())) == [list(range(60)), list(range(60, 69))]
+    assert all((a < 60) == (b < 60) and b < 69 for a, b in pairs)
+
+
 @pytest.mark.parametrize("population", [10, 10**6, 10**12])
 def test_linked_sets_share_an_entry(population):
     settings = j.Settings()
