@@ -51,6 +51,8 @@ from tallybook.llm.tokens import SPACED_WORDS, filled, word_codes
 INDEXED = "doc_id bigint, n bigint, set_id bigint, sketch array<bigint>, entries array<bigint>"
 # Words of 64 bits in the sketch of sets below a size; the last is for all larger ones.
 SKETCHES = [(700, 8), (5000, 32), (1 << 62, 128)]
+# Bits of an entry, which is most of what is stored and shuffled; entries that are equal by chance only cost a comparison.
+ENTRY_BITS = 48
 SEED, SECOND_SEED = 0x51ED270B, 0x2545F491
 
 
@@ -179,7 +181,7 @@ def entries(mixed: np.ndarray, hashed: np.ndarray, group: Group, seed: int) -> n
     if group.deletions:
         inside = segment[order[: bounds[group.deletions]]]
         found.append(_mix((content[inside] - value[: len(inside)]) ^ salt[inside]))
-    return np.concatenate(found).view(np.int64)
+    return (np.concatenate(found) >> np.uint64(64 - ENTRY_BITS)).view(np.int64)
 
 
 def all_entries(elements: np.ndarray, plan: list[Group], seed: int) -> np.ndarray:
@@ -316,8 +318,9 @@ def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> Data
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = _near_forests(batch["m"], settings.percent)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+            for k in range(0, batch.num_rows, 512):
+                a, b = _near_forests(batch["m"].slice(k, 512), settings.percent)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return described.select("m").mapInArrow(tidy(compare), "a bigint, b bigint").distinct()
 
