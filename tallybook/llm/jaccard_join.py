@@ -303,6 +303,16 @@ def shared_entries(lists: DataFrame, settings: Settings) -> DataFrame:
     return cold.union(rows.join(F.broadcast(hot), "entry", "left_semi").distinct())
 
 
+def by_size(shared: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """The rows of entries of at most ``few`` classes, and the others.
+
+    The others' entries are stored: they are few as a rule, so that rows needn't be dealt to be told apart.
+    """
+    counts = shared.groupBy("entry").count()
+    large = stored(counts.filter(F.col("count") > settings.few).select("entry"), "large-entries")
+    return shared.join(large, "entry", "left_anti"), shared.join(large, "entry", "left_semi")
+
+
 def near_pairs(small: DataFrame, classes: DataFrame, settings: Settings) -> DataFrame:
     """Forests ``a b`` of the pairs within entries that sizes and sketches don't rule out.
 
@@ -564,13 +574,11 @@ def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     plan = groups(docs.count(), settings)
     own = stored(indexed(docs, plan, settings), "sets")
     shared = stored(shared_entries(own, settings), "shared")
-    counts = shared.groupBy("entry").count()
-    small = shared.join(counts.filter(F.col("count") <= settings.few), "entry", "left_semi")
-    many = shared.join(counts.filter(F.col("count") > settings.few), "entry", "left_semi")
-    crowded = many.select("set_id").distinct()
+    small, many = by_size(shared, settings)
+    crowded = stored(many.select("set_id").distinct(), "crowded-sets")
 
-    classes = own.filter(F.col("sketch").isNotNull()).select("set_id", "n", "sketch").dropDuplicates(["set_id"])
-    pairs = stored(near_pairs(small, classes, settings), "pairs")
+    classes = own.filter(F.col("sketch").isNotNull()).select("set_id", "n", "sketch")
+    pairs = stored(near_pairs(small, classes.dropDuplicates(["set_id"]), settings), "pairs")
 
     wanted = pairs.select(F.col("a").alias("set_id")).union(pairs.select("b")).union(crowded).distinct()
     first = own.filter(F.col("entries").isNotNull()).groupBy("set_id").agg(F.min("doc_id").alias("doc_id"))
@@ -579,9 +587,8 @@ def linked(docs: DataFrame, settings: Settings = Settings(), doc_id: str = "doc_
     if not crowded.isEmpty():
         parted = stored(second_layer(sets.join(crowded, "set_id", "left_semi"), plan), "parted")
         again = stored(shared_entries(parted, settings), "shared-again")
-        counts = again.groupBy("entry").count()
-        small = again.join(counts.filter(F.col("count") <= settings.few), "entry", "left_semi")
-        large = again.join(counts.filter(F.col("count") > settings.few), "entry", "left_semi")
+        small, large = by_size(again, settings)
+        classes = stored(classes.join(crowded, "set_id", "left_semi").dropDuplicates(["set_id"]), "crowded-classes")
         more = near_pairs(small, classes, settings).union(near_in_blocks(large, classes, settings))
         pairs = pairs.union(stored(more, "more-pairs"))
     # Every candidate pair is inside one cluster, and a set is sent to its cluster only.
